@@ -6,13 +6,16 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch at most, so that a batch of long texts stays far below a worker's memory.
-BATCH_ROWS = 256
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,23 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8").split() if text else []
 
 
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of a batch of texts: (offsets of the texts, code of every word, distinct words by code).
+
+    Arrow splits and encodes; ASCII white space is what WORD excludes.  A null text has no words.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    coded = split.flatten().dictionary_encode()
+    codes, offsets = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    words = coded.dictionary
+    empty = words.index(pa.scalar("", pa.string())).as_py() if len(words) else -1
+    if empty >= 0:  # before a leading or after a trailing space
+        keep = codes != empty
+        offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
+        codes = codes[keep]
+    return offsets, codes, words
+
+
 def word_count(text: Column | str) -> Column:
     """Number of words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

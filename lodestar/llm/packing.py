@@ -20,26 +20,23 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, small_batches
+from .bpe import Merges
+from ._shared import coded_words, cut, small_batches
 
 CAPACITY = 2048
 SEPARATOR = 0
 BUCKETS = 256
-#: Chunks between white space whose ids a worker keeps, at most; beyond it, it starts anew.
-KNOWN_CHUNKS = 500_000
-CLOSE = np.array([SEPARATOR], "<u4").tobytes()
 
 # The steps of a tokenizer file whose ids can be made chunk by chunk.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -55,77 +52,86 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: Chunks of these characters are their own composed form, and Python lower-cases them as the library does.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-SPLIT = re.compile(_CONTRACTIONS + "|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Bytes that are no visible Latin-1 character stand for the characters from 256 on, in their order.
-_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_HIDDEN = [b for b in range(256) if b not in _VISIBLE]
-BYTES = [chr(b) if b in _VISIBLE else chr(256 + _HIDDEN.index(b)) for b in range(256)]
+#: Chunks of these characters are their own composed form and are lower-cased sign by sign; none has a contraction or
+#: the beginning of a special token in it.
+PLAIN = "^[!-&(-~À-ÖØ-öø-ÿ]+$"
+#: 0 for letters, 1 for digits, 2 for other signs, of bytes of PLAIN chunks.
+KINDS = np.array([1 if 48 <= b <= 57 else 0 if 97 <= b <= 122 or b >= 128 else 2 for b in range(256)], np.uint8)
 
 
 class Tokens:
     """Token ids of texts, as the tokenizer file gives them.
 
     A tokenizer that drops white space and never joins over it gives a text the ids of its chunks, one after another, so
-    the ids of a chunk are kept once seen.  Where the file lower-cases, splits by SPLIT and encodes bytes, a chunk of
-    plain signs and Latin letters is split here, which leaves to the library only the merges of words not seen yet.
-    Every other chunk, and every other tokenizer, takes the library's whole way.
+    the ids of a batch are made once for each distinct chunk.  Where the file has the steps below, chunks of plain signs
+    and Latin letters are split and merged with numpy, all at once; every other chunk, and every other tokenizer, takes
+    the library's way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
-        steps = [made.get("normalizer"), made.get("pre_tokenizer"), made.get("post_processor")]
-        said = json.dumps(steps, sort_keys=True)
-        self.by_chunk = said == json.dumps([NORMALIZER, PRE_TOKENIZER, None], sort_keys=True) and not any(
-            t["content"].split() != [t["content"]] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"]
-        )
-        self.chunks = _Chunks(self._chunk)
-        self.words: dict[str, bytes] = {}
-
-    def _library(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8")
-        if not PLAIN.fullmatch(text) or "<|" in text:
-            return self._library(text)
-        out = b""
-        for word in SPLIT.findall(text.lower()):
-            ids = self.words.get(word)
-            if ids is None:
-                signs = word if word.isascii() else "".join(map(BYTES.__getitem__, word.encode("utf-8")))
-                ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-                self.words[word] = ids
-            out += ids
-        return out
-
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, and the separator."""
+        model = made["model"]
+        steps = [made.get("normalizer"), made.get("pre_tokenizer"), made.get("post_processor"), model["type"]]
+        options = [model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")]
+        plain = not any(t["content"].split() != [t["content"]] or "<|" not in t["content"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"])
+        same = json.dumps(steps, sort_keys=True) == json.dumps([NORMALIZER, PRE_TOKENIZER, None, "BPE"], sort_keys=True)
+        self.by_chunk = same and plain and not any(options) and len(model["vocab"]) < 1 << 16
+        if self.by_chunk:
+            self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, number of ids of each)."""
+        plain = pc.and_not(pc.match_substring_regex(chunks, PLAIN), pc.match_substring(chunks, "<|"))
+        plain = plain.to_numpy(zero_copy_only=False)
+        few = pa.array(plain)
+        lower = pc.utf8_lower(chunks.filter(few))
+        ends = lower.cast(pa.binary())
+        bounds = np.frombuffer(ends.buffers()[1], np.int32)[ends.offset : ends.offset + len(ends) + 1].astype(np.int64)
+        data = np.frombuffer(ends.buffers()[2] or b"", np.uint8)[bounds[0] if len(bounds) else 0 : bounds[-1] if len(bounds) else 0]
+        bounds = bounds - bounds[0] if len(bounds) else np.zeros(1, np.int64)
+        # A word begins where a chunk does, where the kind of sign changes, and at every digit.
+        kind = KINDS[data]
+        new = np.ones(len(data), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        new[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(new)
+        ids, n = self.merges.apply(data, starts)
+        words = np.searchsorted(starts, bounds)
+        upto = np.concatenate(([0], np.cumsum(n)))
+        sizes = np.zeros(len(chunks), np.int64)
+        sizes[plain] = np.diff(upto[words])
+        others = np.flatnonzero(~plain)
+        if not len(others):
+            return ids, sizes
+        made = {int(i): self._library(chunks[int(i)].as_py()) for i in others}
+        sizes[others] = [len(x) for x in made.values()]
+        out = np.empty(int(sizes.sum()), np.int32)
+        out[np.repeat(plain, sizes)] = ids
+        out[np.repeat(~plain, sizes)] = np.concatenate(list(made.values()))
+        return out, sizes
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets of the texts, ids of all of them, each text's closed by the separator)."""
         if not self.by_chunk:
-            return [np.frombuffer(self._library(t or "") + CLOSE, "<u4") for t in texts]
-        if len(self.chunks) > KNOWN_CHUNKS or len(self.words) > KNOWN_CHUNKS:
-            self.chunks.clear()
-            self.words.clear()
-        ids = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(ids, t.encode("utf-8").split())) + CLOSE if t else CLOSE, "<u4") for t in texts]
-
-
-class _Chunks(dict):
-    """Ids by chunk, made when first asked for."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        self[chunk] = found = self.make(chunk)
-        return found
+            made = [np.append(self._library(t or ""), SEPARATOR) for t in texts.to_pylist()]
+            return np.cumsum([0, *map(len, made)]), np.concatenate([np.zeros(0, "<u4"), *made]).astype("<u4")
+        offsets, codes, chunks = coded_words(texts)
+        ids, sizes = self._chunks(chunks)
+        ids, sizes = np.append(ids, SEPARATOR).astype("<u4"), np.append(sizes, 1)
+        places = np.cumsum(sizes) - sizes
+        # The last code stands for the separator and comes after the words of each text.
+        codes = np.insert(codes.astype(np.int64), offsets[1:], len(sizes) - 1)
+        n = sizes[codes]
+        upto = np.cumsum(n)
+        at = np.arange(upto[-1] if len(n) else 0) + np.repeat(places[codes] - upto + n, n)
+        return np.concatenate(([0], upto))[offsets + np.arange(len(offsets))], ids[at]
 
 
 def pieces(
@@ -144,9 +150,10 @@ def pieces(
         tokens = Tokens(tokenizer)
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1).to_pylist())):
-                for k, a in enumerate(range(0, len(ids), capacity)):
-                    part = ids[a : a + capacity]
+            bounds, flat = tokens.of(batch.column(1))
+            for doc, begin, end in zip(batch.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
+                for k, a in enumerate(range(0, end - begin, capacity)):
+                    part = flat[begin + a : min(end, begin + a + capacity)]
                     out.append((doc, k, a, len(part), zlib.crc32(part.tobytes()), *[part] * keep_ids))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * keep_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
