@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def stub_vector(text: str, dimensions: int = 64) -> np.ndarray:
@@ -35,7 +36,7 @@ class StaticTable:
 def embed(df: DataFrame, text_col: str, model: Callable[[str], np.ndarray], dimensions: int, out_col: str = "embedding") -> DataFrame:
     """df with the vectors of a text column; a model that returns another size, or no finite numbers, is an error."""
     at = df.columns.index(text_col)
-    schema = type(df.schema)([*df.schema.fields]).add(out_col, "array<float>")
+    schema = type(df.schema)([*df.schema.fields]).add(out_col, ArrayType(FloatType()))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,7 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
 def vector_scores(vectors: DataFrame, query: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id_col, score) of every row for a query of one vector; of distances the score is the negative."""
     one = query.select(F.col(vector_col).alias("_q")).limit(1)
-    measure = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: -euclidean(a, b)}[metric]
+    measure = {"cosine": cosine, "dot": dot, "euclidean": lambda a, b: F.lit(0.0) - euclidean(a, b)}[metric]
     rows = vectors.select(id_col, vector_col).crossJoin(F.broadcast(one))  # a single row
     return rows.select(id_col, F.round(measure(F.col(vector_col), F.col("_q")), DIGITS).alias("score"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from itertools import chain
 
@@ -92,34 +93,42 @@ def default_ignored(relative: Column) -> Column:
     return folders | names
 
 
-def ignore_rules(files: Sequence[tuple[str, str]]) -> list[tuple[str, bool, int]]:
-    """(regular expression, negated, ordinal) of the lines of ignore files, given as (folder, content), in path order."""
-    rules: list[tuple[str, bool, int]] = []
+def ignore_rules(files: Sequence[tuple[str, str]]) -> list[tuple[str, bool, bool]]:
+    """(regular expression, negated, folders only) of the lines of ignore files, given as (folder, content), in path order."""
+    rules: list[tuple[str, bool, bool]] = []
     for folder, content in sorted(files):
-        base = folder.strip("/")
+        base = re.escape(folder.strip("/") + "/") if folder.strip("/") else ""
         for line in content.splitlines()[:10_000]:
             line = line.rstrip() if not line.endswith("\\ ") else line
             if not line or line.startswith("#"):
                 continue
             negated = line.startswith("!")
-            line = line[1:] if negated else line.removeprefix("\\") if line[:2] in ("\\#", "\\!") else line
-            only_folder = line.endswith("/")
-            line = line.rstrip("/")
+            line = line[1:] if negated or line[:2] in ("\\#", "\\!") else line
+            only_folders, line = line.endswith("/"), line.rstrip("/")
             anchored = "/" in line
-            body = glob_regex("x/" + line.lstrip("/"))[1:-1].replace("(?:x/", "(?:", 1) if anchored else glob_regex("x/" + line)[1:-1].replace("(?:x/", "(?:", 1)
-            prefix = (base + "/" if base else "") if anchored else (base + "/" if base else "") + "(?:.*/)?"
-            rules.append((f"^{prefix}{body}{'/.*' if only_folder else '(?:/.*)?'}$", negated, len(rules)))
+            # A slash in front keeps a pattern from being taken for a name at any depth.
+            body = glob_regex("/" + line.lstrip("/"))[1:-1].replace("/", "", 1)
+            rules.append((f"^{base}{'' if anchored else '(?:.*/)?'}{body}$", negated, only_folders))
     return rules
 
 
-def ignored(relative: Column, rules: Sequence[tuple[str, bool, int]], include: Sequence[str] = ()) -> Column:
-    """Whether the last rule that matches ignores a path; a path that an include pattern names is never ignored."""
-    verdict = F.lit(False)
-    for regex, negated, _ in rules:
-        verdict = F.when(relative.rlike(regex), F.lit(not negated)).otherwise(verdict)
+def ignored(relative: Column, rules: Sequence[tuple[str, bool, bool]], include: Sequence[str] = ()) -> Column:
+    """Whether a path or a folder above it is ignored; of the rules that match either, the last decides.  A path that an
+    include pattern names is never ignored."""
+
+    def verdict(path: Column, folder: bool) -> Column:
+        out = F.lit(False)
+        for regex, negated, only_folders in rules:
+            if folder or not only_folders:
+                out = F.when(path.rlike(regex), F.lit(not negated)).otherwise(out)
+        return out
+
+    parts = F.split(relative, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    out = verdict(relative, False) | F.coalesce(F.exists(F.when(F.size(parts) > 1, above), lambda p: verdict(p, True)), F.lit(False))
     for pattern in include:
-        verdict = verdict & ~matches_path(relative, pattern)
-    return verdict
+        out = out & ~matches_path(relative, pattern)
+    return out
 
 
 def skip_reason(kind: Column, size: Column, binary: Column, override: int | None = None) -> Column:
@@ -140,44 +149,61 @@ def skip_report(files: DataFrame, samples: int = 20) -> DataFrame:
     return skipped.groupBy("reason").agg(F.count("*").alias("skipped")).join(listed, "reason")
 
 
+def listing(spark: SparkSession, root: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """((path, relative_path, size_bytes, last_modified) of all files below root, (folder, content) of its ignore files).
+
+    Metadata comes from the file system's own listing, which also has the hidden and empty files that Spark's readers
+    leave out.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(conf)
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/")
+    found, rows, rules = fs.listFiles(top, True), [], []
+    while found.hasNext():
+        one = found.next()
+        path = one.getPath().toUri().getPath()
+        relative = path[len(base) + 1 :]
+        rows.append((path, relative, one.getLen(), one.getModificationTime()))
+        if relative.split("/")[-1] == ".gitignore" and one.getLen() < 1 << 20:
+            stream = fs.open(one.getPath())
+            rules.append((relative.rpartition("/")[0], bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))
+            stream.close()
+    return spark.createDataFrame(rows, "path string, relative_path string, size_bytes long, last_modified long"), rules
+
+
 def scan(
     spark: SparkSession, root: str, workspace: str, include: Sequence[str] = (), exclude: Sequence[str] = (), globs: Sequence[str] = (),
     show_hidden: bool = False, no_ignore: bool = False, max_depth: int | None = None, max_size: int | None = None, nested_git: bool = False,
 ) -> DataFrame:
     """The files below root with identity, type, time, size, content and skip reason; what rules leave out is no row.
 
-    Ignore files are small texts of the tree; their rules come to the driver (a bounded number of lines each) and become
-    one expression, so that the scan itself stays one narrow pass.
+    Contents are read on the executors and joined to the listing; those of hidden and empty files are null.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    clean = normal_path(F.regexp_replace("path", "^file:/*", "/"))
-    base = "/" + root.split("://")[-1].strip("/")
-    rows = found.select(clean.alias("path"), F.expr("unix_millis(modificationTime)").alias("last_modified"), F.col("length").alias("size_bytes"), "content")
-    rows = rows.withColumn("relative_path", F.substring("path", len(base) + 2, 1 << 20))
+    rows, ignore_files = listing(spark, root)
     relative = F.col("relative_path")
     parts = F.split(relative, "/")
     git = rows.where(relative.rlike(r"/\.git/")).select(F.regexp_extract(relative, r"^(.*?)/\.git/", 1).alias("nested")).distinct()
-    rows = rows.where(~F.exists(parts, lambda p: p.isin(HARD)))
-    if not nested_git:
-        inside = (relative.startswith(F.concat("nested", F.lit("/"))))
-        rows = rows.join(git, inside, "left_anti")
+    rows = rows.where(~F.exists(parts, lambda p: p.isin(HARD)) & ~relative.rlike(r"(^|/)\.gitignore$"))
+    if not nested_git:  # folders above a file meet the nested roots by equality
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        inside = rows.select("path", F.explode(above).alias("nested")).join(git, "nested", "left_semi").select("path").distinct()
+        rows = rows.join(inside, "path", "left_anti")
+    named = _any(relative, [p for p in include if "." in p])
     if not show_hidden:
-        named = F.lit(False)
-        for p in include:
-            named = named | matches_path(relative, p) if "." in p else named
-        rows = rows.where(~hidden(relative) | named | relative.rlike(r"(^|/)\.gitignore$"))
+        rows = rows.where(~hidden(relative) | named)
     if not no_ignore:
-        kept = rows.where(relative.rlike(r"(^|/)\.gitignore$")).select(F.regexp_replace(relative, r"/?\.gitignore$", "").alias("folder"), F.col("content").cast("string").alias("text"))
-        rules = ignore_rules([(r["folder"], r["text"]) for r in kept.toLocalIterator()])
-        rows = rows.where(~ignored(relative, rules, include) & (~default_ignored(relative) | _any(relative, include)))
-    rows = rows.where(~relative.rlike(r"(^|/)\.gitignore$") | F.lit(show_hidden)).where(depth_allowed(relative, max_depth))
+        rows = rows.where(~ignored(relative, ignore_rules(ignore_files), include) & (~default_ignored(relative) | _any(relative, include)))
+    rows = rows.where(depth_allowed(relative, max_depth) & ~_any(relative, exclude))
     if include:
         rows = rows.where(_any(relative, include))
-    rows = rows.where(~_any(relative, exclude))
     if globs:
         rows = rows.where(matches_ordered(relative, list(globs)))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    read = read.select(F.regexp_replace(F.col("path"), "^[a-z]+:(//[^/]*)?/*", "/").alias("path"), "content")
+    rows = rows.join(read, "path", "left")
     kind, format_ = file_type(F.col("path"))
-    rows = rows.withColumn("kind", kind).withColumn("format", format_).withColumn("file_id", hash_id(workspace, F.col("path")))
+    rows = rows.withColumn("kind", kind).withColumn("format", format_).withColumn("file_id", hash_id(workspace, normal_path(F.col("path"))))
     return rows.withColumn("reason", skip_reason(F.col("kind"), F.col("size_bytes"), looks_binary(F.col("content")), max_size))
 
 
