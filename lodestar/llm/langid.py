@@ -104,11 +104,13 @@ class Model:
         k = self.width
         self.classes = letter_classes(self.letters)
         for triples, n in zip(self.triples, self.states):
-            dense = np.full((n, k), -1, np.int64)
+            dense = np.full((n + 1, k), -1, np.int64)
             dense[triples[:, 0], triples[:, 1]] = triples[:, 2]
-            begin = np.maximum(dense[0], 0) * k
+            # A letter that the sample lacks is a phrase of its own: it leads to one more state that every letter ends.
+            begin = np.where(dense[0] >= 0, dense[0], n) * k
             full = np.where(dense >= 0, dense * k, begin | (1 << 31)).astype(np.uint32)
-            full[:, k - 1] = np.arange(n, dtype=np.uint32) * k
+            full[0] = begin
+            full[:, k - 1] = np.arange(n + 1, dtype=np.uint32) * k
             self.tables.append(full.ravel())
 
 

@@ -77,8 +77,13 @@ def _segments(max_distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _bits(value: int) -> Column:
+    """64 bits as a signed long."""
+    return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+
 def _part(fp: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return F.shiftrightunsigned(fp, low).bitwiseAND(_bits((1 << width) - 1))
 
 
 def signatures(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -90,7 +95,7 @@ def signatures(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
             made.append(F.struct(F.xxhash64(F.lit(j), F.lit(-1), part).alias("key"), F.lit(2).alias("side")))
         if 2 * j + 1 <= max_distance:
             for p in range(width):
-                rest = part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << p)).cast("long"))
+                rest = part.bitwiseAND(_bits(((1 << width) - 1) & ~(1 << p)))
                 bit = F.shiftrightunsigned(part, p).bitwiseAND(F.lit(1).cast("long")).cast("int")
                 made.append(F.struct(F.xxhash64(F.lit(j), F.lit(p), rest).alias("key"), bit.alias("side")))
     return nodes.select("fp", F.inline(F.array(*made)))
@@ -119,7 +124,7 @@ def _key_tail(j: int, low: int, width: int, max_distance: int) -> list[Column]:
     a, b = F.col("a"), F.col("b")
     part_a, part_b = _part(a, low, width), _part(b, low, width)
     differ = part_a.bitwiseXOR(part_b)
-    place = F.when(differ == 0, F.lit(-1)).otherwise(F.bit_count(differ - 1)).cast("int")
+    place = F.when(differ == 0, F.lit(-1)).when(differ < 0, F.lit(63)).otherwise(F.bit_count(differ - 1)).cast("int")
     return [place, part_a.bitwiseAND(part_b)]
 
 
