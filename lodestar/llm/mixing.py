@@ -55,20 +55,24 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MOST)
 
 
 def subset_sum(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each length to take, so that their sum comes as near to budget, from below, as counts allow.
+    """How many of each length to take, so that their sum is as near to budget as counts allow; of equals the lower sum.
 
     Bounded subset sum on bit sets: a count is split into binary parts, and the program ends when the budget is met.
     """
     takes = [0] * len(lengths)
+    limit = budget + min(lengths, default=0)  # what is nearest lies below it: one document less is nearer otherwise
     reach, steps = 1, []
     for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
-        left, part = min(counts[i], budget // lengths[i]), 1
+        left, part = min(counts[i], limit // lengths[i]), 1
         while left > 0 and not reach >> budget & 1:
             k = min(part, left)
             steps.append((i, k, reach))
-            reach |= (reach << (lengths[i] * k)) & ((2 << budget) - 1)
+            reach |= (reach << (lengths[i] * k)) & ((2 << limit) - 1)
             left, part = left - k, part * 2
-    at = reach.bit_length() - 1
+    at = (reach & ((2 << budget) - 1)).bit_length() - 1
+    above = reach >> (budget + 1)
+    if above and (up := budget + (above & -above).bit_length()) - budget < budget - at:
+        at = up
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             takes[i] += k
@@ -93,7 +97,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         k = min(int(counts[i] - takes[i]), (left - PROGRAM // 2) // int(lengths[i]))
         takes[i] += max(0, k)
         left -= max(0, k) * int(lengths[i])
-    usable = np.flatnonzero((lengths > 0) & (counts > takes) & (lengths <= left))
+    usable = np.flatnonzero((lengths > 0) & (counts > takes) & (lengths <= 2 * left))
     more = subset_sum(lengths[usable].tolist(), (counts - takes)[usable].tolist(), left)
     takes[usable] += np.array(more, np.int64)
     return takes

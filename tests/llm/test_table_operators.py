@@ -95,7 +95,7 @@ def test_subset_sum(items, budget):
         sums = {s + k * length for s in sums for k in range(n + 1)}
     takes = mixing.subset_sum([i for i, _ in items], [n for _, n in items], budget)
     assert all(0 <= t <= n for t, (_, n) in zip(takes, items))
-    assert sum(t * i for t, (i, _) in zip(takes, items)) == max(s for s in sums if s <= budget)
+    assert sum(t * i for t, (i, _) in zip(takes, items)) == min(sums, key=lambda s: (abs(s - budget), s))
 
 
 def test_targets():
@@ -118,7 +118,7 @@ def test_mixing(docs):
         assert 0 <= t <= 3 * n and abs(aim - want[s]) < 1e-6
         taken[s] += t
     for s, aim in want.items():
-        assert abs(taken[s] - aim) <= 1 or totals[s] < 100
+        assert abs(taken[s] - aim) <= max(1, size[(source == s) & (size > 0)].min() / 2 + 1)
     again = mixing.mix(docs.repartition(3)).toPandas()
     key = ["doc_id", "size", "taken"]
     assert sorted(map(str, got[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
