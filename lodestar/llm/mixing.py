@@ -60,7 +60,7 @@ def subset_sum(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
     Bounded subset sum on bit sets: a count is split into binary parts, and the program ends when the budget is met.
     """
     takes = [0] * len(lengths)
-    limit = budget + min(lengths, default=0)  # what is nearest lies below it: one document less is nearer otherwise
+    limit = budget + min(budget, max(lengths, default=0))  # nothing is further off than the sum 0, or one document less is nearer
     reach, steps = 1, []
     for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
         left, part = min(counts[i], limit // lengths[i]), 1
