@@ -102,10 +102,10 @@ class Snapshots:
             raise ValueError("there is no index of this version")
         return self.spark.read.parquet(f"{self.folder}/{manifest['snapshot']}/{table}")
 
-    def write(self, fingerprint: dict, **tables: DataFrame) -> str:
-        """Write a snapshot; the fingerprint of model and tokenizer has to be that of the manifest."""
+    def write(self, fingerprint: dict, replace_fingerprint: bool = False, **tables: DataFrame) -> str:
+        """Write a snapshot; the fingerprint of model and tokenizer has to be that of the manifest, or to replace it."""
         manifest = self.manifest
-        if manifest and manifest["fingerprint"] != fingerprint:
+        if manifest and manifest["fingerprint"] != fingerprint and not replace_fingerprint:
             raise ValueError("the index was made with another model")
         name = f"snapshot-{uuid.uuid4().hex}"
         for table, df in tables.items():

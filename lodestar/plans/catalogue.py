@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import chunking, embed, fusion, index, lexical, recall
 from ..sources import files as S
 from ..streaming import changes
+from . import search
 
 QUERY_A, QUERY_B = "thanedble attion erster", "les dans être"
 GREP = "thanedble|Ouenti"
@@ -324,6 +325,52 @@ def semi_join_filter(spark, sf):
     return documents(spark, sf).where(X.matches_path(F.col("path"), "src1")).join(good, "doc_id", "left_semi").select("doc_id")
 
 
+PLAN = search.SearchPlan(
+    routes=[search.Route("fts", QUERY_A)], include_paths=["src1*/**", "src2"], exclude_paths=["src2/de"], globs=["!*7.*"], insensitive_globs=["*.MD", "*.Py"],
+    file_types=["py", "md"], excluded_file_types=["rust"], modified_after=BASE_MS + 5_000, modified_before=BASE_MS + 700_000,
+)
+_PLAN = (
+    "(regexp_full_match(path, 'src1[^/]*/.*') OR path LIKE 'src2/%') AND path NOT LIKE 'src2/de/%' AND NOT regexp_full_match(path, '(?:.*/)?[^/]*7\\.[^/]*') "
+    f"AND (path LIKE '%.md' OR path LIKE '%.py') AND last_modified BETWEEN {BASE_MS + 5_000} AND {BASE_MS + 700_000}"
+)
+
+
+def _planned(docs: DataFrame, plan: search.SearchPlan) -> DataFrame:
+    return docs.where(search.file_filter(plan, F.col("path"), F.col("last_modified"), S.file_type(F.col("path"))[1]))
+
+
+@query(f"WITH {FILES} SELECT doc_id, path FROM files WHERE {_PLAN}")
+def plan_filters(spark, sf):
+    """All filters that a plan has for files."""
+    return _planned(documents(spark, sf), search.resolve(PLAN)).select("doc_id", "path")
+
+
+@query(f"WITH {FILES}, {_bm25_sql('s', QUERY_A, _PLAN)}, {_top_sql('r', 's', 'doc_id', search.LIMIT)} SELECT doc_id, score, rank FROM r")
+def plan_search(spark, sf):
+    """A plan's full-text route over the files that its filters leave."""
+    plan, docs = search.resolve(PLAN), documents(spark, sf)
+    return recall.top(recall.bm25(_planned(docs, plan), plan.routes[0].query, corpus=docs), plan.limit, "doc_id")
+
+
+SYMBOL_QUERY = "find class Owner::sym3 thanedble attion erster"
+
+
+@query(
+    f"WITH {FILES}, {_bm25_sql('a', SYMBOL_QUERY)}, {_bm25_sql('b', SYMBOL_QUERY, 'doc_id % 5 = 3 AND doc_id % 2 = 1')}, {_top_sql('ra', 'a', 'doc_id', 200)}, {_top_sql('rb', 'b', 'doc_id', 200)}, "
+    "best AS (SELECT id, min(rank) FILTER (r = 1) AS r0, min(rank) FILTER (r = 2) AS r1 FROM (SELECT 1 AS r, doc_id AS id, rank FROM ra UNION ALL SELECT 2, doc_id, rank FROM rb) GROUP BY id), "
+    "fused AS (SELECT id, round(coalesce(1.0::DOUBLE / (60 + r0), 0) + coalesce(1.0::DOUBLE / (60 + r1), 0), 9) AS score FROM best) "
+    "SELECT id, score, 'fts' AS matched_by, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM fused ORDER BY score DESC, id LIMIT 7"
+)
+def prefer_symbol(spark, sf):
+    """A full-text route and one of the symbols that the query names, here ``Owner::sym3``."""
+    docs, i = documents(spark, sf), F.col("doc_id")
+    named = docs.withColumn("symbol_name", F.concat(F.lit("sym"), (i % 5).cast("string"))).withColumn("scope", F.when(i % 2 == 1, "pkg.Owner").otherwise("pkg.other"))
+    mine = named.where(search.meant(F.col("symbol_name"), F.col("scope"), search.symbol_names(SYMBOL_QUERY)))
+    hits = recall.route(recall.bm25(docs, SYMBOL_QUERY), "fts", "fts", "doc_id", 200)
+    hits = hits.unionByName(recall.route(recall.bm25(mine, SYMBOL_QUERY, corpus=docs), "fts.prefer-symbol", "fts", "doc_id", 200))
+    return fusion.ranked(fusion.fuse(hits, ["fts", "fts.prefer-symbol"]), 7)
+
+
 # Line search
 
 _LINES = (
@@ -472,6 +519,25 @@ def snapshot_replace(spark, sf):
     return index.replaced(docs.withColumn("version", F.lit("old")), new, changed).select("path", "version")
 
 
+@query(f"WITH {FILES} SELECT path, n_chars FROM files ORDER BY path LIMIT 30 OFFSET 20")
+def listing_page(spark, sf):
+    """A page of the listing of files by path."""
+    return documents(spark, sf).orderBy("path").offset(20).limit(30).select("path", "n_chars")
+
+
+@query(
+    f"WITH {FILES} SELECT sha256('ws' || chr(0) || path) AS file_id, CASE WHEN doc_id % 8 <> 0 OR doc_id % 16 = 0 THEN sha256(text) END AS content_hash, "
+    "CASE WHEN doc_id % 8 = 0 THEN 'unreadable' END AS error, CASE WHEN doc_id % 8 = 0 THEN 0 ELSE n_chars // 100 END AS entity_count FROM files"
+)
+def failed_files(spark, sf):
+    """Files that failed lose their entities, and their hash too unless size and time are those of the failure."""
+    i = F.col("doc_id")
+    docs = documents(spark, sf).select(X.hash_id("ws", F.col("path")).alias("file_id"), "doc_id", F.col("n_chars").alias("size_bytes"), "last_modified", F.sha2("text", 256).alias("content_hash"))
+    known = docs.withColumn("error", F.lit(None).cast("string")).withColumn("entity_count", F.floor(F.col("size_bytes") / 100).cast("long"))
+    failed = docs.where(i % 8 == 0).withColumn("failure", F.lit("unreadable")).withColumn("size_bytes", F.col("size_bytes") + F.when(i % 16 == 0, 0).otherwise(1))
+    return index.mark_failed(known, failed).select("file_id", "content_hash", "error", "entity_count")
+
+
 # Files
 
 

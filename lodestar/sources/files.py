@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,7 +180,8 @@ def scan(
 ) -> DataFrame:
     """The files below root with identity, type, time, size, content and skip reason; what rules leave out is no row.
 
-    Contents are read on the executors and joined to the listing; those of hidden and empty files are null.
+    Contents are read on the executors and joined to the listing; those of empty files are null.  Spark's readers leave
+    out names that begin with a dot or an underscore, so the executors open those files by their path.
     """
     rows, ignore_files = listing(spark, root)
     relative = F.col("relative_path")
@@ -201,12 +204,33 @@ def scan(
         rows = rows.where(matches_ordered(relative, list(globs)))
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     read = read.select(F.regexp_replace(F.col("path"), "^[a-z]+:(//[^/]*)?/*", "/").alias("path"), "content")
-    rows = rows.join(read, "path", "left")
+    left_out = rows.where((F.col("size_bytes") > 0) & relative.rlike(r"(^|/)[._]")).select("path")
+    rows = rows.join(read.unionByName(contents(left_out, root)).dropDuplicates(["path"]), "path", "left")
     kind, format_ = file_type(F.col("path"))
     rows = rows.withColumn("kind", kind).withColumn("format", format_).withColumn("file_id", hash_id(workspace, normal_path(F.col("path"))))
     return rows.withColumn("reason", skip_reason(F.col("kind"), F.col("size_bytes"), looks_binary(F.col("content")), max_size))
 
 
+def contents(paths: DataFrame, root: str) -> DataFrame:
+    """(path, content) of files of root's file system, each opened on an executor; a file that is gone has no row."""
+    scheme = root.partition("://")[0] + "://" + root.partition("://")[2].partition("/")[0] if "://" in root else ""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(scheme + path if scheme else "file://" + quote(path))
+                try:
+                    with system.open_input_stream(name) as file:
+                        data = file.read()
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([data], pa.binary())], ["path", "content"])
+
+    return paths.select("path").mapInArrow(read, "path string, content binary")
+
+
 def _any(path: Column, patterns: Sequence[str]) -> Column:
     found = F.lit(False)
     for p in patterns:
