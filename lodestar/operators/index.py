@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,22 +77,41 @@ def mark_failed(files: DataFrame, failed: DataFrame) -> DataFrame:
 class Snapshots:
     """Versions of the index's tables below one folder, and a manifest that names the one to read.
 
-    A version is written whole and only then named, by an atomic rename on the driver's view of the folder, so readers
-    see one version or the next; a fresh build that breaks off is never named.
+    A version is written whole and only then named, by an atomic rename in the folder's own file system, so readers see
+    one version or the next; a fresh build that breaks off is never named.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    @property
+    def _fs(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _rename(self, name: str, to: str) -> None:
+        """Rename within the folder, over what has that name."""
+        spark, path = self.spark, self._fs.makeQualified(self._path(name))
+        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        kind = spark._jvm.org.apache.hadoop.fs.Options.Rename
+        how = spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        context.rename(path, self._fs.makeQualified(self._path(to)), how)
 
     @property
     def manifest(self) -> dict | None:
-        try:
-            with open(f"{self.folder}/manifest.json", encoding="utf-8") as file:
-                return json.load(file)
-        except FileNotFoundError:
+        """What names the version to read; one that can't be read is put aside."""
+        if not self._fs.exists(self._path("manifest.json")):
             return None
+        stream = self._fs.open(self._path("manifest.json"))
+        data = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        stream.close()
+        try:
+            return json.loads(data)
         except ValueError:
-            os.replace(f"{self.folder}/manifest.json", f"{self.folder}/manifest.json.corrupt.{uuid.uuid4().hex[:8]}")
+            self._rename("manifest.json", f"manifest.json.corrupt.{uuid.uuid4().hex[:8]}")
             return None
 
     def read(self, table: str) -> DataFrame:
@@ -111,16 +129,13 @@ class Snapshots:
         for table, df in tables.items():
             df.write.parquet(f"{self.folder}/{name}/{table}")
         text = json.dumps({"version": VERSION, "snapshot": name, "fingerprint": fingerprint})
-        with open(f"{self.folder}/manifest.tmp", "w", encoding="utf-8") as file:
-            file.write(text)
-            file.flush()
-            os.fsync(file.fileno())
-        os.replace(f"{self.folder}/manifest.tmp", f"{self.folder}/manifest.json")
+        stream = self._fs.create(self._path("manifest.tmp"), True)
+        stream.write(bytearray(text.encode()))
+        stream.hsync()
+        stream.close()
+        self._rename("manifest.tmp", "manifest.json")
         return name
 
     def drop(self) -> bool:
-        import shutil
-
-        existed = os.path.isdir(self.folder)
-        shutil.rmtree(self.folder, ignore_errors=True)
-        return existed
+        """Remove all versions; whether there were any."""
+        return self._fs.delete(self._path(), True)

@@ -73,6 +73,24 @@ def test_lines(spark, tree, tmp_path):
     assert (near["first_line"], near["last_line"], near["context"]) == (1, 3, "an orchid\nand a fern\norchid again")
 
 
+def test_snapshots(spark, tmp_path):
+    from lodestar.operators.index import Snapshots
+
+    kept = Snapshots(spark, f"file://{tmp_path}/index")
+    assert kept.manifest is None
+    kept.write({"model": "a"}, rows=spark.range(3))
+    kept.write({"model": "a"}, rows=kept.read("rows").where("id > 0"))
+    assert kept.read("rows").count() == 2
+    with pytest.raises(ValueError):
+        kept.write({"model": "b"}, rows=spark.range(1))
+    (tmp_path / "index" / "manifest.json").write_text("{")
+    (tmp_path / "index" / ".manifest.json.crc").unlink(missing_ok=True)
+    assert kept.manifest is None and len(list((tmp_path / "index").glob("manifest.json.corrupt.*"))) == 1
+    with pytest.raises(ValueError):
+        kept.read("rows")
+    assert kept.drop() and not kept.drop()
+
+
 def test_plans():
     plan = search.resolve(search.SearchPlan(routes=[search.Route("fts", " a "), search.Route("vector", "b"), search.Route("fts", "c")]))
     assert [(r.id, r.query) for r in plan.routes] == [("fts", "a"), ("vector", "b"), ("fts-2", "c")]
