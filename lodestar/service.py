@@ -8,12 +8,14 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .functions.parse import LineSearch, line_search
 from .functions.text import hash_id, line_regex, matches_ordered, matches_path, valid_utf8
 from .operators import chunking, embed, fusion, index, lexical, recall
 from .plans.search import PlanError, Route, SearchPlan, file_filter, meant, resolve, symbol_names
 from .sources import files
+from .streaming import changes
 
 FILES = ["file_id", "path", "kind", "format", "size_bytes", "last_modified", "content_hash", "indexed_time", "error", "entity_count"]
 
@@ -42,14 +44,23 @@ class Workspace:
         found = files.scan(self.spark, self.root, self.name, **{**self.scan_options, **options}).where("reason is null and content is not null")
         return found.withColumn("path", F.col("relative_path")).withColumn("content_hash", F.sha2("content", 256))
 
-    def index(self, rebuild: bool = False) -> dict[str, int]:
-        """Bring the index up to date; the number of files by what became of them."""
+    def index(self, rebuild: bool = False, paths: Sequence[str] | None = None) -> dict[str, int]:
+        """Bring the index up to date; the number of files by what became of them.
+
+        With paths, relative to root, only these files and what is below these folders is compared; the rest stays.
+        """
         spark, scanned = self.spark, self._scanned()
+        inside = F.lit(True)
+        if paths is not None and not rebuild and self.snapshots.manifest is not None:
+            inside = F.col("path").isin(list(paths))
+            for p in paths:
+                inside = inside | F.col("path").startswith(p.rstrip("/") + "/")
+        scanned = scanned.where(inside)
         fresh = rebuild or self.snapshots.manifest is None
         if fresh:
             stored = spark.createDataFrame([], "file_id string, path string, kind string, format string, size_bytes long, last_modified long, content_hash string, indexed_time long, error string, entity_count long")
         else:
-            stored = self.snapshots.read("files")
+            stored = self.snapshots.read("files").where(inside)
         states = index.diff(scanned, stored)
         fresh_ids = states.where(F.col("state").isin("added", "modified", "pending")).select("file_id")
         changed = states.where(F.col("state") != "unchanged").select("file_id")
@@ -63,10 +74,28 @@ class Workspace:
         rows = rows.join(old, "file_id", "left").withColumn("indexed_time", F.coalesce("_then", "indexed_time")).drop("_then")
         counts = entities.groupBy("file_id").agg(F.sum(major.cast("long")).alias("entity_count"))
         rows = rows.join(counts, "file_id", "left").withColumn("entity_count", F.coalesce("entity_count", F.lit(0).cast("long"))).select(*FILES)
+        if not fresh:
+            rows = rows.unionByName(self.snapshots.read("files").where(~inside))
         tally = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}  # a row for each state
         self.snapshots.write(self.fingerprint, replace_fingerprint=rebuild, entities=entities, files=rows)
         return {s: tally.get(s, 0) for s in ("added", "modified", "pending", "deleted", "unchanged")}
 
+    def follow(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        """Apply a stream of changed paths, relative to root in the column path, micro-batch by micro-batch.
+
+        A batch of more than ``changes.BUDGET`` paths is widened to their folders, and to the whole tree if there are
+        still more, so that no change is lost and what comes to the driver is bounded.  An update may run twice.
+        """
+
+        def apply(batch: DataFrame, _: int) -> None:
+            scopes = changes.widen(batch.select(F.lit(self.name).alias("root"), "path"))
+            cover = changes.minimal_cover(scopes.select("path").distinct())
+            paths = [r["path"] for r in cover.limit(changes.BUDGET + 1).collect()]
+            if paths:
+                self.index(paths=None if "" in paths or len(paths) > changes.BUDGET else paths)
+
+        return changes.apply_changes(stream, apply, checkpoint, available_now)
+
     def _entities(self, texts: DataFrame) -> DataFrame:
         cut = chunking.entities(texts, self.size, self.overlap).withColumnRenamed("content", "text")
         cut = cut.withColumn("id", index.entity_id(F.col("file_id"), F.col("index")))
@@ -129,6 +158,28 @@ class Workspace:
         evidence = fusion.evidence(hits.select("public_id", "rank", "path", F.col("member").alias("id"))).withColumnRenamed("public_id", "id")
         return self._shown(best).join(evidence, "id", "left")
 
+    def diagnose(self, plan: SearchPlan, entity: str) -> DataFrame:
+        """(route, depth_reached, rank, score, reason) for each route of a plan: where an entity stands in it, or why it
+        doesn't: it isn't indexed, a filter leaves it out, the route doesn't match it, or it comes behind the last depth."""
+        plan = resolve(plan)
+        entities, known = self.snapshots.read("entities"), self.snapshots.read("files")
+        there = entities.where(F.col("id") == entity).select("file_id", "symbol_type")
+        passed = there.join(known.where(file_filter(plan, F.col("path"), F.col("last_modified"), F.col("format"))), "file_id", "left_semi")
+        if plan.symbol_types:
+            passed = passed.where(F.col("symbol_type").isin(list(plan.symbol_types)))
+        hits, names = self.hits(plan)
+        mine = hits.where(F.col("id") == entity).groupBy("route").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+        reached = hits.groupBy("route").agg(F.max("rank").alias("depth_reached"))
+        routes = self.spark.createDataFrame([(n, i) for i, n in enumerate(names)], "route string, n int")
+        facts = there.agg((F.count("*") > 0).alias("indexed")).crossJoin(passed.agg((F.count("*") > 0).alias("passed")))  # a row each
+        rows = routes.join(reached, "route", "left").join(mine, "route", "left").crossJoin(F.broadcast(facts))
+        depth = F.coalesce("depth_reached", F.lit(0))
+        reason = (
+            F.when(~F.col("indexed"), "not indexed").when(~F.col("passed"), "left out by a filter").when(F.col("rank").isNotNull(), "found")
+            .when(depth >= recall.FIRST_DEPTH, "behind the depth or no match").otherwise("no match")
+        )
+        return rows.orderBy("n").select("route", depth.alias("depth_reached"), "rank", "score", reason.alias("reason"))
+
     def context(
         self, queries: Sequence[str], extra: Sequence[Route] = (), fuse: bool = False, limit: int | None = None, **filters
     ) -> DataFrame:

@@ -52,6 +52,23 @@ def test_workspace(spark, tree, tmp_path):
     assert space.index() == {"added": 0, "modified": 1, "pending": 0, "deleted": 1, "unchanged": 2}
     assert {r["path"] for r in space.search(fts).collect()} == {"pkg/store.py"}
     assert space.status()["total"] == 3 and space.status()["failed"] == 0
+    store = space.search(fts).first()["id"]
+    told = lambda plan, entity: [(r["route"], r["reason"]) for r in space.diagnose(plan, entity).collect()]
+    assert told(search.hybrid("orchid"), store) == [("fts", "found"), ("vector", "found")]
+    assert told(search.hybrid("fern"), store) == [("fts", "no match"), ("vector", "found")]
+    assert told(search.hybrid("orchid", exclude_paths=["pkg"]), store) == [("fts", "left out by a filter"), ("vector", "left out by a filter")]
+    assert told(fts, "none") == [("fts", "not indexed")]
+
+    (tree / "notes.txt").write_text("an orchid\n")
+    (tree / "pkg/new.txt").write_text("orchid\n")
+    assert space.index(paths=["pkg"])["added"] == 1  # notes.txt isn't looked at
+    assert {r["path"] for r in space.search(fts).collect()} == {"pkg/store.py", "pkg/new.txt"}
+    os.remove(tree / "pkg/new.txt")
+    spark.createDataFrame([("notes.txt",), ("pkg/new.txt",)], "path string").write.parquet(str(tmp_path / "changes"))
+    stream = spark.readStream.schema("path string").parquet(str(tmp_path / "changes"))
+    space.follow(stream, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert {r["path"] for r in space.search(fts).collect()} == {"pkg/store.py", "notes.txt"} and space.status()["total"] == 3
+
     other = Workspace(spark, str(tree), str(tmp_path / "index"), model_name="other")
     with pytest.raises(ValueError):
         other.index()
