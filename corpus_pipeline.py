@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; every stage but the last
 returns the columns of documents.  Between stages the rows are written as Parquet and read again.
 
-Defined results: a null text is an empty one, which the rules reject; rows without id are kept by the duplicate stage;
+Defined results: a null text is an empty one, which the rules reject; rows without id are rows like others to the duplicate stage;
 an empty table of documents gives an empty table of pieces.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, packing, quality_model, quality_rules, simhash
+from lodestar.llm import mixing, near_copies, packing, quality_model, quality_rules
 from lodestar.llm._shared import cut, table
 from lodestar.llm.queries import tokenizer_path
 
@@ -27,8 +27,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (a Jaccard similarity of 0.8 or more on five words), that with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
