@@ -10,9 +10,11 @@ import ast
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 SIZE, OVERLAP = 3600, 540
 #: What a cut after a sign is worth.
@@ -311,11 +313,25 @@ def _arrow(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def dense_window(text: str) -> bool:
+    """Whether any window of DENSE_WINDOW characters of a text at least so long is dense."""
+    signs, place = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
+    odd = np.array([not (c.isalpha() or c in " \t\n\x0b\f\r") for c in map(chr, signs.tolist())], bool)[place]
+    upto = np.concatenate(([0], np.cumsum(odd)))
+    return bool((upto[DENSE_WINDOW:] - upto[:-DENSE_WINDOW]).max() >= DENSE_SHARE * DENSE_WINDOW)
+
+
+def _dense_windows(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else dense_window(t) for t in texts.to_pylist()], pa.bool_())
+
+
 def token_dense(text: Column) -> Column:
-    """Whether 30 % or more of a text's first window are neither letters nor spaces: such text has more tokens."""
-    head = F.substring(text, 1, DENSE_WINDOW)
-    odd = F.char_length(F.regexp_replace(head, r"[\p{L}\s]", ""))
-    return (F.char_length(head) > 0) & (odd >= DENSE_SHARE * F.char_length(head))
+    """Whether 30 % or more of a text, or of any window of one longer than a window, are neither letters nor spaces: such
+    text has more tokens."""
+    size = F.char_length(text)
+    odd = F.char_length(F.regexp_replace(text, r"[\p{L}\s]", ""))
+    long = F.arrow_udf(_dense_windows, BooleanType())(F.when(size > DENSE_WINDOW, text))
+    return F.when(size > DENSE_WINDOW, long).otherwise((size > 0) & (odd >= DENSE_SHARE * size))
 
 
 def chunk_budget(text: Column, tokens: int) -> Column:
