@@ -621,7 +621,7 @@ def token_dense(spark, sf):
 def code_entities(spark, sf):
     """Documents as the bodies of Python functions, cut by definitions."""
     i = F.col("doc_id").cast("string")
-    body = F.concat(F.lit("class C"), i, F.lit(":\n    def m"), i, F.lit('(self):\n        """'), F.regexp_replace(F.substring("text", 1, 4000), r'["\\]', " "), F.lit('"""\n        return 1\n'))
+    body = F.concat(F.lit("class C"), i, F.lit(":\n    def m"), i, F.lit('(self):\n        """'), F.regexp_replace("text", r'["\\]', " "), F.lit('"""\n        return 1\n'))
     docs = _t(spark, sf, "documents").select(i.alias("file_id"), F.lit("code").alias("kind"), F.lit("python").alias("format"), body.alias("text"))
     return chunking.entities(docs).select("file_id", "index", "group", "symbol_type", "symbol_name", "scope", "start_line", "end_line")
 
