@@ -3,14 +3,14 @@
 Documents are tokenised, closed by a separator and, where longer than a sequence, cut into pieces.  Only the histogram of
 piece lengths (one count for each length up to the sequence's) comes to the driver.  There the configuration linear
 program -- a configuration is a multiset of lengths that fits a sequence, every length needs its count -- is solved by
-multiplicative weights: a length's price falls with the share of its count that is covered, an unbounded-knapsack
-dynamic program finds the dearest configurations at these prices, and each is used a whole number of times, which rounds
-as it goes.  What a rounding leaves over is packed by best fit on the histogram, and so is everything if that alone needs
-fewer sequences.
+multiplicative weights: a length's price falls exponentially with the share of its count that is covered, a knapsack
+dynamic program finds the dearest configurations at these prices, and amounts of them add up to a fractional solution.
+That is rounded to whole numbers; what the rounding leaves over is solved and rounded again, and best fit on the
+histogram packs the last few hundredths only.
 
 The packing is a table of runs: the pieces of one length, from a rank on, go to consecutive sequences at one offset.  Its
 size depends on the number of lengths alone, so it is broadcast.  Pieces are ranked within their length by hash bucket,
-so that a length that a third of all pieces share is never ordered in one task.
+one for each ``RANKED`` pieces, so that a length that a third of all pieces share is never ordered in one task.
 
 Defined results: a null text is an empty one, and that is a piece of one separator; repeated rows are packed each for
 itself; an empty table gives an empty result; of the input only the id and the text are read.
@@ -19,7 +19,6 @@ itself; an empty table gives an empty result; of the input only the id and the t
 from __future__ import annotations
 
 import json
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +35,8 @@ from ._shared import coded_words, cut, small_batches
 
 CAPACITY = 2048
 SEPARATOR = 0
-BUCKETS = 256
+#: Pieces of one length that are ordered together, about.
+RANKED = 1 << 14
 
 # The steps of a tokenizer file whose ids can be made chunk by chunk.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -164,10 +164,13 @@ def pieces(
 
 @dataclass
 class Packing:
-    """Configurations (lengths, times used) in order, and a lower bound of the number of sequences."""
+    """Configurations (lengths, times used) in order, a lower bound of the number of sequences, and how many of these are
+    full pieces alone and how many come from the program; best fit made the others."""
 
     configurations: list[tuple[tuple[int, ...], int]]
     bound: float
+    full: int = 0
+    programmed: int = 0
 
     @property
     def sequences(self) -> int:
@@ -215,78 +218,129 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [(tuple(lengths), k) for groups in room.values() for lengths, k in groups]
 
 
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dearest content of every capacity, and the index of a length in it; -1 for none.  Lengths ascend."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The dearest content of every capacity from 0 on.  Lengths ascend; any may be taken any number of times."""
     value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(int(lengths[0]), capacity + 1):
-        n = upto[c]
-        found = value[c - lengths[:n]] + prices[:n]
-        k = int(found.argmax())
-        value[c], choice[c] = found[k], k
-        if value[c - 1] > value[c]:
-            value[c], choice[c] = value[c - 1], -2
-    return value, choice
-
-
-def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 250, together: int = 48, rate: float = 1.0) -> Packing:
-    """Packing of a histogram: multiplicative weights with knapsack pricing, the rest by best fit."""
+        found = (value[c - lengths[: upto[c]]] + prices[: upto[c]]).max()
+        value[c] = max(found, value[c - 1])
+    return value
+
+
+@dataclass(frozen=True)
+class Solver:
+    #: The share of all tokens that a fractional solution may leave open, and the rounds it gets at most.
+    gap: float = 0.01
+    rounds: int = 200
+    #: How much a length's price follows the share of its count that is open.
+    rate: float = 0.3
+    #: The first tolerance (the share by which a configuration may be cheaper than the dearest), what it grows by when a
+    #: round hardly gets on, and the last one.
+    tolerance: float = 0.005
+    growth: float = 1.2
+    most: float = 0.02
+    #: Times that what a rounding leaves is solved again, and the share of tokens that is small enough for best fit.
+    passes: int = 16
+    rest: float = 0.04
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, solver: Solver = Solver(), step: float = 0.5) -> tuple[Counter, float]:
+    """(amounts of configurations by the places of their lengths, lower bound): a solution of the configuration program.
+
+    Each round prices the lengths, those with a larger open share dearer by an exponential weight, and takes the dearest
+    contents of all capacities by the knapsack program.  From the longest open length on, every length is completed to
+    the dearest configuration whose lengths no other one of the round has; those within the tolerance are used for
+    ``step`` of what their scarcest length has open.  It ends where no configuration within the last tolerance gets on;
+    what is open then is for the next pass.
+    """
+    open_, whole = demand.astype(float), float((lengths * demand).sum())
+    used, bound, tolerance = Counter(), whole / capacity, solver.tolerance
+    for _ in range(solver.rounds):
+        at = np.flatnonzero(open_)
+        if not len(at) or tolerance > solver.most or float((lengths * open_).sum()) <= solver.gap * whole:
+            break
+        own, share = lengths[at], open_[at] / demand[at]
+        prices = own * np.exp(solver.rate * (share - share.max()))
+        value = knapsack(own, prices, capacity)
+        if len(at) == len(lengths):  # prices of all lengths, divided by the dearest content, are a dual solution
+            bound = max(bound, float((prices * demand).sum()) / value[capacity])
+        fresh, free, moved = np.ones(len(at), bool), prices.copy(), 0.0
+        for first in range(len(at) - 1, -1, -1):
+            if not fresh[first]:
+                continue
+            content, room, worth = [first], capacity - int(own[first]), prices[first]
+            free[first], fresh[first] = -np.inf, False
+            while room >= own[0]:
+                n = int(np.searchsorted(own, room, side="right"))
+                found = free[:n] + value[room - own[:n]]
+                k = int(found.argmax())
+                if found[k] == -np.inf:
+                    break
+                content.append(k)
+                room, worth, free[k] = room - int(own[k]), worth + prices[k], -np.inf
+            if worth < value[capacity] * (1 - tolerance):
+                free[content[1:]] = prices[content[1:]]
+                continue
+            fresh[content] = False
+            places = at[content]
+            least = float(open_[places].min())
+            amount = least * step if least * step > 0.05 * float(demand[places].min()) else least
+            used[tuple(places.tolist())] += amount
+            open_[places] -= amount
+            moved += amount
+        open_[open_ < 1e-9] = 0
+        if moved < 0.03 * float((lengths * open_).sum()) / capacity:
+            tolerance *= solver.growth
+    return used, bound
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, solver: Solver = Solver()) -> Packing:
+    """Packing of a histogram: the configuration program is solved over the whole of it and rounded at random, to whole
+    numbers that no length's count forbids; what that leaves over is a smaller program of the same kind, solved again,
+    and best fit packs the last few hundredths."""
     counts = {int(a): int(n) for a, n in counts.items() if n > 0}
-    if not counts:
-        return Packing([], 0.0)
     alone = [((capacity,), counts[capacity])] if capacity in counts else []
     lengths = np.array(sorted(a for a in counts if a < capacity), np.int64)
-    demand = np.array([counts[int(a)] for a in lengths], np.int64)
-    whole = len(alone) and alone[0][1]
-    bound = float((lengths * demand).sum()) / capacity
-    left, used = demand.copy(), Counter()
-    prices = lengths * (1.0 + lengths / capacity)
-    plain = best_fit({int(a): int(n) for a, n in zip(lengths, demand)}, capacity)
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left)
-        solved = [(tuple(int(lengths[i]) for i in c), k) for c, k in used.items()]
-        solved += best_fit({int(lengths[i]): int(left[i]) for i in open_}, capacity)
-        # Nothing is open, or rounding up meets the lower bound: no packing needs fewer.
-        if not len(open_) or used and sum(k for _, k in solved) <= math.ceil(bound - 1e-6):
+    left = np.array([counts[int(a)] for a in lengths], np.int64)
+    whole, bound = int((lengths * left).sum()), 0.0
+    solved: Counter = Counter()
+    for turn in range(solver.passes):
+        keep = np.flatnonzero(left)
+        if not len(keep) or (turn and int((lengths * left).sum()) < solver.rest * whole):
             break
-        value, choice = _knapsack(lengths[open_], prices[open_], capacity)
-        bound = max(bound, float((prices[open_] * demand[open_]).sum()) / value[capacity])
-        worth = prices[open_] + value[capacity - lengths[open_]]
-        fresh = np.ones(len(lengths), bool)
-        for first in np.argsort(-worth)[:together]:
-            content, room = Counter({int(open_[first]): 1}), capacity - int(lengths[open_[first]])
-            while room > 0 and choice[room] != -1:
-                if choice[room] == -2:
-                    room -= 1
-                    continue
-                i = int(open_[choice[room]])
-                content[i] += 1
-                room -= int(lengths[i])
-            # A configuration may not ask for more than is left, and one length serves one configuration a round.
-            most = min(int(left[i]) // n for i, n in content.items())
-            if most < 1 or not all(fresh[i] for i in content):
-                continue
-            k = max(1, most // 2)
-            used[tuple(sorted(content.elements(), reverse=True))] += k
-            for i, n in content.items():
-                left[i] -= k * n
-                prices[i] *= np.exp(-rate * 0.02 * k * n / demand[i])
-                fresh[i] = False
-    if sum(k for _, k in plain) < sum(k for _, k in solved):
-        solved = plain
-    return Packing(alone + solved, whole + bound)
+        amounts, least = fractional(lengths[keep], left[keep], capacity, solver, 0.5 if turn == 0 else 1.0)
+        bound = bound if turn else least
+        ordered = sorted(amounts.items(), key=lambda x: (-x[1], x[0]))
+        up, took = np.random.default_rng(turn).random(len(ordered)), 0
+        for (places, amount), u in zip(ordered, up.tolist()):
+            at = keep[list(places)]
+            k = min(int(amount + u), int(left[at].min()))
+            if k > 0:
+                left[at] -= k
+                solved[tuple(sorted(lengths[at].tolist(), reverse=True))] += k
+                took += k
+        if not took:
+            break
+    made = sorted(solved.items(), reverse=True)
+    rest = best_fit({int(a): int(n) for a, n in zip(lengths, left) if n}, capacity)
+    n = sum(k for _, k in alone)
+    return Packing(alone + made + rest, n + bound, n, sum(k for _, k in made))
 
 
 def assign(parts: DataFrame, packing: Packing, id_col: str = "doc_id") -> DataFrame:
     """parts with sequence_id and offset.  parts has a length for each row and was counted for the packing."""
-    runs = packing.runs()
+    runs, counts = packing.runs(), Counter()
+    for lengths, k in packing.configurations:
+        for length in lengths:
+            counts[length] += k
+    buckets = F.lit([1 + counts[length] // RANKED for length in range(1 + max(counts, default=0))])
     shared = parts.sparkSession.sparkContext.broadcast(runs)
-    rows = parts.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(BUCKETS)).cast("int"))
+    rows = parts.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.element_at(buckets, (F.col("length") + 1).cast("int"))))
     per = rows.groupBy(F.col("length").alias("_l"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_l", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece", "start")
+    order = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece", "ids_crc32")
     ranked = rows.withColumn("_rank", F.row_number().over(order) - 1)
     ranked = ranked.join(per, (F.col("length") == F.col("_l")) & (F.col("_bucket") == F.col("_b")))
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_l", "_b", "_before", "_bucket")

@@ -108,8 +108,34 @@ def test_packing_solution(counts):
         for x in lengths:
             used[x] += k
     assert used == Counter(counts) and found.sequences >= found.bound - 1e-6
-    first_fit = sum(k for _, k in packing.best_fit(counts, 64)) if counts else 0
-    assert found.sequences <= first_fit
+
+
+def test_packing_program_packs_most():
+    """The program, not best fit, makes nearly all sequences, and few more than any packing needs."""
+    random.seed(4)
+    counts = Counter(min(2048, int(random.lognormvariate(5.6, 1.2)) + 1) for _ in range(20_000))
+    found = packing.solve(counts)
+    short = found.sequences - found.full
+    assert found.full == counts[2048] and found.programmed >= 0.9 * short
+    assert found.sequences <= 1.01 * found.bound + 1
+    volume = sum(a * n for a, n in counts.items()) / 2048
+    assert found.bound >= volume - 1e-6
+
+
+def test_packing_fractional_solution():
+    """Amounts never ask for more than there is and waste next to nothing; with what is open they meet the bound."""
+    random.seed(9)
+    counts = Counter(random.randint(1, 400) for _ in range(30_000))
+    lengths = np.array(sorted(counts))
+    demand = np.array([counts[int(a)] for a in lengths])
+    amounts, bound = packing.fractional(lengths, demand, 1024)
+    covered = np.zeros(len(lengths))
+    for places, amount in amounts.items():
+        assert lengths[list(places)].sum() <= 1024 and amount > 0
+        np.add.at(covered, list(places), amount)
+    assert (covered <= demand + 1e-6).all()
+    open_ = float((lengths * (demand - covered)).sum()) / 1024
+    assert bound - 1e-6 <= sum(amounts.values()) + open_ <= 1.01 * bound and open_ < 0.8 * bound
 
 
 def test_automaton_finds_longest_matches():
