@@ -75,6 +75,17 @@ def duplicated(values: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def word_sizes(words: list[bytes], plain: bool) -> np.ndarray:
+    """Code points of every word; plain if all are ASCII."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    if plain or not words:
+        return sizes
+    line = np.frombuffer(b" ".join(words), np.uint8)
+    more = np.cumsum(np.append(0, (line & 0xC0) == 0x80))  # bytes that continue a code point
+    ends = np.cumsum(sizes + 1) - 1
+    return sizes - (more[ends] - more[ends - sizes])
+
+
 def measure(text: str | None, rules: Rules = Rules()) -> dict:
     """Counts, coverage and verdicts of one whole text."""
     text = text or ""
@@ -94,7 +105,7 @@ def measure(text: str | None, rules: Rules = Rules()) -> dict:
     first: dict[bytes, int] = {}
     ids = np.fromiter((first.setdefault(w, i) for i, w in enumerate(words)), np.int64, n)
     values = _mixed(ids)
-    sizes = np.fromiter(map(len, words), np.int64, n)
+    sizes = word_sizes(words, len(data) == len(text))
     again = {k: duplicated(values, k) for k in {BASE_WINDOW, *(k for k, _ in rules.ngrams)}}
     out |= {"n_dup_lines": n_dup_lines, "n_repeat_words": int(again[BASE_WINDOW].sum())}
     whole = max(1, int(sizes.sum()))

@@ -72,6 +72,28 @@ def test_rules_base(letters, lines):
     assert m["base_failed"] == (len(w) < 20 or 100 * len(again) > 30 * len(w)) and not (m["base_failed"] and m["kept"])
 
 
+@given(st.lists(st.sampled_from(["да", "нет", "é", "ascii", "中文字", "x\u0301"]), max_size=90), st.integers(2, 9))
+@settings(max_examples=100, deadline=None)
+def test_rules_shares(letters, width):
+    """Shares and verdict by brute force in characters, beyond ASCII too."""
+    text = "\n".join(" ".join(letters[i : i + width]) for i in range(0, len(letters), width))
+    rules = quality_rules.Rules()
+    m, w = quality_rules.measure(text), words(text)
+    shares = []
+    for n, _ in rules.ngrams:
+        windows = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        again = {j for i in range(len(w) - n + 1) if windows[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        shares.append(sum(len(w[j]) for j in again) / max(1, sum(map(len, w))))
+    assert m["dup_ngram_shares"] == pytest.approx(shares)
+    seen, lines = set(), 0
+    for line in text.split("\n"):
+        lines += sum(map(len, words(line))) if line in seen else 0
+        seen.add(line)
+    assert m["dup_line_share"] == pytest.approx(lines / max(1, m["word_chars"]))
+    fine = all(s <= most for s, (_, most) in zip(m["dup_ngram_shares"], rules.ngrams)) and m["dup_line_share"] <= 0.3
+    assert m["kept"] == (not m["base_failed"] and fine)
+
+
 def test_rules_verdicts():
     clean = "The quick brown fox jumps over a lazy dog while seven wizards vex the bold knights of autumn near quiet lakes under stars."
     assert quality_rules.measure(clean)["kept"]
