@@ -7,11 +7,14 @@ needs the fewest bits wins.
 
 All documents of a batch are parsed in lock step with numpy: each text is cut into segments of SEGMENT letters, every
 segment starts at the automaton's root, and one gather moves all segments of the batch by one letter.  Where no
-transition exists the phrase ends, and the table already holds where the next one stands after the same letter.
-
-Only the fit is bounded (``Settings``); every row's whole text is parsed.  Defined results: null texts and those without
-a letter are ``und`` with score 0; so is everything when nothing is labelled; repeated rows are each predicted alike; an
-empty table gives an empty result; labels are read for learning only.
+transition exists the phrase ends, and the table already holds where the next one stands after the same letter.  Then the
+seams are mended: a segment is parsed again from the state in which the one before it truly ends, until it is in the
+state that it had at that letter before, from where on nothing differs; so the phrases are those of the whole text.
+
+Only the fit is bounded (``Settings``), by a number of whole labelled rows; every row's whole text is parsed.  Defined
+results: null texts and those without a letter are ``und`` with score 0; so is everything when nothing is labelled;
+repeated rows are each predicted alike, and as one row learned from; an empty table gives an empty result; labels are
+read for learning only; columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,29 +25,35 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import crc_of_id, id_crc, small_batches
+from ._shared import crc_of_id, cut, id_crc, named, small_batches
 
 UNKNOWN = "und"
 #: Letters that are parsed in one go; a phrase also ends at the end of a segment, in every language alike.
 SEGMENT = 256
 #: Segments that move together, so that a batch of very long texts needs no more memory than others.
 TOGETHER = 1 << 14
+#: Parts of a language's labelled rows that are ordered each for itself.
+PARTS = 64
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled rows of a language that are learned from, about, and letters of each row and of all of them, at most.
+    #: Labelled rows of a language that are drawn, at most, and of all languages together.
     rows: int = 64
-    row_chars: int = 1500
-    chars: int = 32_000
+    all_rows: int = 16_384
+    #: Of the rows drawn, whole ones are learned from while the letters of a language are no more than this; a row that
+    #: does not fit is left out, but for the shortest if none fits.
+    letters: int = 40_000
     #: Letters of all languages together, which bounds the automata's memory however many languages there are.
-    all_chars: int = 512_000
-    #: Letters with a class of their own: the most frequent ones; others share one.
-    letters: int = 60
+    all_letters: int = 640_000
+    #: Letters with a class of their own, the most frequent of each language; all others of the sample share ``shared``
+    #: classes by their code point.
+    own: int = 60
+    shared: int = 64
 
 
 def build_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -83,6 +92,7 @@ class Model:
 
     languages: list[str]
     letters: dict[str, int]
+    classes_used: int
     triples: list[np.ndarray]
     states: list[int]
     bits: list[float]
@@ -91,8 +101,8 @@ class Model:
 
     @property
     def width(self) -> int:
-        """Classes: 0 for what is no letter, 1 for other letters, then the letters, and the last for padding."""
-        return len(self.letters) + 3
+        """Classes: 0 for what is no letter, 1 for letters that the sample lacks, then its letters', and the last for padding."""
+        return self.classes_used + 3
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"tables": [], "classes": None}
@@ -133,32 +143,65 @@ def encode(text: str | None, classes: np.ndarray) -> np.ndarray:
     return found[keep]
 
 
+def _parsed(full: np.ndarray, steps: np.ndarray, first: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+    """(phrases that end in each segment, the state after the last segment) of segments in columns.
+
+    first tells the segments that begin a text; another one goes on from the state in which the one before it ends, and
+    the first column from entry unless it begins a text.
+    """
+    low, n = np.uint32((1 << 31) - 1), steps.shape[1]
+    states, ended = np.empty(steps.shape, np.uint32), np.empty(steps.shape, np.uint16)
+    state, count = np.zeros(n, np.uint32), np.zeros(n, np.uint16)
+    for t, column in enumerate(steps):
+        found = full[state + column]
+        count += (found >> np.uint32(31)).astype(np.uint16)
+        state = found & low
+        states[t], ended[t] = state, count
+    begun = np.zeros(n, np.uint32)  # the states that segments were last parsed from
+    while True:
+        before = np.append(np.uint32(entry), states[-1, :-1])
+        before[first] = 0
+        at = np.flatnonzero(before != begun)
+        if not len(at):
+            return ended[-1].astype(np.int64), int(states[-1, -1])
+        begun[at] = before[at]
+        state, count = before[at], np.zeros(len(at), np.uint16)
+        for t in range(len(steps)):
+            found = full[state + steps[t, at]]
+            count = count + (found >> np.uint32(31)).astype(np.uint16)
+            state = found & low
+            on = state != states[t, at]
+            if not on.all():  # from here on all is as it was, but for the count
+                met = ~on
+                ended[t:, at[met]] += count[met] - ended[t, at[met]]
+                at, state, count = at[on], state[on], count[on]
+                if not len(at):
+                    break
+            states[t, at], ended[t, at] = state, count
+
+
 def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(phrases of each text by language, its letters and separators); 0 letters if it has no letter at all."""
     model.unfold()
     pad = model.width - 1
     coded = [encode(t, model.classes) for t in texts]
     sizes = np.array([len(c) if c.any() else 0 for c in coded], np.int64)
+    counts = np.zeros((len(texts), len(model.languages)), np.int64)
     parts = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(texts)), parts)
+    opens = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
     grid = np.full((len(owner), SEGMENT), pad, np.uint8)
     flat, at = grid.reshape(-1), 0
     for c, n, p in zip(coded, sizes, parts):
         flat[at : at + n] = c[:n]
         at += int(p) * SEGMENT
-    counts = np.zeros((len(texts), len(model.languages)), np.int64)
-    low = np.uint32((1 << 31) - 1)
+    entries = [0] * len(model.tables)
     for a in range(0, len(owner), TOGETHER):
         steps = np.ascontiguousarray(grid[a : a + TOGETHER].T)
         for j, full in enumerate(model.tables):
-            state = np.zeros(steps.shape[1], np.uint32)
-            ended = np.ones(steps.shape[1], np.uint32)
-            for column in steps:
-                found = full[state + column]
-                ended += found >> np.uint32(31)
-                state = found & low
-            counts[:, j] += np.bincount(owner[a : a + TOGETHER], ended, len(texts)).astype(np.int64)
-    return counts, sizes
+            found, entries[j] = _parsed(full, steps, opens[a : a + TOGETHER], entries[j])
+            counts[:, j] += np.bincount(owner[a : a + TOGETHER], found, len(texts)).astype(np.int64)
+    return counts + (sizes > 0)[:, None], sizes
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -173,16 +216,32 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return [model.languages[b] if n else UNKNOWN for b, n in zip(best, sizes)], scores
 
 
+def whole_rows(texts: list[str], most: int) -> list[str]:
+    """The texts in order, without those that go beyond so many letters together; the shortest if that leaves none."""
+    out, left = [], most
+    for t in texts:
+        if len(t) <= left:
+            out.append(t)
+            left -= len(t)
+    return out or sorted(texts, key=lambda t: (len(t), t))[:1]
+
+
 def learn(samples: dict[str, list[str]], settings: Settings = Settings()) -> Model:
     """Model of sample texts by language."""
     languages = sorted(samples)
-    seen = Counter(c for ts in samples.values() for t in ts for c in t.lower() if c.isalpha())
-    letters = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: settings.letters])}
+    most = min(settings.letters, settings.all_letters // max(1, len(languages)))
+    kept = {lang: whole_rows(samples[lang], most) for lang in languages}
+    seen = {lang: Counter(c for t in kept[lang] for c in t.lower() if c.isalpha()) for lang in languages}
+    frequent = {c for s in seen.values() for c, _ in sorted(s.items(), key=lambda x: (-x[1], x[0]))[: settings.own]}
+    own = sorted(frequent)[: 250 - settings.shared]
+    others = sorted({c for s in seen.values() for c in s} - set(own))
+    letters = {c: i + 2 for i, c in enumerate(own)}
+    letters |= {c: len(own) + 2 + ord(c) % settings.shared for c in others}
+    used = len(own) + (settings.shared if others else 0)
     classes = letter_classes(letters)
-    most = min(settings.chars, settings.all_chars // max(1, len(languages)))
-    model = Model([], letters, [], [], [])
+    model = Model([], letters, used, [], [], [])
     for lang in languages:
-        codes = [c for t in samples[lang] for c in [0, *encode(t, classes).tolist()]][:most]
+        codes = [c for t in kept[lang] for c in [0, *encode(t, classes).tolist()]]
         if not any(codes):
             continue
         moves = build_automaton(codes)
@@ -202,23 +261,28 @@ def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     settings: Settings = Settings(), usable: Column | None = None,
 ) -> Model:
-    """Model of about ``rows`` labelled rows of each language, those with the smallest hash of id and text."""
+    """Model of at most ``rows`` labelled rows of each language, those with the smallest hash of id and text; rows that
+    agree in both are one."""
     known = docs.where(learnable(id_col) if usable is None else usable)
-    known = known.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    frequent = known.groupBy("lang").count().toArrow().to_pylist()
-    if not frequent:
-        return learn({}, settings)
-    # A row's hash decides; the share that is asked for gives every language its number of rows.
-    share = F.lit(0.0)
-    for r in frequent:
-        share = F.when(F.col("lang") == r["lang"], float(settings.rows) / r["count"]).otherwise(share)
-    chosen = known.where(F.shiftrightunsigned("h", 11) < share * float(1 << 53))
-    rows = chosen.select("lang", "h", F.substring("text", 1, settings.row_chars).alias("text")).toArrow().to_pylist()
+    known = known.where(named(lang_col).isNotNull() & named(text_col).isNotNull())
+    text = named(text_col).cast("string")
+    known = known.select(named(lang_col).cast("string").alias("lang"), F.xxhash64(named(id_col), text).alias("h"), text.alias("text"))
+    hashes = cut(known.select("lang", "h").distinct(), "labelled")
+    n = hashes.agg(F.count_distinct("lang")).first()[0]
+    if n > settings.all_rows:
+        raise ValueError(f"{n} labels are more than the {settings.all_rows} rows that are learned from")
+    most = max(1, min(settings.rows, settings.all_rows // max(1, n)))
+    # The smallest hashes of a language are among the smallest of each of its parts, so that no task orders a language.
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(PARTS))).orderBy("h")
+    few = hashes.withColumn("r", F.row_number().over(part)).where(F.col("r") <= most)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most)
+    chosen = F.broadcast(few.select(F.col("lang").alias("l"), F.col("h").alias("g")))  # all_rows rows at most
+    found = known.join(chosen, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g")), "left_semi")
+    # Each text comes once, however often its row does; the driver gets all_rows texts at most.
+    rows = found.groupBy("lang", "h").agg(F.min("text").alias("text")).toArrow().to_pylist()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
-        if len(samples.setdefault(r["lang"], [])) < 2 * settings.rows:
-            samples[r["lang"]].append(r["text"])
+    for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
+        samples.setdefault(r["lang"], []).append(r["text"])
     return learn(samples, settings)
 
 
@@ -229,7 +293,7 @@ def identify(
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(named(id_col), named(text_col).cast("string").alias("_text"))
     names = [id_col, "held_out", "lang_pred", "score"]
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,17 +160,70 @@ def test_packing_fractional_solution():
     assert bound - 1e-6 <= sum(amounts.values()) + open_ <= 1.01 * bound and open_ < 0.8 * bound
 
 
-def test_automaton_finds_longest_matches():
-    random.seed(1)
-    train, text = "".join(random.choices("abc", k=300)), "".join(random.choices("abcd", k=200))
-    model = langid.learn({"x": [train]})
+def parsed(train, text):
+    """Phrases by cross parsing: longest matches from left to right; an unknown letter is a phrase of its own."""
     want, at = 0, 0
-    while at < len(text):  # longest matches from left to right; an unknown letter is a phrase of its own
+    while at < len(text):
         n = 1
         while at + n < len(text) and text[at : at + n + 1] in train:
             n += 1
         want, at = want + 1, at + n
-    assert langid.phrases(model, [text])[0][0, 0] == want
+    return want
+
+
+@pytest.mark.parametrize("size", [1, 200, 256, 257, 5000, 20_000])
+def test_cross_parsing(size):
+    """Phrases of short and long texts, over the seams of segments and of groups of segments."""
+    random.seed(size)
+    train = "".join(random.choices("abc", k=600))
+    # Long matches go over seams: pieces of the sample among noise.
+    text = ""
+    while len(text) < size:
+        a = random.randrange(600)
+        text += train[a : a + random.randrange(1, 400)] + random.choice("abcd")
+    text = text[:size]
+    model = langid.learn({"x": [train]})
+    assert langid.phrases(model, [text])[0][0, 0] == parsed(train, text)
+
+
+def test_cross_parsing_of_many(monkeypatch):
+    monkeypatch.setattr(langid, "SEGMENT", 8)
+    monkeypatch.setattr(langid, "TOGETHER", 5)
+    random.seed(3)
+    train = {k: "".join(random.choices(k, k=300)) for k in ("abca", "bcdd")}
+    texts = ["".join(random.choices("abcd", k=random.randrange(90))) for _ in range(60)] + ["abca" * 40]
+    model = langid.learn({k: [t] for k, t in train.items()})
+    counts, sizes = langid.phrases(model, texts)
+    for t, c, n in zip(texts, counts, sizes):
+        assert n == len(t) and c.tolist() == [parsed(train[k], t) for k in model.languages]
+
+
+def test_langid_sample(spark):
+    """However many rows lack an id or repeat one, a bounded number of whole rows is learned from, alike every time."""
+    rows = [(None if i % 2 else i, f"text number {i} of words " * (1 + i % 3), "en" if i % 5 else "de") for i in range(3000)] + [(6, "same", "en")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    learn = langid.learn
+    try:
+        langid.learn = lambda samples, settings: seen.append(samples) or learn(samples, settings)
+        langid.fit(docs)
+        langid.fit(docs.repartition(7))
+    finally:
+        langid.learn = learn
+    assert seen[0] == seen[1] and {k: len(v) for k, v in seen[0].items()} == {"de": 64, "en": 64}
+    texts = {r[1] for r in rows}
+    assert all(t in texts for v in seen[0].values() for t in v)
+    assert langid.whole_rows(["a" * 9, "b" * 3, "c" * 2], 5) == ["bbb", "cc"] and langid.whole_rows(["aaa", "bb"], 1) == ["bb"]
+
+
+def test_langid_scripts():
+    """Letters beyond the most frequent ones still tell languages apart."""
+    random.seed(11)
+    one, two = [chr(0x4E00 + i) for i in range(500)], [chr(0x5E00 + i * 3) for i in range(500)]
+    model = langid.learn({"x": ["".join(random.choices(one, k=3000))], "y": ["".join(random.choices(two, k=3000))], "z": ["plain latin words " * 100]})
+    # Texts of pairs that the samples have.
+    found, _ = langid.predict(model, ["".join(random.choices(one, k=200)), "".join(random.choices(two, k=200)), "latin words"])
+    assert found == ["x", "y", "z"] and model.width <= 256
 
 
 def test_langid(spark, odd_docs):
