@@ -270,7 +270,7 @@ def test_html_blocks():
     assert [t for t, _, _ in html_text.main_texts([None, "", "<p>plain", "a < b & c &lt; d <b"])] == ["", "", "plain", "a < b & c < d"]
     # Without an article the host's repeated runs go and unique ones stay.
     menu, foot = "<div>Home News Sports About Contact Help Terms Privacy Jobs</div>", "<div>All rights reserved by the owner of this site since 1999</div>"
-    body = ["Whales sing slowly at night", "Prices of grain rose again in March", "My neighbour paints fences"]
+    body = ["Whales sing slowly at night while the tide is low", "Prices of grain rose again in March, and fell in April", "My neighbour paints fences, gates and now and then a boat"]
     assert [t for t, _, _ in html_text.main_texts([f"{menu}<div>{b}</div>{foot}" for b in body])] == body
 
 
