@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where the session names none, as in tests."""
+    """The folder that driver and executors share.  Only a session that runs on this machine alone may name none, as in
+    tests: it gets a fresh local one, removed when Python ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -54,6 +61,60 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened until none is one of the columns, upper and lower case being alike."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of that very name, whatever signs it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, nulls told from other values: rows that agree in both are taken to be equal."""
+    values = []
+    for field in df.schema.fields:
+        c = named(field.name)
+        plain = field.dataType.simpleString()
+        values += [F.to_json(F.struct(c)) if "map<" in plain or "variant" in plain else c, c.isNull()]
+    return [F.xxhash64(F.lit(seed), *values) for seed in (1, 2)]
+
+
+def rows_but(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of df without those that gone (k1, k2, one) names by their keys; where one is true, a single one of such
+    equal rows stays."""
+    k1, k2 = free_names(df.columns, "k1", "k2")
+    a, b = row_keys(df)
+    keyed = df.withColumn(k1, a).withColumn(k2, b)
+    gone = gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2), "one")
+    once = keyed.join(gone.where("one").drop("one"), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return keyed.join(gone.drop("one"), [k1, k2], "left_anti").unionByName(once).select(*[named(c) for c in df.columns])
+
+
+def rows_times(df: DataFrame, chosen: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """The rows of df that chosen (keys, n, times) names by their keys; n says how often df has such a row, and times how
+    often all of them together come out.
+
+    Rows that stand alone pass one join; only of equal rows that came several times one is picked before.
+    """
+    k1, k2, times = free_names(df.columns, "k1", "k2", "times")
+    a, b = row_keys(df)
+    keyed = df.withColumn(k1, a).withColumn(k2, b)
+    said = chosen.select(F.col(keys[0]).alias(k1), F.col(keys[1]).alias(k2), F.col("times").cast("int").alias(times), "n")
+    several = said.where("n > 1").drop("n")
+    once = keyed.join(several.select(k1, k2), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    out = keyed.join(said.where("n = 1").drop("n"), [k1, k2]).unionByName(once.join(several, [k1, k2]))
+    columns = [named(c) for c in df.columns]
+    return out.select(*columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).select(*columns)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8; bytes.split cuts at exactly the characters that WORD excludes."""
     return text.encode("utf-8").split() if text else []
@@ -87,4 +148,4 @@ def crc_of_id(value: object) -> int:
 
 
 def id_crc(column: str) -> Column:
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+    return F.crc32(F.coalesce(named(column).cast("string"), F.lit("")).cast("binary"))

@@ -71,23 +71,28 @@ def queries() -> dict[str, Query]:
 
 
 #: The rest of the queries can't be said in SQL, or not at the size of whole tables; tests hold them against brute force.
-OP6_SQL = """
+OP6_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+), escaped AS (
+  SELECT conv_id, turn, speaker, md5(text || '/' || speaker) AS digest,
+         regexp_replace(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS text,
+         regexp_replace(regexp_replace(speaker, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS name
+  FROM said
 ), parties AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'
 ), seen AS (
   SELECT s.*, p.perspective,
          CASE WHEN s.speaker = 'system' THEN 'system' WHEN s.speaker = p.perspective THEN 'assistant' ELSE 'user' END AS role
-  FROM said s JOIN parties p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+  FROM escaped s JOIN parties p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), headed AS (
-  SELECT *, '<|' || CASE WHEN role = 'user' THEN 'user name=' || speaker ELSE role END || '|>' || chr(10) AS header FROM seen
+  SELECT *, '<|' || CASE WHEN role = 'user' THEN 'user name=' || name ELSE role END || '|>' || chr(10) AS header FROM seen
 ), rendered AS (
   SELECT *, header || text || chr(10) || '<|end|>' || chr(10) AS rendered FROM headed
 ), placed AS (
   SELECT *, row_number() OVER w - 1 AS position,
          coalesce(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM rendered WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text)
+  FROM rendered WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, digest, speaker)
 )
 SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, speaker, role, rendered, CAST(start AS BIGINT) AS start,
        CAST(CASE WHEN role = 'assistant' THEN start + length(header) ELSE start + length(rendered) END AS BIGINT) AS mask_start,
