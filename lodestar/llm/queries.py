@@ -50,7 +50,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +111,16 @@ SELECT p.page_id, CAST(octet_length(p.payload) AS BIGINT) AS payload_bytes,
          CAST(1 + list_sum(list_transform(range(5), lambda b: (1 << (4 - b)) *
            CAST(substr(bits, CAST(1 + 5 * i + b AS INTEGER), 1) AS INTEGER))) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN p.page_id = f.first THEN NULL ELSE f.first END AS refers_to
-FROM (SELECT *, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits FROM paid) p
+       CASE WHEN p.page_id = f.first THEN NULL ELSE f.first END AS refers_to,
+       CASE WHEN p.page_id = f.first THEN CAST(ceil(block / 4096.0) AS BIGINT) ELSE 1 END AS n_segments
+FROM (
+  SELECT *, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits,
+         -- The response's head, then the payload, from 2048 bytes on in chunks of 1024, each with its size in hex and two
+         -- line ends, and a last one of size 0.
+         CASE WHEN size < 2048 THEN 77 + length(CAST(size AS VARCHAR)) + size
+              ELSE 87 + size + (size // 1024) * (3 + 4) + CASE WHEN size % 1024 > 0 THEN length(printf('%x', size % 1024)) + 4 ELSE 0 END + 5 END AS block
+  FROM (SELECT *, octet_length(payload) AS size FROM paid)
+) p
 JOIN first f USING (payload)
 """
 

@@ -13,7 +13,7 @@ Of records with equal payloads of at least ``least`` bytes that with the smalles
 revisit it.  Equal payloads are found by an aggregation over digests and one join on them; both leave a digest that a
 third of all pages share spread over tasks.
 
-Defined results: a null payload is an empty one; a null id is never the smallest, and a payload none of whose records
+Defined results: urls come back as they were, in whatever signs; a null payload is an empty one; a null id is never the smallest, and a payload none of whose records
 has an id is a response each time; rows that repeat an id and a payload are alike; an empty table gives no records; extra
 columns of the input are not read.
 """
@@ -25,17 +25,18 @@ import gzip
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, small_batches
+from ._shared import fresh_path, named, small_batches
 
-#: Bytes of a record's block from which it is cut into segments, and of a payload from which it is sent in chunks.
-SEGMENT = 64 * 1024
-CHUNKED = 8 * 1024
-CHUNK = 4096
+#: Bytes of a record's block beyond which it is cut into segments, and of a payload from which it is sent in chunks.
+SEGMENT = 4 * 1024
+CHUNKED = 2 * 1024
+CHUNK = 1024
 #: Compressed bytes that are read at once; what lies behind a member is read again for the next.
 FEED = 4096
 #: Bytes of records that make an archive, about.
@@ -43,6 +44,8 @@ ARCHIVE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE = b"\r\n"
+#: Signs of a url that are written as they are; others, white space and the percent sign among them, are percent-encoded.
+URI_SIGNS = "!#$&'()*+,/:;=?@[]~"
 
 
 def digest_of(payload: bytes) -> str:
@@ -50,9 +53,9 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: object, digest: str, segment: int = 1) -> str:
-    """Identifier of the record of a page with a payload of that digest, or of one of its continuations."""
-    made = hashlib.md5(f"{page}/{digest}/{segment}".encode()).hexdigest()
+def record_id(page: object, url: str | None, digest: str, segment: int = 1) -> str:
+    """Identifier of the record of a page at a url with a payload of that digest, or of one of its continuations."""
+    made = hashlib.md5(f"{page}/{url!r}/{digest}/{segment}".encode()).hexdigest()
     return f"<urn:uuid:{made[:8]}-{made[8:12]}-{made[12:16]}-{made[16:20]}-{made[20:]}>"
 
 
@@ -81,16 +84,18 @@ def record(headers: dict[str, object], block: bytes) -> bytes:
     return LINE.join(lines) + LINE * 2 + block + LINE * 2
 
 
-def records_of(page: object, url: str | None, payload: bytes, kind: str, refers_to: object, segment: int = SEGMENT) -> list[bytes]:
+def records_of(
+    page: object, url: str | None, payload: bytes, kind: str, refers_to: object, refers_url: str | None = None, segment: int = SEGMENT
+) -> list[bytes]:
     """The records of a page: one, or more if its block is cut."""
     digest = digest_of(payload)
-    headers = {"WARC-Type": kind, "WARC-Record-ID": record_id(page, digest), "WARC-Date": DATE}
+    headers = {"WARC-Type": kind, "WARC-Record-ID": record_id(page, url, digest), "WARC-Date": DATE}
     if url is not None:
-        headers["WARC-Target-URI"] = url.replace("\r", "%0D").replace("\n", "%0A")
+        headers["WARC-Target-URI"] = quote(url, safe=URI_SIGNS)
     headers |= {"Content-Type": "application/http;msgtype=response", "WARC-Payload-Digest": f"sha1:{digest}"}
     headers |= {} if page is None else {"WARC-Page-ID": page}
     if kind == "revisit":
-        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "WARC-Refers-To-Page-ID": refers_to}
+        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, refers_url, digest), "WARC-Refers-To-Page-ID": refers_to}
         return [record(headers, b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload))]
     if len(payload) >= CHUNKED:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + to_chunks(payload)
@@ -101,7 +106,7 @@ def records_of(page: object, url: str | None, payload: bytes, kind: str, refers_
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     out = [record(headers | {"WARC-Segment-Number": 1}, parts[0])]
     for n, part in enumerate(parts[1:], 2):
-        more = {"WARC-Type": "continuation", "WARC-Record-ID": record_id(page, digest, n), "WARC-Date": DATE}
+        more = {"WARC-Type": "continuation", "WARC-Record-ID": record_id(page, url, digest, n), "WARC-Date": DATE}
         more |= {"WARC-Segment-Origin-ID": headers["WARC-Record-ID"], "WARC-Segment-Number": n}
         if n == len(parts):
             more["WARC-Segment-Total-Length"] = len(block)
@@ -149,16 +154,17 @@ def payload_of(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def reassemble(parts: Iterable[tuple[int, int | None, bytes]]) -> bytes:
-    """Block of a segmented record from (segment number, total length if the last, bytes) in the order of segments; of
-    segments that come again, as those of repeated rows do, one is read."""
-    block, want, total = [], 1, None
+    """Block of a segmented record from (segment number, total length if the last, bytes) in the order of segments.
+
+    Segments that come again, as those of repeated rows do, have to be equal.
+    """
+    block, total = [], None
     for number, said, data in parts:
-        if number == want - 1:
+        if number == len(block) and block[-1] == data:
             continue
-        if number != want:
-            raise ValueError(f"segment {want} is missing")
+        if number != len(block) + 1:
+            raise ValueError(f"segment {len(block) + 1} is missing, or segment {number} has two contents")
         block.append(data)
-        want += 1
         total = said if said is not None else total
     whole = b"".join(block)
     if total is None or len(whole) != total:
@@ -167,18 +173,19 @@ def reassemble(parts: Iterable[tuple[int, int | None, bytes]]) -> bytes:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0) -> DataFrame:
-    """(id, url, payload, kind, refers_to) of every row."""
-    payload = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    """(id, url, payload, kind, refers_to, refers_url) of every row."""
+    payload = F.coalesce(named(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(named(id_col).alias("id"), named(url_col).cast("string").alias("url"), payload.alias("payload"))
     digest = F.sha1("payload")
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, digest))
-    first = rows.where("digest is not null").groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first")
+    first = rows.where("digest is not null").groupBy(F.col("digest").alias("d")).agg(first, F.count("*").alias("n"))
     # Only payloads that several rows have need the join; one that stands alone is a response.
     repeated = first.where("n > 1").select("d", "first")
     joined = rows.join(repeated, F.col("digest") == F.col("d"), "left")
-    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
     kind = F.when(again, "revisit").otherwise("response")
-    return joined.select("id", "url", "payload", kind.alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    return joined.select("id", "url", "payload", kind.alias("kind"), F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"))
 
 
 def write_archives(planned: DataFrame, path: str, archive: int = ARCHIVE, segment: int = SEGMENT) -> DataFrame:
@@ -190,8 +197,8 @@ def write_archives(planned: DataFrame, path: str, archive: int = ARCHIVE, segmen
 
         part, n, size, members = TaskContext.get().partitionId(), 0, 0, []
         for batch in batches:
-            for page, url, payload, kind, refers in zip(*[c.to_pylist() for c in batch.columns]):
-                for one in records_of(page, url, payload, kind, refers, segment):
+            for page, url, payload, kind, refers, refers_url in zip(*[c.to_pylist() for c in batch.columns]):
+                for one in records_of(page, url, payload, kind, refers, refers_url, segment):
                     members.append(gzip.compress(one, 1, mtime=0))
                     size += len(members[-1])
                 if size >= archive:
@@ -204,10 +211,10 @@ def write_archives(planned: DataFrame, path: str, archive: int = ARCHIVE, segmen
     return planned.sparkSession.read.schema("archive string, data binary").parquet(path)
 
 
-FIELDS = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
+FIELDS = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "n_segments"]
 
 
-def _row(headers: dict[str, str], block: bytes) -> list:
+def _row(headers: dict[str, str], block: bytes, segments: int = 1) -> list:
     http, body = payload_of(block)
     kind, said = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
     size = int(http["content-length"]) if kind == "revisit" else len(body)
@@ -215,19 +222,20 @@ def _row(headers: dict[str, str], block: bytes) -> list:
         raise ValueError("a payload is not what its digest says")
     page, refers = headers.get("warc-page-id"), headers.get("warc-refers-to-page-id")
     url = headers.get("warc-target-uri")
-    return [int(page) if page else None, url, kind, int(refers) if refers else None, said, size, body if kind == "response" else None]
+    url = unquote(url) if url is not None else None
+    return [int(page) if page else None, url, kind, int(refers) if refers else None, said, size, segments, body if kind == "response" else None]
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_digest, payload_bytes[, payload]) of every record of the archives,
-    segmented ones reassembled; of a revisit the payload is null.  A damaged record raises an error."""
+    """(page_id, url, record_type, refers_to, payload_digest, payload_bytes, n_segments[, payload]) of every record of the
+    archives, segmented ones reassembled; of a revisit the payload is null.  A damaged record raises an error."""
     spark = archives.sparkSession
     small_batches(spark)
     kept = [*FIELDS, *["payload"] * payloads]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * payloads]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * payloads]
     segment_kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     names = [*kept, "origin", "segment", "total", "bytes", "head"]
-    schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads
+    schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, n_segments long" + ", payload binary" * payloads
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -253,7 +261,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             return []
         if head is None:
             raise ValueError("segment 1 is missing")
-        return [_row(head, reassemble(parts))[: len(kept)]] * sum(p[0] == 1 for p in parts)
+        return [_row(head, reassemble(parts), parts[-1][0])[: len(kept)]] * sum(p[0] == 1 for p in parts)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -278,7 +286,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], kept)
 
     found = archives.select("data").mapInArrow(parsed, f"{schema}, origin string, segment long, total long, bytes binary, head string")
-    # Whole records are dealt by what they are, segments by the identifier of their origin.
+    # Whole records are dealt by what they are, segments by the identifier of their origin, which a page's url is part of.
     where = F.when(F.col("origin").isNotNull(), F.xxhash64("origin")).otherwise(F.xxhash64("page_id", "url", "payload_digest"))
     dealt = found.withColumn("_deal", where).repartition("_deal").sortWithinPartitions("origin", "segment").drop("_deal")
     return dealt.mapInArrow(joined, schema)

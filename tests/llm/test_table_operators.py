@@ -182,6 +182,7 @@ def test_packing(docs):
 def test_warc_round_trip(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     odd = [(9001, "http://a/", "x" * 300_000), (9002, None, "x" * 300_000), (9003, "u", None), (9004, "u", ""), (9005, "z", "y" * 70_000), (9005, "z", "y" * 70_000), (None, "n", "n"), (None, "n", "m" * 90_000)]
+    odd += [(9006, " http://a/b c?é=%20\r\n", "u" * 9000), (9006, "http://other/", "u" * 9000), (9007, "http://b/", "u" * 9000)]
     pages = pages.unionByName(spark.createDataFrame(odd, pages.schema)).withColumn("payload", pages.page_id)
     rows = [(r["page_id"], r["url"], (r["html"] or "").encode()) for r in pages.collect()]
     first = {}
@@ -194,6 +195,7 @@ def test_warc_round_trip(spark):
         want[(i, u, "revisit" if again else "response", first[p] if again else None, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), None if again else p)] += 1
     got = warc.round_trip(pages, payloads=True).collect()
     assert Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], r["payload"] and bytes(r["payload"]) if r["payload"] else r["payload"] and b"" if r["payload"] is None else b"") for r in got) == want
+    assert sum(r["n_segments"] > 1 for r in got) > len(got) / 10
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
@@ -208,6 +210,9 @@ def test_warc_parts():
         warc.reassemble(parts[:-1])
     with pytest.raises(ValueError):
         warc.reassemble(parts[:2] + parts[3:])
+    assert warc.reassemble([parts[0], *parts]) == warc.reassemble(parts)
+    with pytest.raises(ValueError):
+        warc.reassemble([parts[0], (1, None, b"other"), *parts[1:]])
 
 
 def test_chat(spark, duck):
