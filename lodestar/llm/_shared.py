@@ -51,7 +51,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+#: What ``fresh_path`` gave out, in order, until ``forget`` takes it away.
+WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession, first: int, last: int | None = None) -> None:
+    """Remove tables from the shared folder, by their places in WRITTEN, that nothing reads any more."""
+    for path in WRITTEN[first:last]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del WRITTEN[first:last]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -6,13 +6,14 @@ the remaining budget with single documents: they are counted by exact length, ea
 and a bounded subset-sum program over the lengths' left-over counts spends the rest to the word.  Which documents of a
 length are taken is decided by a seeded hash of the id, so reruns agree.
 
-The only values that come to the driver are one total per source.  A length's budget is fitted per source from its
-histogram (a row for each distinct length); documents are picked by hash bucket, so that a length that a third of all
-rows share is never ordered in one task: only its one bucket in which the count is reached is ranked.
+No source comes to the driver, however many there are: targets settle by sums over the table of sources.  A length's
+budget is fitted per source from its histogram (a row for each distinct length); documents are picked by hash bucket, one
+for each ``RANKED`` of them, so that a length that a third of all rows share is never ordered in one task: only its one
+bucket in which the count is reached is ranked.
 
 Defined results: a null text has size 0; a document of size 0 is taken with 0 words; null sources are one source, the
-last; null ids are hashed as such; repeated rows are picked each for itself, in either order; an empty table gives an
-empty result.
+last; null ids are hashed as such; repeated rows are picked each for itself, in either order; of documents of one size
+and hash those with the smaller id are picked first; an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import cut, word_count
+from ._shared import cut, named, row_keys, rows_times, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 SEED = 42
-#: Hash buckets of the documents of one source and length.
-BUCKETS = 256
+#: Documents of one source and length that are ordered together, about.
+RANKED = 1 << 14
 #: The budget that is left to the subset-sum program, about.
 PROGRAM = 1 << 15
 
@@ -107,21 +108,50 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[float] = WEIGHTS, seed: int = SEED,
-) -> DataFrame:
-    """(id_col, size, source_size, target, taken, copies) of every row; taken is size times copies."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col(id_col), F.col("size")))
-    rows = cut(rows.withColumn("bucket", F.shiftrightunsigned("h", 56).cast("int")), "sizes")
+def weighted(totals: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """totals (source, source_size) with each source's weight by its place in code point order, null last.
+
+    Sources are put in order by ranges; only the number of sources in each range comes to the driver.
+    """
+    order = F.col("source").asc_nulls_last()
+    placed = cut(totals.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftrightunsigned("at", 33).cast("int")
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, upto = [], 0
+    for p in range(max(counts, default=0) + 1):
+        before.append(upto % len(weights))
+        upto += counts.get(p, 0)
+    place = F.pmod(F.element_at(F.lit(before), part + 1) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(len(weights)))
+    weight = F.element_at(F.lit([float(w) for w in weights]), (place + 1).cast("int"))
+    return cut(placed.select("source", "source_size", weight.alias("weight")), "weights")
+
+
+def targets_of(totals: DataFrame, weights: Sequence[float], most: float = MOST) -> DataFrame:
+    """(source, source_size, target) of totals (source, source_size), as ``targets`` says it, without gathering sources:
+    every round is one sum over them, and rounds end when no further source is above its most."""
+    rows = weighted(totals, weights)
+    whole = F.col("source_size").cast("double")
+    left, share, full = (rows.agg(F.sum(whole)).first()[0] or 0.0), None, None
+    total, capped = left, F.lit(False)
+    while True:
+        said = rows.agg(
+            F.coalesce(F.sum(F.when(capped, F.lit(0.0)).otherwise(F.col("weight"))), F.lit(0.0)).alias("open"),
+            F.coalesce(F.sum(F.when(capped, most * whole)), F.lit(0.0)).alias("capped"), F.sum(capped.cast("long")).alias("n"),
+        ).first()
+        if said["n"] == full or not said["open"]:
+            break
+        full, left, share = said["n"], total - said["capped"], said["open"]
+        capped = F.lit(left) * F.col("weight") / F.lit(share) > most * whole
+    target = F.lit(0.0) if share is None else F.when(capped, most * whole).otherwise(F.lit(left) * F.col("weight") / F.lit(share))
+    return rows.select("source", "source_size", (target if total > 0 else F.lit(0.0)).alias("target"))
+
+
+def _mixed(rows: DataFrame, weights: Sequence[float], seed: int) -> DataFrame:
+    """(keys of the rows, size, source_size, target, copies) of rows (id, source, size, keys ...)."""
+    keys = [c for c in rows.columns if c not in ("source", "size")]
+    rows = cut(rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")), "sizes")
     histogram = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
-    totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).toArrow().to_pylist()
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    shares = targets([r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))])
-    schema = "t_source string, source_size long, target double"
-    aims = spark.createDataFrame([(r["source"], r["size"], t) for r, t in zip(totals, shares)], schema)
+    aims = targets_of(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights)
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
@@ -130,32 +160,47 @@ def mix(
         return pdf.assign(base=base, extra=extra)
 
     kinds = "source string, size long, n long, source_size long, target double, base long, extra long"
-    plan = histogram.join(F.broadcast(aims), _same("source", "t_source")).drop("t_source")  # a row for each source
-    plan = cut(plan.groupBy("source").applyInPandas(fitted, kinds), "plan")
+    plan = histogram.join(aims.withColumnRenamed("source", "s"), _same("source", "s")).drop("s")
+    plan = plan.groupBy("source").applyInPandas(fitted, kinds)
+    plan = cut(plan.select(F.col("source").alias("s"), F.col("size").alias("l"), "source_size", "target", "base", "extra", (1 + F.floor(F.col("n") / RANKED)).alias("buckets")), "plan")
+    joined = rows.join(plan, _same("source", "s") & (F.col("size") == F.col("l")))
+    joined = joined.withColumn("bucket", F.pmod(F.xxhash64("h"), F.col("buckets")))
     # The bucket of a length in which its count of extra documents is reached, and how many of that bucket.
-    counted = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("m"))
-    asked = plan.where("extra > 0").select(F.col("source").alias("s"), F.col("size").alias("l"), "extra")
-    summed = counted.join(asked, _same("source", "s") & (F.col("size") == F.col("l"))).drop("source", "size")
+    counted = joined.where("extra > 0").groupBy("s", "l", "extra", "bucket").agg(F.count("*").alias("m"))
     up = Window.partitionBy("s", "l").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    summed = summed.withColumn("upto", F.sum("m").over(up)).where("upto >= extra and upto - m < extra")
-    edge = summed.select("s", "l", F.col("bucket").alias("edge"), (F.col("extra") - F.col("upto") + F.col("m")).alias("some"))
-    ways = plan.join(edge, _same("source", "s") & (F.col("size") == F.col("l")), "left")
-    ways = cut(ways.select(F.col("source").alias("w_source"), F.col("size").alias("w_size"), "source_size", "target", "base", "edge", "some"), "ways")
-    joined = rows.join(ways, _same("source", "w_source") & (F.col("size") == F.col("w_size")))
+    summed = counted.withColumn("upto", F.sum("m").over(up)).where("upto >= extra and upto - m < extra")
+    edge = cut(summed.select(F.col("s").alias("e"), F.col("l").alias("k"), F.col("bucket").alias("edge"), (F.col("extra") - F.col("upto") + F.col("m")).alias("some")), "edges")
+    joined = joined.join(edge, _same("s", "e") & (F.col("l") == F.col("k")), "left")
     at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    group = F.when(at_edge, F.xxhash64("source", "size", "bucket")).otherwise(F.col("h"))
+    group = F.when(at_edge, F.xxhash64("s", "l", "bucket")).otherwise(F.col("h"))
     ranked = joined.withColumn("at_edge", at_edge).withColumn("group", group)
-    order = Window.partitionBy("group", "at_edge").orderBy("h", id_col)
+    order = Window.partitionBy("group", "at_edge").orderBy("h", *keys)
     ranked = ranked.withColumn("rank", F.row_number().over(order))
     more = F.when(F.col("at_edge"), F.col("rank") <= F.col("some")).otherwise(F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
-    copies = (F.col("base") + more.cast("long")).alias("copies")
-    return ranked.select(id_col, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies)
+    return ranked.select(*keys, "size", "source_size", "target", (F.col("base") + more.cast("long")).alias("copies"))
+
 
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    source, size = named(source_col).cast("string").alias("source"), word_count(named(text_col).cast("string")).alias("size")
+    return docs.select(named(id_col).alias("id"), source, size, *more)
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the columns of docs.  An id names one document here: rows
-    that repeat it all get the smallest of their numbers of copies."""
-    copies = mixed.groupBy(F.col(id_col).alias("_id")).agg(F.min("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies, _same(id_col, "_id"))
-    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[float] = WEIGHTS, seed: int = SEED,
+) -> DataFrame:
+    """(id_col, size, source_size, target, taken, copies) of every row; taken is size times copies."""
+    found = _mixed(_sizes(docs, id_col, text_col, source_col), weights, seed)
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def repeat_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[float] = WEIGHTS, seed: int = SEED,
+) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with the columns of docs.  Every row has its own number of
+    copies, whatever other rows have its id; equal rows have theirs together."""
+    k1, k2 = row_keys(docs)
+    found = _mixed(_sizes(docs, id_col, text_col, source_col, k1.alias("k1"), k2.alias("k2")), weights, seed)
+    chosen = found.groupBy("k1", "k2").agg(F.sum("copies").alias("times"), F.count("*").alias("n"))
+    return rows_times(docs, cut(chosen.where("times > 0"), "copies"), ("k1", "k2"))

@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import cut, small_batches
+from ._shared import cut, named, row_keys, rows_but, small_batches
 
 SEED = 42
 SHINGLE = 3
@@ -48,26 +49,35 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts = np.cumsum(sizes + 1) - sizes - 1
         ends = (starts + sizes)[shingle - 1 :].tolist()
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends)]
-    n = len(hashes)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        block = np.array(hashes[at : at + BLOCK], np.uint64)
-        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _with_fingerprints(rows: DataFrame) -> DataFrame:
+    """rows with fp in place of their last column, the text."""
+    small_batches(rows.sparkSession)
+    schema = T.StructType(rows.schema.fields[:-1]).add("fp", "long")
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.columns[-1].to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], schema.names)
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+    return rows.mapInArrow(made, schema)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint's bits as a signed long."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "id long, fp long")
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
+    return _with_fingerprints(rows)
 
 
 def _segments(max_distance: int) -> list[tuple[int, int]]:
@@ -153,30 +163,40 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _components_of(marked: DataFrame, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """((fp, least, root) of every fingerprint of (id, fp), the links)."""
+    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    edges = cut(links(nodes, max_distance))
+    roots = components(edges)
+    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return known.withColumn("root", F.coalesce("root", "fp")), edges
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE
 ) -> DataFrame:
     """(id_col, fingerprint, component_id, n_links) of every row: the fingerprint in 16 hex digits, the smallest id that
     links lead to, and the number of other fingerprints that this one links to."""
     marked = cut(fingerprints(docs, id_col, text_col))
-    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    edges = cut(links(nodes, max_distance))
-    roots = components(edges)
+    known, edges = _components_of(marked, max_distance)
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(known.join(lowest, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    placed = cut(known.join(lowest, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id", "n_links")
+    return marked.join(placed, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """One row of each component of docs, that with the smallest id, with the columns of docs.
-
-    Rows that repeat an id are one document: a single one of them stays.  Rows without id stay all, as nothing tells
-    them apart.
-    """
-    found = near_duplicates(docs, id_col, text_col, max_distance)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    named = docs.join(stay, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component of docs, with the columns of docs: that with the smallest id, null ids last, of equal ids
+    that with the smallest hash of the row.  Rows that repeat an id, or have none, are rows like others, and of equal rows
+    one stays."""
+    k1, k2 = row_keys(docs)
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), named(id_col).alias("id"), named(text_col).cast("string").alias("text"))
+    marked = cut(_with_fingerprints(rows))
+    roots = _components_of(marked.select("fp", F.col("id").cast("long").alias("id")), max_distance)[0]
+    equal = marked.join(roots, "fp").groupBy("root", "k1", "k2", "id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")
+    one = equal.groupBy("root").agg(F.min_by(F.struct("k1", "k2"), order).alias("r"))
+    stays = (F.col("k1") == F.col("r.k1")) & (F.col("k2") == F.col("r.k2"))
+    gone = equal.join(one, "root").select("k1", "k2", stays.alias("one"), "n").where("n > 1 or not one")
+    return rows_but(docs, cut(gone.drop("n"), "gone"))
