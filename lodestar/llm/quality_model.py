@@ -9,7 +9,8 @@ Only the fit is bounded: at most ``Settings.sample`` labelled rows of either cla
 id, are learned from.  Scoring covers every row and whole texts.  The vote counts the two classes as equally frequent.
 
 Defined results: a null text is an empty one and gets a score like any other; without labelled rows every score is 0.5;
-labelled rows without quality are not learned from; repeated rows are each scored alike; an empty table gives an empty
+labelled rows without quality, and ids with labels that
+differ, are not learned from; of an id's texts that with the smallest hash is; repeated rows are each scored alike; an empty table gives an empty
 result; of the input only the id and the text are read.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import crc_of_id, id_crc, small_batches
+from ._shared import crc_of_id, id_crc, named, small_batches
 
 #: Bytes of a word's shape: A for upper case, a for lower case and beyond ASCII, 0 for digits, itself otherwise.
 _SHAPE = bytes(
@@ -142,13 +143,14 @@ def fit(
     """Model of a bounded sample of labelled rows: of each class the ``sample`` smallest by a hash of the id."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.where(learnable(id_col) if usable is None else usable).where(F.col(id_col).isNotNull())
-    known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
+    known = labels.where(learnable(id_col) if usable is None else usable).where(named(id_col).isNotNull() & named(label_col).isNotNull())
+    label = named(label_col).cast("int")
+    known = known.groupBy(named(id_col).alias("id")).agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
     order = F.xxhash64("id"), F.col("id")
     parts = [known.where(F.col("label") == c).orderBy(*order).limit(settings.sample) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * sample rows at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "id").select("id", "label", "text")
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = _Bins(settings)
@@ -159,7 +161,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "label", "at", "n"])
 
     found = rows.mapInArrow(bags, T.StructType([*rows.schema.fields[:2], T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.FloatType()))]))
-    found = found.dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = found.toArrow().sort_by("id")  # 2 * sample rows at most
     counts = np.zeros((len(found), settings.bins), np.float32)
     for i, (at, n) in enumerate(zip(found["at"].to_pylist(), found["n"].to_pylist())):
         counts[i, at] = n
@@ -182,7 +184,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id_col, held_out, score, predicted) of every row."""
     small_batches(docs.sparkSession)
     scores, threshold = _scorer(docs.sparkSession, model), model.settings.threshold
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(named(id_col), named(text_col).cast("string").alias("_text"))
     names = [id_col, "held_out", "score", "predicted"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,10 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import small_batches
+from ._shared import named, small_batches
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -142,7 +141,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
             columns = [pa.array([x[c] for x in found], kind) for c, kind in zip(MEASURED.names, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [batch.schema.names[0], *MEASURED.names])
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(named(id_col), named(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(measured, T.StructType([rows.schema[id_col], *MEASURED.fields]))
 
 

@@ -63,11 +63,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    """Query by name; the pipeline, of the module at the top of the repository, among them."""
-    import corpus_pipeline
-
     own = [op1_simhash, op2_html_text, op3_quality_model, op4_quality_rules, op5_sketch, op6_chat, op7_packing, op8_warc, op9_langid, op10_mixing]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 #: The rest of the queries can't be said in SQL, or not at the size of whole tables; tests hold them against brute force.
@@ -126,7 +123,4 @@ JOIN first f USING (payload)
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    own = {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL}
-    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL}

@@ -21,10 +21,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD
+from ._shared import WORD, named
 
 SHINGLE = 5
 K = 128
+#: Documents that are put in order together, about, and the most buckets of them.
+ROWS, MOST = 1 << 14, 1 << 12
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,7 +110,7 @@ def in_order(docs: DataFrame, key: str, ties: list[str], buckets: int | None = N
     The order is cyclic.  Rows with _copy = 1 are the first of the following bucket, to be left out once neighbours are
     taken.  A bucket's bound is a quantile of the key, so buckets hold about equally many rows, whatever the ids are.
     """
-    n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST, docs.count() // ROWS))
     shares = F.array(*[F.lit(i / n) for i in range(1, n)])
     least, found = docs.agg(F.min(key), F.percentile_approx(key, shares, 100_000)).first()
     bounds = sorted({least, *(found or [])}) if least is not None else []
@@ -136,7 +138,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     dealt, window = in_order(rows, "id", ["text"])
     found = dealt.select("*", F.lead("text").over(window).alias("next_text"), F.row_number().over(window).alias("_at"))
     chars = F.char_length("text")

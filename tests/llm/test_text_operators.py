@@ -253,6 +253,35 @@ def test_quality_model(spark, odd_docs):
     assert quality_model.score(odd_docs, nothing).where("score = 0.5").count() == 11
 
 
+def test_votes_are_the_nearest_neighbours():
+    """Scores by brute force: all cosines, the nearest ones' similarities, classes weighted by how frequent they are."""
+    rng = np.random.default_rng(3)
+    settings_ = quality_model.Settings(bins=64, dimensions=12, neighbours=7)
+    counts, labels = rng.poisson(0.4, (90, 64)).astype(np.float32), (np.arange(90) % 3 == 0).astype(np.int64)
+    counts[labels == 1, :10] += 2
+    model = quality_model.fit_counts(counts, labels, settings_)
+    fresh = rng.poisson(0.5, (40, 64)).astype(np.float32)
+    got, share = model.scores(fresh), labels.mean()
+    for row, score in zip(fresh, got):
+        at = (np.sqrt(row / max(1.0, row.sum())) * model.weights) @ model.axes
+        at = at / max(1e-9, np.linalg.norm(at))
+        near = sorted(((float(at @ v), int(l)) for v, l in zip(model.vectors, labels)), reverse=True)[:7]
+        force = [(max(0.0, c) ** 4 + 1e-9, l) for c, l in near]
+        good, bad = sum(f for f, l in force if l) / share, sum(f for f, l in force if not l) / (1 - share)
+        assert score == pytest.approx(good / (good + bad), abs=1e-4)
+
+
+def test_conflicting_labels(spark):
+    """Ids with two labels, and all but one text of an id, aren't learned from; fits agree whatever the order of rows."""
+    text = lambda c, n: " ".join(f"{c}{i % 7}" for i in range(n))
+    docs = [(i, text("ab"[i % 2], 30 + i)) for i in range(40)] + [(4, "other text"), (4, None), (None, "x")]
+    labels = [(i, i % 2) for i in range(40)] + [(6, 1), (8, 0), (None, 1), (10, None)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    one, two = (quality_model.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 5))
+    assert (one.vectors == two.vectors).all() and (one.labels == two.labels).all()
+    assert len(one.labels) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40) if i != 6)
+
+
 def test_rules_operator(odd_docs):
     got = quality_rules.judge(odd_docs).toPandas()
     assert len(got) == 11 and got[got.doc_id == 2].n_words.item() == 0
