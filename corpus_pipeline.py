@@ -3,8 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; every stage but the last
 returns the columns of documents.  Between stages the rows are written as Parquet and read again.
 
-Defined results: a null text is an empty one, which the rules reject; rows without id are rows like others to the duplicate stage;
-an empty table of documents gives an empty table of pieces.
+Defined results: a null text is an empty one, which the rules reject; rows that repeat an id, or have none, are rows like
+others, each kept, dropped, repeated and packed for itself, and of equal rows the duplicate stage keeps one; ties go to
+the smaller id, then to the smaller hash of the row; texts of any length are read whole, and longer ones than a sequence
+are cut by the last stage alone; further columns, of any name, are carried along; an empty table of documents gives an
+empty table of pieces.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import mixing, near_copies, packing, quality_model, quality_rules
-from lodestar.llm._shared import cut, table
+from lodestar.llm._shared import WRITTEN, cut, forget, table
 from lodestar.llm.queries import tokenizer_path
 
 
@@ -27,13 +30,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (a Jaccard similarity of 0.8 or more on five words), that with the smallest id."""
+    """One document of each group of near copies, that with the smallest id: SimHash links within two bits, and all others
+    up to a Jaccard similarity of 0.8 on five words."""
     return near_copies.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix of sources takes them."""
-    return mixing.repeat_rows(docs, mixing.mix(docs))
+    return mixing.repeat_rows(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for the table of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        forget(spark, first, -1)  # all but the stage's rows
     return STAGES[-1][1](spark, docs, sf_dir)
