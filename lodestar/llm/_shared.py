@@ -103,13 +103,18 @@ def row_keys(df: DataFrame) -> list[Column]:
 
 def rows_but(df: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of df without those that gone (k1, k2, one) names by their keys; where one is true, a single one of such
-    equal rows stays."""
+    equal rows stays.
+
+    df is dealt by its keys whatever the size of gone is, so that the plan is the same for small and large tables; rows
+    that came several times, which are few as a rule, are a table of their own and have a size that Spark knows.
+    """
     k1, k2 = free_names(df.columns, "k1", "k2")
     a, b = row_keys(df)
     keyed = df.withColumn(k1, a).withColumn(k2, b)
     gone = gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2), "one")
-    once = keyed.join(gone.where("one").drop("one"), [k1, k2], "left_semi").dropDuplicates([k1, k2])
-    return keyed.join(gone.drop("one"), [k1, k2], "left_anti").unionByName(once).select(*[named(c) for c in df.columns])
+    once = keyed.join(cut(gone.where("one").drop("one"), "once"), [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    stay = keyed.join(gone.drop("one").hint("merge"), [k1, k2], "left_anti")
+    return stay.unionByName(once).select(*[named(c) for c in df.columns])
 
 
 def rows_times(df: DataFrame, chosen: DataFrame, keys: tuple[str, str]) -> DataFrame:

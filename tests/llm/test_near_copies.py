@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from lodestar.llm import near_copies, simhash
@@ -77,5 +78,16 @@ def test_pipeline_stage(spark):
 
 
 def test_shingles():
-    (k1, a), (k2, b), (_, c) = near_copies.shingles(pa.array([" A b c d e  f", "a B c d e f ", None]))
+    (k1, _, a), (k2, _, b), (_, _, c) = near_copies.shingles(pa.array([" A b c d e  f", "a B c d e f ", None]))
     assert k1 == k2 and a.tolist() == b.tolist() and len(a) == 2 and not len(c)
+
+
+def test_sketches():
+    random.seed(7)
+    sets = [np.unique(np.array([random.getrandbits(64) for _ in range(50)], np.uint64)) for _ in range(3)]
+    found = near_copies.minima(sets, 0, 100)
+    wide = near_copies.sketches(found)
+    for i in range(3):
+        for j in range(3):
+            assert near_copies.apart(wide[i], wide[j]) == sum(int(a) % 16 != int(b) % 16 for a, b in zip(found[:, i], found[:, j]))
+    assert near_copies.most_apart(1024) < 0.25 * 1024
