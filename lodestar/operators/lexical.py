@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import utf16_length
 
 
+def _without_end(text: Column) -> Column:
+    """text without its closing line end, of which there is one at most; empty lines before it stay."""
+    return F.regexp_replace(text, r"\n\z", "")
+
+
 def lines(docs: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(path, line, content): the lines of each text from 1 on; a closing line end begins no line of its own."""
-    whole = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\n$", "")
+    whole = _without_end(F.coalesce(F.col(text_col), F.lit("")))
     split = docs.where(F.coalesce(F.char_length(text_col), F.lit(0)) > 0).select(F.col(path_col).alias("path"), F.posexplode(F.split(whole, "\n")))
     return split.select("path", (F.col("pos") + 1).alias("line"), F.regexp_replace("col", "\r$", "").alias("content"))
 
@@ -24,10 +29,15 @@ def grep(docs: DataFrame, regex: str, path_col: str = "path", text_col: str = "t
     found = lines(some, path_col, text_col).where(F.col("content").rlike(regex))
     before, hit = _split_at(F.col("content"), regex)
     found = found.withColumn("start_column", utf16_length(before)).withColumn("end_column", F.col("start_column") + utf16_length(hit))
-    if max_count is not None:
-        order = Window.partitionBy("path").orderBy("line")
-        found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_count).drop("_n")
-    return found
+    return first_of_each(found, max_count)
+
+
+def first_of_each(found: DataFrame, max_count: int | None) -> DataFrame:
+    """The first matching lines of each path."""
+    if max_count is None:
+        return found
+    order = Window.partitionBy("path").orderBy("line")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_count).drop("_n")
 
 
 def _split_at(content: Column, regex: str) -> tuple[Column, Column]:
@@ -47,15 +57,25 @@ def limited(found: DataFrame, limit: int) -> DataFrame:
     return ranked.where(F.col("rank") <= limit).crossJoin(F.broadcast(more))  # a single row
 
 
-def with_context(found: DataFrame, docs: DataFrame, before: int, after: int, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """found with the first and last line of its context and their text, from the lines of the same text."""
-    whole = F.split(F.regexp_replace(F.col(text_col), "\n$", ""), "\n")
-    texts = docs.select(F.col(path_col).alias("_path"), whole.alias("_lines"))
-    first = F.greatest(F.lit(1), F.col("line") - before)
-    last = F.least(F.size("_lines"), F.col("line") + after)
-    joined = found.join(texts, F.col("path") == F.col("_path"))
-    joined = joined.withColumn("first_line", first).withColumn("last_line", last)
-    return joined.withColumn("context", F.array_join(F.slice("_lines", F.col("first_line"), F.col("last_line") - F.col("first_line") + 1), "\n")).drop("_path", "_lines")
+def grep_context(docs: DataFrame, regex: str, before: int, after: int, path_col: str = "path", text_col: str = "text") -> DataFrame:
+    """(path, line, content, start_column, end_column, first_line, last_line, context) of matching lines: the first and
+    last line of each one's context, and their text.
+
+    Contexts are cut out while a text's lines are in hand, so no text is shuffled, and only matching lines become rows.
+    """
+    some = docs.where(F.col(text_col).rlike("(?m)" + regex)).select(F.col(path_col).alias("path"), F.split(_without_end(F.col(text_col)), "\n").alias("_lines"))
+    numbered = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("line"), F.regexp_replace(x, "\r$", "").alias("content")))
+    hits = some.select("path", "_lines", F.filter(numbered, lambda h: h["content"].rlike(regex)).alias("_hits"))
+
+    def around(h: Column) -> Column:
+        first, last = F.greatest(F.lit(1), h["line"] - before), F.least(F.size("_lines"), h["line"] + after)
+        context = F.array_join(F.slice("_lines", first, last - first + 1), "\n")
+        return F.struct(h["line"].alias("line"), h["content"].alias("content"), first.alias("first_line"), last.alias("last_line"), context.alias("context"))
+
+    found = hits.select("path", F.inline(F.transform("_hits", around)))
+    head, hit = _split_at(F.col("content"), regex)
+    found = found.withColumn("start_column", utf16_length(head))
+    return found.withColumn("end_column", F.col("start_column") + utf16_length(hit))
 
 
 def containers(found: DataFrame, ranges: DataFrame) -> DataFrame:

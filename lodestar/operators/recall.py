@@ -2,36 +2,141 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import query_tokens, tokens
+from ..functions.text import TOKEN, query_tokens, tokens
 from ..functions.vectors import cosine, dot, euclidean
 
 K1, B = 1.2, 0.75
 #: Digits that scores are rounded to before they are ordered, so that the order of sums can't decide a tie.
 DIGITS = 6
 FIRST_DEPTH, LAST_DEPTH = 200, 2000
+#: Buckets of terms in an index of postings.
+BUCKETS = 64
+
+
+def _bounded(term: str) -> str:
+    """A regular expression of a term that stands as a token of its own."""
+    return rf"(?<![\p{{L}}\p{{N}}_]){re.escape(term)}(?![\p{{L}}\p{{N}}_])"
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
     """(id_col, score) of the rows of docs with any token of the query, by BM25 over the statistics of corpus.
 
     Both passes are narrow: one aggregation to a single row for the statistics, which is broadcast, and a projection that
-    counts the query's tokens in place, so nothing is exploded or shuffled but the top k.
+    counts the query's tokens in place, so nothing is exploded or shuffled but the top k.  Tokens are counted, never
+    listed, and a term's only in texts that hold its letters.
     """
     terms = query_tokens(query)
-    all_ = (docs if corpus is None else corpus).select(tokens(F.col(text_col)).alias("t"))
-    found = [F.sum(F.array_contains("t", w).cast("long")).alias(f"df{i}") for i, w in enumerate(terms)]
-    stats = all_.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"), *found)
-    rows = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("t")).where(F.arrays_overlap("t", F.array(*map(F.lit, terms))))
-    rows = rows.crossJoin(F.broadcast(stats))  # a single row
+    if not terms:
+        return docs.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    counts = [F.when(F.contains(F.col("_text"), F.lit(w)), F.regexp_count("_text", F.lit(_bounded(w)))).otherwise(0) for w in terms]
+    size = F.regexp_count("_text", F.lit(TOKEN))
+    all_ = (docs if corpus is None else corpus).select(text.alias("_text"))
+    found = [F.sum((c > 0).cast("long")).alias(f"df{i}") for i, c in enumerate(counts)]
+    stats = all_.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"), *found)
+    any_ = F.lit(False)
+    for w in terms:
+        any_ = any_ | F.contains(F.col("_text"), F.lit(w))
+    rows = docs.select(id_col, text.alias("_text")).where(any_).select(id_col, size.alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
+    return _scored(rows.crossJoin(F.broadcast(stats)), len(terms), id_col)  # a single row
+
+
+def _scored(rows: DataFrame, terms: int, id_col: str) -> DataFrame:
+    """(id_col, score) of rows with tf0 .. and the length dl, and the statistics n, avgdl, df0 .. beside them."""
     score: Column = F.lit(0.0)
-    for i, w in enumerate(terms):
-        tf = F.size(F.filter("t", lambda x: x == w)).cast("double")
+    for i in range(terms):
+        tf = F.col(f"tf{i}").cast("double")
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("t") / F.col("avgdl")))
-    return rows.select(id_col, F.round(score, DIGITS).alias("score"))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    some = F.greatest(*[F.col(f"tf{i}") for i in range(terms)], F.lit(0)) > 0
+    return rows.where(some).select(id_col, F.round(score, DIGITS).alias("score"))
+
+
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, term, id, tf, dl): how often each text has each token, and its length in tokens.  Written by bucket, a hash
+    of the term, and sorted by term, a search reads its terms' row groups alone."""
+    split = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
+    counted = split.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    return counted.select(term_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "tf", "dl")
+
+
+def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def length_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(n, avgdl): one row, the number of texts and their mean length in tokens."""
+    size = F.regexp_count(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN))
+    return docs.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
+
+
+def bm25_postings(index: DataFrame, stats: DataFrame, query: str, pool: DataFrame | None = None, id_col: str = "id", buckets: int = BUCKETS) -> DataFrame:
+    """(id_col, score) by BM25 from postings and the row of length statistics, of the ids in pool if there is one.
+
+    Only the query's terms are read; their rows meet by id in one aggregation, so its size is that of the hits.
+    """
+    terms = query_tokens(query)
+    if not terms:
+        return index.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
+    spark = index.sparkSession
+    hashed = spark.createDataFrame([(w,) for w in terms], "w string").select(term_bucket(F.col("w"), buckets)).collect()  # a row each term
+    mine = index.where(F.col("bucket").isin([r[0] for r in hashed]) & F.col("term").isin(terms))
+    found = mine.groupBy("term").agg(F.count("*").alias("df")).agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).alias(f"df{i}") for i, w in enumerate(terms)])
+    if pool is not None:
+        mine = mine.join(pool.select(F.col(id_col).alias("id")), "id", "left_semi")
+    counts = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(terms)]
+    rows = mine.groupBy(F.col("id").alias(id_col)).agg(F.first("dl").alias("dl"), *counts)
+    return _scored(rows.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(stats)), len(terms), id_col)  # single rows
+
+
+def neighbours(
+    vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", rows: int = 1 << 16, block: int = 256
+) -> DataFrame:
+    """(query_id, id_col, score, rank): the k best rows for every query vector, ties going to the smaller id.
+
+    Rows and queries are dealt to parts of about ``rows`` and ``block``, and each pair of parts is one matrix product in
+    one task, which gives every query's best k of the part; the bests of parts are ranked per query.
+    """
+    parts = [1 + df.count() // n for df, n in ((vectors, rows), (queries, block))]
+    p, q = [F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int") for n in parts]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in parts]
+    left = vectors.select(F.lit(0).alias("side"), p.alias("p"), every[1].alias("q"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    right = queries.select(F.lit(1).alias("side"), every[0].alias("p"), q.alias("q"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+
+    def best(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        ids, all_ = table["id"].to_numpy(), table["v"].to_pylist()
+        known = [i for i in np.flatnonzero(side == 0) if all_[i] is not None]
+        asked = [i for i in np.flatnonzero(side == 1) if all_[i] is not None]
+        known.sort(key=lambda i: ids[i])
+        out: list[tuple] = []
+        if known and asked:
+            a, b = (np.array([all_[i] for i in x], np.float64) for x in (known, asked))
+            score = b @ a.T
+            if metric == "cosine":
+                length = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None]
+                score = np.divide(score, length, out=np.zeros_like(score), where=length > 0)
+            elif metric == "euclidean":
+                score = np.array([0.0 - np.sqrt(((a - x) ** 2).sum(1)) for x in b])
+            score = np.round(score, DIGITS)
+            for i, row in zip(asked, score):
+                for j in np.argsort(-row, kind="stable")[:k]:
+                    out.append((ids[i], ids[known[j]], float(row[j])))
+        columns = list(zip(*out)) or [[], [], []]
+        return pa.table([pa.array(columns[0], table["id"].type), pa.array(columns[1], table["id"].type), pa.array(columns[2], pa.float64())], names=["query_id", id_col, "score"])
+
+    schema = T.StructType([T.StructField("query_id", queries.schema[id_col].dataType), T.StructField(id_col, vectors.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    found = left.unionByName(right).groupBy("p", "q").applyInArrow(best, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def vector_scores(vectors: DataFrame, query: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

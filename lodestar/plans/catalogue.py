@@ -31,11 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("doc_id") % 7 == 0, "py").when(F.col("doc_id") % 3 == 0, "md").otherwise("txt")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), name))
     docs = _t(spark, sf_dir, "documents")
-    return docs.select("doc_id", "text", "lang", "source", "n_chars", path.alias("path"), (F.lit(BASE_MS) + F.col("doc_id") * 1000).alias("last_modified"))
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", path.alias("path"), (F.lit(BASE_MS) + F.col("doc_id") % 1440 * 1000).alias("last_modified"))
 
 
 FILES = f"""files AS (
-  SELECT doc_id, text, lang, source, n_chars, {BASE_MS} + doc_id * 1000 AS last_modified,
+  SELECT doc_id, text, lang, source, n_chars, {BASE_MS} + doc_id % 1440 * 1000 AS last_modified,
          source || '/' || lang || '/' || doc_id || '.' || CASE WHEN doc_id % 7 = 0 THEN 'py' WHEN doc_id % 3 = 0 THEN 'md' ELSE 'txt' END AS path
   FROM documents)"""
 
@@ -125,10 +125,28 @@ def _vectors(spark, sf, metric="cosine", where=None, number=0):
     return recall.vector_scores(vectors.where(where) if where is not None else vectors, vectors.where(F.col("vec_id") == number), metric)
 
 
+def _nearest(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, sf):
+        vectors = _t(spark, sf, "embeddings")
+        return recall.neighbours(vectors, vectors.where("vec_id % 100 = 0"), 20, metric)
+
+    return run
+
+
 for _metric in METRICS:
     _name = f"vector_topk_{'l2' if _metric == 'euclidean' else _metric}"
-    QUERIES[_name] = lambda spark, sf, m=_metric: recall.top(_vectors(spark, sf, m), 20, "vec_id")
-    SQL[_name] = f"WITH {_vector_sql('s', _metric)}, {_top_sql('r', 's', 'vec_id', 20)} SELECT vec_id, score, rank FROM r"
+    QUERIES[_name] = _nearest(_metric)
+    SQL[_name] = (
+        f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round({METRICS[_metric]}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q), "
+        "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 20"
+    )
+
+
+@query(f"WITH {FILES}, {_bm25_sql('s', QUERY_A)}, {_top_sql('r', 's', 'doc_id', 20)} SELECT doc_id AS id, score, rank FROM r")
+def bm25_from_postings(spark, sf):
+    """The same top k from an index of postings, as a workspace stores it."""
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return recall.top(recall.bm25_postings(recall.postings(docs), recall.length_stats(docs), QUERY_A), 20, "id")
 
 
 @query(f"WITH {_vector_sql('s', where='v.label IN (1, 2, 3)')}, {_top_sql('r', 's', 'vec_id', 20)} SELECT vec_id, score, rank FROM r")
@@ -422,8 +440,17 @@ def grep_limit_truncated(spark, sf):
     "string_agg(s.content, chr(10) ORDER BY s.line) AS context FROM hit h JOIN split s ON s.path = h.path AND s.line BETWEEN h.line - 1 AND h.line + 2 GROUP BY h.path, h.line"
 )
 def grep_context(spark, sf):
-    docs = documents(spark, sf)
-    return lexical.with_context(lexical.grep(docs, "license"), docs, 1, 2).select("path", "line", "first_line", "last_line", "context")
+    return lexical.grep_context(documents(spark, sf), "license", 1, 2).select("path", "line", "first_line", "last_line", "context")
+
+
+@query(_grep_sql("^$"))
+def grep_empty_lines(spark, sf):
+    """Lines without a sign; of several line ends at a text's end only the last one closes a line."""
+    docs = documents(spark, sf).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 2 == 0, "\n\n").otherwise("")))
+    return lexical.grep(docs, "^$").select("path", "line", "content")
+
+
+SQL["grep_empty_lines"] = _grep_sql("^$").replace("FROM files WHERE length(text) > 0", "FROM (SELECT path, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) ELSE '' END AS text FROM files) WHERE length(text) > 0")
 
 
 @query(
@@ -584,6 +611,52 @@ def ignore_rules(spark, sf):
     return documents(spark, sf).where(~S.ignored(F.col("path"), S.ignore_rules(IGNORE))).select("path")
 
 
+def _tree(spark, sf) -> DataFrame:
+    """Documents as files of a tree with hidden, generated and deep folders."""
+    i = F.col("doc_id")
+    top = F.when(i % 11 == 0, ".hidden/").when(i % 7 == 0, "build/").when(i % 5 == 0, "src/a/b/").when(i % 3 == 0, "src/").otherwise("")
+    name = F.when(i % 13 == 0, ".env").when(i % 4 == 0, F.concat(i.cast("string"), F.lit(".min.js"))).otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit(".txt")))
+    return _t(spark, sf, "documents").select("doc_id", F.concat(top, name).alias("path"), "text")
+
+
+_TREE = (
+    "tree AS (SELECT doc_id, text, CASE WHEN doc_id % 11 = 0 THEN '.hidden/' WHEN doc_id % 7 = 0 THEN 'build/' WHEN doc_id % 5 = 0 THEN 'src/a/b/' WHEN doc_id % 3 = 0 THEN 'src/' ELSE '' END "
+    "|| CASE WHEN doc_id % 13 = 0 THEN '.env' WHEN doc_id % 4 = 0 THEN doc_id || '.min.js' ELSE 'f' || doc_id || '.txt' END AS path FROM documents)"
+)
+
+
+@query(f"WITH {_TREE} SELECT doc_id, path FROM tree WHERE len(string_split(path, '/')) <= 2")
+def depth_rule(spark, sf):
+    return _tree(spark, sf).where(S.depth_allowed(F.col("path"), 2)).select("doc_id", "path")
+
+
+@query(f"WITH {_TREE} SELECT doc_id, path FROM tree WHERE doc_id % 11 = 0 OR doc_id % 13 = 0")
+def hidden_policy(spark, sf):
+    return _tree(spark, sf).where(S.hidden(F.col("path"))).select("doc_id", "path")
+
+
+@query(f"WITH {_TREE} SELECT doc_id, path FROM tree WHERE path LIKE 'build/%' OR path LIKE '%.min.js'")
+def default_ignores(spark, sf):
+    """Files of folders and names that are left out by default."""
+    return _tree(spark, sf).where(S.default_ignored(F.col("path"))).select("doc_id", "path")
+
+
+@query(f"WITH {_TREE} SELECT doc_id, path FROM tree WHERE path NOT LIKE '%.txt' OR path LIKE 'src/%'")
+def include_override(spark, sf):
+    """What an include pattern names is kept although an ignore rule leaves it out."""
+    return _tree(spark, sf).where(~S.ignored(F.col("path"), S.ignore_rules([("", "*.txt\n")]), include=["src"])).select("doc_id", "path")
+
+
+@query("SELECT page_id, page_id % 9 = 0 OR page_id % 10 = 0 AS looks_binary FROM pages")
+def binary_sniff(spark, sf):
+    """Page bytes, every ninth with a zero early on, every tenth with many control bytes, every eighth with a zero too far
+    behind to be seen."""
+    i, body = F.col("page_id"), F.rpad(F.substring("html", 1, 9000), 9000, "x").cast("binary")
+    zero, bells = F.lit(bytearray(b"\0")), F.lit(bytearray(b"\1" * 4000))
+    content = F.when(i % 9 == 0, F.concat(F.lit("ab").cast("binary"), zero, body)).when(i % 10 == 0, F.concat(bells, body)).when(i % 8 == 0, F.concat(body, zero)).otherwise(body)
+    return _t(spark, sf, "pages").select("page_id", S.looks_binary(content).alias("looks_binary"))
+
+
 # Chunks
 
 
@@ -626,9 +699,17 @@ def code_entities(spark, sf):
     return chunking.entities(docs).select("file_id", "index", "group", "symbol_type", "symbol_name", "scope", "start_line", "end_line")
 
 
-@query()
+_STUB = ", ".join(f"round(CAST('0x' || substr(h, {2 * i + 1}, 2) AS INTEGER) / 255.0 - 0.5, 6) AS e{i}" for i in (0, 1, 31, 32, 63))
+
+
+@query(
+    f"SELECT item_id, 64 AS dimensions, {_STUB} FROM (SELECT item_id, sha256(encode(text) || '\\x00\\x00\\x00\\x00\\x00\\x00\\x00\\x00'::BLOB) "
+    "|| sha256(encode(text) || '\\x01\\x00\\x00\\x00\\x00\\x00\\x00\\x00'::BLOB) AS h FROM benchmark)"
+)
 def stub_embeddings(spark, sf):
-    return embed.embed(_t(spark, sf, "benchmark").select("item_id", "text"), "text", embed.stub_vector, 64).select("item_id", "embedding")
+    """Vectors by the model without weights: their length and some of their numbers."""
+    made = embed.embed(_t(spark, sf, "benchmark").select("item_id", "text"), "text", embed.stub_vector, 64)
+    return made.select("item_id", F.size("embedding").alias("dimensions"), *[F.round(F.col("embedding")[i].cast("double"), 6).alias(f"e{i}") for i in (0, 1, 31, 32, 63)])
 
 
 @query("SELECT label, " + ", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS m{i}" for i in range(3)) + " FROM embeddings GROUP BY label")

@@ -227,9 +227,11 @@ class Workspace:
             rows = rows.where(matches_ordered(F.col("path"), ask.globs))
         rows = rows.where(file_filter(SearchPlan(file_types=ask.types), F.col("path"), F.col("last_modified"), F.col("format")))
         texts = rows.where("kind <> 'image'").select("path", valid_utf8(F.col("content")).alias("text"))
-        found = lexical.grep(texts, line_regex(ask.patterns, **ask.options), max_count=ask.max_count)
+        regex = line_regex(ask.patterns, **ask.options)
+        if ask.before or ask.after:
+            found = lexical.first_of_each(lexical.grep_context(texts, regex, ask.before, ask.after), ask.max_count)
+        else:
+            found = lexical.grep(texts, regex, max_count=ask.max_count)
         if ask.limit is not None:
             found = lexical.limited(found, ask.limit)
-        if ask.before or ask.after:
-            found = lexical.with_context(found, texts, ask.before, ask.after)
         return found.orderBy("path", "line")

@@ -25,8 +25,15 @@ TEXT = {"md": "markdown", "markdown": "markdown", "txt": "text", "rst": "rst", "
 IMAGE = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "webp": "webp"}
 BINARY = "zip gz tar tgz bz2 xz 7z rar exe dll so dylib a o bin pdf doc docx xls xlsx ppt pptx class jar pyc wasm mp3 mp4 mov avi ttf woff woff2 ico db sqlite".split()
 HARD = [".git"]
-IGNORED_FOLDERS = "node_modules target build dist out vendor .venv venv __pycache__ .idea .vscode .cache coverage .next .gradle .tox bin obj".split()
-IGNORED_FILES = "*.min.js *.min.css *.map package-lock.json yarn.lock Cargo.lock poetry.lock *.lock *.pb.go *.snap".split()
+# Folders and files that are left out unless they are asked for.
+IGNORED_FOLDERS = (
+    "node_modules vendor thirdparty third_party external deps dist build out target coverage generated __pycache__ venv .venv env .tox .eggs Pods .next .nuxt "
+    ".svelte-kit .turbo .vite .parcel-cache .cache .gradle .pytest_cache .mypy_cache .ruff_cache tmp temp logs locale locales translations"
+).split()
+IGNORED_FILES = (
+    "*.lock *.lockb *-lock.json *-lock.yaml npm-shrinkwrap.json go.sum *.resolved *.po *.pot *.map *.min.* *.bundle.* *.generated.* *.gen.* *.designer.* *.pb.* "
+    "*_pb2.* *.g.* *.gif *.jpeg *.jpg *.png *.webp"
+).split()
 #: Largest sizes by kind, and the most that an override may allow.
 SIZES = {"code": 1 << 20, "text": 256 << 20, "data": 16 << 20, "image": 10 << 20}
 MOST = 512 << 20
