@@ -155,6 +155,23 @@ DEFINITIONS = {
     "vb": r"(?P<mods>(?:Public|Private|Protected|Friend|Shared)\s+)*(?P<kind>Class|Module|Sub|Function|Structure|Interface|Enum)\s+(?P<name>\w+)",
 }
 DEFINITIONS |= {"jsx": DEFINITIONS["javascript"], "tsx": DEFINITIONS["typescript"]}
+# How functions and methods begin there, and words that never name one.
+_TAIL = r"\s*\((?:[^;{}()]|\([^;{}()]*\))*(?:\)[^;{}=]*\{.*|\)[^;{}=]*)?$"
+_TYPED = r"(?:@\w+(?:\([^)]*\))?\s+)*(?P<mods>(?:(?:public|private|protected|internal|static|final|abstract|synchronized|native|default|async|override|virtual|sealed|partial|extern|unsafe|new)\s+)*)(?:<[^>]+>\s+)?(?P<ret>[\w.]+(?:<[^()]*>)?(?:\[\])*\??\s+)?(?P<name>\w+)(?:<[^()]*>)?"
+FUNCTIONS = {
+    "c": r"(?P<mods>(?:(?:static|inline|extern|const|unsigned|signed|struct|enum)\s+)*)(?P<ret>[A-Za-z_]\w*[\s*]+)(?P<name>[A-Za-z_]\w*)" + _TAIL,
+    "cpp": r"(?:template\s*<[^>]*>\s*)?(?P<mods>(?:(?:static|inline|extern|virtual|constexpr|explicit|friend|const|unsigned)\s+)*)(?P<ret>[A-Za-z_][\w:<>,]*(?:\s*[*&]+\s*|\s+))?(?P<name>(?:\w+::)*~?[A-Za-z_]\w*)" + _TAIL,
+    "java": _TYPED + _TAIL,
+    "csharp": _TYPED + r"\s*\((?:[^;{}()]|\([^;{}()]*\))*(?:\)[^;{}=]*(?:\{.*|=>.*)?)?$",
+    "javascript": r"(?P<mods>(?:export|default)\s+)*(?P<ret>const|let|var)\s+(?P<name>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^;]*\)\s*(?::[^=]+)?=>|\w+\s*=>).*$",
+}
+FUNCTIONS["typescript"] = FUNCTIONS["jsx"] = FUNCTIONS["tsx"] = FUNCTIONS["javascript"]
+#: Methods of a class where functions have words of their own.
+METHODS = dict.fromkeys(
+    ("javascript", "typescript", "jsx", "tsx"),
+    r"(?P<mods>(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+|\*\s*)*)(?P<name>#?\w+)(?:<[^>]*>)?\s*\((?:[^;{}()]|\([^;{}()]*\)|\{[^}]*\})*\)\s*(?::\s*[^{;]+)?\{.*$",
+)
+CONTROL = frozenset("if for while switch return else do sizeof catch new throw case using lock foreach synchronized await yield typeof delete goto defined function super this assert try var let const".split())
 SYMBOLS = {
     "function": "function", "fn": "function", "func": "function", "sub": "function", "class": "class", "struct": "class", "union": "class", "record": "class",
     "structure": "class", "enum": "enum", "interface": "interface", "trait": "interface", "module": "module", "mod": "module", "namespace": "module", "type": "type", "impl": "class",
@@ -193,37 +210,67 @@ def brace_symbols(text: str, language: str) -> list[dict] | None:
     if not pattern:
         return None
     begin, lines, out = re.compile(r"^\s*" + pattern), text.split("\n"), []
-    open_: list[tuple[str, int]] = []  # names of the definitions around, and the last line of each
+    others = {k: re.compile(r"^\s*" + v[language]) for k, v in (("function", FUNCTIONS), ("method", METHODS)) if language in v}
+    open_: list[tuple[str, int, str]] = []  # name, last line and kind of the definitions around
     for i, line in enumerate(lines):
-        open_ = [(n, e) for n, e in open_ if e >= i]
-        found = begin.match(line)
+        open_ = [o for o in open_ if o[1] >= i]
+        found, inside = begin.match(line), open_[-1][2] if open_ else ""
+        kind = SYMBOLS[found["kind"].lower()] if found else ""
+        if not found and inside not in ("function", "method"):
+            for kind, other in others.items():
+                found = other.match(line) if kind == "function" or inside == "class" else None
+                if found and not {found["name"], *(found.groupdict().get("ret") or "").split()[:1]} & (CONTROL - {"const", "let", "var"}):
+                    break
+                found = None
         if not found:
             continue
-        depth, seen, end = 0, False, i
-        for j in range(i, len(lines)):
-            plain = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|//.*", "", lines[j])
-            depth += plain.count("{") - plain.count("}")
-            seen = seen or "{" in plain
-            end = j
-            if seen and depth <= 0 or not seen and plain.rstrip().endswith(";"):
-                break
-            if language == "vb" and j > i and re.match(rf"\s*End\s+{found['kind']}\b", lines[j], re.I):
-                break
+        end, body = _end_of(lines, i, language, found.groupdict().get("kind"))
+        arrow = "=>" in line
+        if not found.groupdict().get("kind") and not body and not arrow:
+            continue  # a declaration, or a call
         docs, k = [], i - 1
-        while k >= 0 and re.match(r"\s*(///?|\*|/\*|'|#\[)", lines[k]):
+        while k >= 0 and re.match(r"\s*(///?|\*|/\*|'|#\[|@\w)", lines[k]):
             docs.append(re.sub(r"^\s*(///?!?|/\*\*?|\*/?|')\s?|\*/\s*$", "", lines[k]))
             k -= 1
         name = found["name"].split("<")[0].strip()
-        kind = SYMBOLS[found["kind"].lower()]
-        kind = "method" if kind == "function" and open_ else kind
+        around = [n for n, _, _ in open_]
+        owner = re.match(r"\s*func\s+\(\s*\w*\s*\*?\s*(\w+)", line) if language == "go" else None
+        if owner:
+            kind, around = "method", [owner[1]]
+        elif "::" in name and kind == "function":
+            *owners, name = name.split("::")
+            kind, around = "method", [*around, *owners]
+        kind = "method" if kind == "function" and open_ and inside not in ("module", "") else kind
         signature = re.sub(r"\s*[{;]\s*$", "", " ".join(line.split()))
-        mods = [m for m in re.findall(r"\w+", line[: found.start("kind")]) if m.lower() in ("pub", "public", "private", "protected", "static", "async", "const", "abstract", "export")]
-        out.append({"symbol_type": kind, "symbol_name": name, "scope": "::".join(n for n, _ in open_), "signature": signature, "doc": "\n".join(reversed(docs)) or None,
+        before = line[: found.start("kind")] if found.groupdict().get("kind") else found.groupdict().get("mods") or ""
+        mods = [m for m in re.findall(r"\w+", before) if m.lower() in ("pub", "public", "private", "protected", "internal", "static", "async", "const", "abstract", "export", "virtual", "inline", "final", "override")]
+        out.append({"symbol_type": kind, "symbol_name": name, "scope": "::".join(around), "signature": signature, "doc": "\n".join(reversed(docs)) or None,
                     "modifiers": mods, "start": i + 1, "end": end + 1, "content": "\n".join(lines[i : end + 1])})
-        open_.append((name, end))
+        open_.append((name, end, kind))
     return out
 
 
+def _end_of(lines: list[str], start: int, language: str, kind: str | None) -> tuple[int, bool]:
+    """(last line of what begins at a line, whether it has a body): where its braces close, or its statement ends."""
+    depth, seen, end, commented = 0, False, start, False
+    for j in range(start, len(lines)):
+        plain = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|`(?:\\.|[^`\\])*`|/\*.*?\*/|//.*", "", lines[j])
+        if commented:
+            commented, plain = "*/" not in plain, plain.partition("*/")[2]
+        if "/*" in plain:
+            commented, plain = True, plain.partition("/*")[0]
+        depth += plain.count("{") - plain.count("}")
+        seen = seen or "{" in plain
+        end = j
+        if seen and depth <= 0 or not seen and plain.rstrip().endswith(";"):
+            break
+        if language == "vb" and j > start and re.match(rf"\s*End\s+{kind}\b", lines[j], re.I):
+            return j, True
+        if not seen and j > start and not plain.strip():
+            break
+    return end, seen
+
+
 def script_blocks(text: str) -> list[tuple[int, str, str]]:
     """(first line, language, code) of the script elements of a component file."""
     out = []
@@ -260,32 +307,43 @@ def code_chunks(text: str, language: str, size: int = SIZE, overlap: int = OVERL
         n += 1
 
 
-ENTITY = "file_id string, index int, group int, start_line int, end_line int, heading string, level int, scope string, symbol_type string, symbol_name string, signature string, doc string, content string"
+ENTITY = "file_id string, index int, group int, start_line int, end_line int, heading string, level int, scope string, symbol_type string, symbol_name string, signature string, doc string, modifiers string, content string, failure string"
 
 
-def entities(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of files (file_id, kind, format, text) by what they are; ENTITY is their schema."""
+def entities(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, images: bool = False) -> DataFrame:
+    """Chunks of files (file_id, kind, format, text) by what they are; ENTITY is their schema.
+
+    An image is one entity without text if the model takes images, and none otherwise.  A file that can't be cut is one
+    row with the reason in failure and nothing else, so that it doesn't stop the others.
+    """
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(ENTITY)
 
+    def cut(kind: str | None, format_: str | None, text: str) -> list[dict]:
+        if kind == "image":
+            return [{"index": 0, "start": 0, "end": 0, "symbol_type": "image", "content": ""}] * images
+        found: list[dict] = []
+        if format_ == "markdown":
+            found = list(markdown_chunks(text, size, overlap))
+        elif kind == "code":
+            found = list(code_chunks(text, format_, size, overlap))
+        return found or [{"start": a, "end": b, "content": c, "index": i} for i, (a, b, c) in enumerate(text_chunks(text, size, overlap))]
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for file_id, kind, format_, text in zip(*[c.to_pylist() for c in batch.columns]):
-                text = text or ""
-                if format_ == "markdown":
-                    found = list(markdown_chunks(text, size, overlap))
-                elif kind == "code":
-                    found = list(code_chunks(text, format_, size, overlap))
-                else:
-                    found = []
-                if not found:
-                    found = [{"start": a, "end": b, "content": c, "index": i} for i, (a, b, c) in enumerate(text_chunks(text, size, overlap))]
+                try:
+                    found = cut(kind, format_, text or "")
+                except (ValueError, RecursionError, MemoryError, LookupError) as error:
+                    rows.append([file_id, *[None] * 13, f"{type(error).__name__}: {error}"[:500]])
+                    continue
                 for f in found:
-                    rows.append([file_id, f["index"], f.get("group"), f["start"], f["end"], *(f.get(k) for k in ("heading", "level", "scope", "symbol_type", "symbol_name", "signature", "doc")), f["content"]])
+                    said = [f.get(k) for k in ("heading", "level", "scope", "symbol_type", "symbol_name", "signature", "doc")]
+                    rows.append([file_id, f["index"], f.get("group"), f["start"], f["end"], *said, " ".join(f.get("modifiers") or []) or None, f["content"], None])
             if rows:
-                kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), *[pa.string()] * 6]
+                kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), *[pa.string()] * 8]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema.names)
 
     return files.select("file_id", "kind", "format", "text").mapInArrow(made, schema)

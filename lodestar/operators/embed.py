@@ -33,17 +33,37 @@ class StaticTable:
         return (mean / length if length else mean).astype(np.float32)
 
 
-def embed(df: DataFrame, text_col: str, model: Callable[[str], np.ndarray], dimensions: int, out_col: str = "embedding") -> DataFrame:
-    """df with the vectors of a text column; a model that returns another size, or no finite numbers, is an error."""
+def embed(
+    df: DataFrame, text_col: str, model: Callable[[str], np.ndarray], dimensions: int, out_col: str = "embedding", failure_col: str | None = None
+) -> DataFrame:
+    """df with the vectors of a text column; a model that returns another size, or no finite numbers, is an error.
+
+    With failure_col, a column of df, a text that the model fails on has no vector and the reason there.
+    """
     at = df.columns.index(text_col)
     schema = type(df.schema)([*df.schema.fields]).add(out_col, ArrayType(FloatType()))
+    failed_at = df.columns.index(failure_col) if failure_col else None
+
+    def vector(text: str) -> np.ndarray:
+        v = model(text)
+        if len(v) != dimensions or not np.isfinite(v).all():
+            raise ValueError("the model gave no vector of its dimensions")
+        return v
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [None if t is None else model(t) for t in batch.column(at).to_pylist()]
-            for v in vectors:
-                if v is not None and (len(v) != dimensions or not np.isfinite(v).all()):
-                    raise ValueError("the model gave no vector of its dimensions")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*batch.schema.names, out_col])
+            vectors, columns = [], list(batch.columns)
+            failures = columns[failed_at].to_pylist() if failed_at is not None else []
+            for i, t in enumerate(columns[at].to_pylist()):
+                try:
+                    vectors.append(None if t is None else vector(t))
+                except Exception as error:  # whatever a model raises
+                    if failed_at is None:
+                        raise
+                    vectors.append(None)
+                    failures[i] = f"{type(error).__name__}: {error}"[:500]
+            if failed_at is not None:
+                columns[failed_at] = pa.array(failures, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.list_(pa.float32()))], [*batch.schema.names, out_col])
 
     return df.mapInArrow(made, schema)

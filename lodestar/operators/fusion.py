@@ -46,14 +46,21 @@ def ranked(fused: DataFrame, limit: int, tracked: object | None = None) -> DataF
     return first.unionByName(own.where(F.col("rank") > limit))
 
 
-def force(hits: DataFrame, routes: Sequence[tuple[str, str]], tracked: object, depth: int) -> DataFrame:
-    """hits with the tracked id in each route, as if it stood right behind the depth where the route lacks it."""
+def force(hits: DataFrame, routes: Sequence[tuple[str, str]], tracked: object, depth: int, matches: DataFrame | None = None) -> DataFrame:
+    """hits with the tracked id in each route, as if it stood right behind the depth where the route lacks it.
+
+    With matches (route, score), only in the routes that match it when they are run on it alone, with its score there.
+    """
     spark = hits.sparkSession
     rows = [(r, p, depth + 1) for r, p in routes]
     extra = spark.createDataFrame(rows, "route string, path string, rank int")
     have = hits.where(F.col("id") == tracked).select(F.col("route").alias("_r")).distinct()
     missing = extra.join(F.broadcast(have), F.col("route") == F.col("_r"), "left_anti")  # a row for each route
-    missing = missing.select("route", "path", F.lit(tracked).cast(hits.schema["id"].dataType).alias("id"), "rank", F.lit(None).cast("double").alias("score"))
+    if matches is None:
+        missing = missing.withColumn("score", F.lit(None).cast("double"))
+    else:
+        missing = missing.join(F.broadcast(matches), "route")  # a row for each route
+    missing = missing.select("route", "path", F.lit(tracked).cast(hits.schema["id"].dataType).alias("id"), "rank", "score")
     return hits.withColumn("forced", F.lit(False)).unionByName(missing.withColumn("forced", F.lit(True)))
 
 

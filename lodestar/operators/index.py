@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,20 +123,50 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.folder}/{manifest['snapshot']}/{table}")
 
     def write(self, fingerprint: dict, replace_fingerprint: bool = False, **tables: DataFrame) -> str:
-        """Write a snapshot; the fingerprint of model and tokenizer has to be that of the manifest, or to replace it."""
-        manifest = self.manifest
-        if manifest and manifest["fingerprint"] != fingerprint and not replace_fingerprint:
-            raise ValueError("the index was made with another model")
+        """Write a snapshot of these tables; the fingerprint of model and tokenizer has to be that of the manifest, or to
+        replace it."""
+        with self.writing(fingerprint, replace_fingerprint) as put:
+            for table, df in tables.items():
+                put(table, df)
+        return self.manifest["snapshot"]
+
+    @contextmanager
+    def writing(self, fingerprint: dict, replace_fingerprint: bool = False) -> Iterator[Callable[..., DataFrame]]:
+        """The next snapshot, one writer at a time: ``put(table, df, by=column)`` writes a table and gives it back as written.
+
+        The snapshot is named when the block ends without an error; the one before it stays for its readers, and older ones
+        and what a broken writer left are removed.
+        """
+        lock = self._path("lock")
+        try:
+            self._fs.mkdirs(self._path())
+            self._fs.create(lock, False).close()  # fails if there is one
+        except Exception as error:
+            raise ValueError(f"another writer has {self.folder}/lock") from error
         name = f"snapshot-{uuid.uuid4().hex}"
-        for table, df in tables.items():
-            df.write.parquet(f"{self.folder}/{name}/{table}")
-        text = json.dumps({"version": VERSION, "snapshot": name, "fingerprint": fingerprint})
-        stream = self._fs.create(self._path("manifest.tmp"), True)
-        stream.write(bytearray(text.encode()))
-        stream.hsync()
-        stream.close()
-        self._rename("manifest.tmp", "manifest.json")
-        return name
+        try:
+            manifest = self.manifest
+            if manifest and manifest["fingerprint"] != fingerprint and not replace_fingerprint:
+                raise ValueError("the index was made with another model")
+
+            def put(table: str, df: DataFrame, by: str | None = None) -> DataFrame:
+                path = f"{self.folder}/{name}/{table}"
+                (df.write.partitionBy(by) if by else df.write).parquet(path)
+                return self.spark.read.parquet(path)
+
+            yield put
+            text = json.dumps({"version": VERSION, "snapshot": name, "fingerprint": fingerprint})
+            stream = self._fs.create(self._path("manifest.tmp"), True)
+            stream.write(bytearray(text.encode()))
+            stream.hsync()
+            stream.close()
+            self._rename("manifest.tmp", "manifest.json")
+            kept = {name, manifest["snapshot"] if manifest else name}
+            for one in self._fs.listStatus(self._path()):
+                if one.getPath().getName().startswith("snapshot-") and one.getPath().getName() not in kept:
+                    self._fs.delete(one.getPath(), True)
+        finally:
+            self._fs.delete(lock, False)
 
     def drop(self) -> bool:
         """Remove all versions; whether there were any."""

@@ -17,6 +17,8 @@ from .plans.search import PlanError, Route, SearchPlan, file_filter, meant, reso
 from .sources import files
 from .streaming import changes
 
+#: Folders that can't be read, at most, for an update to go on.
+PROTECTED = 1000
 FILES = ["file_id", "path", "kind", "format", "size_bytes", "last_modified", "content_hash", "indexed_time", "error", "entity_count"]
 
 
@@ -40,45 +42,69 @@ class Workspace:
 
     # Index
 
+    def _options(self, **options) -> dict:
+        """Options of a scan; the index's own folder is never a part of the tree."""
+        root, folder = self.root.rstrip("/"), self.snapshots.folder
+        inside = [folder[len(root) + 1 :]] if folder.startswith(root + "/") else []
+        return {**self.scan_options, **options, "hard": inside}
+
     def _scanned(self, **options) -> DataFrame:
-        found = files.scan(self.spark, self.root, self.name, **{**self.scan_options, **options}).where("reason is null and content is not null")
-        return found.withColumn("path", F.col("relative_path")).withColumn("content_hash", F.sha2("content", 256))
+        found = files.scan(self.spark, self.root, self.name, **self._options(**options)).where("reason is null and content is not null")
+        return found.withColumn("path", F.col("relative_path"))
 
     def index(self, rebuild: bool = False, paths: Sequence[str] | None = None) -> dict[str, int]:
         """Bring the index up to date; the number of files by what became of them.
 
-        With paths, relative to root, only these files and what is below these folders is compared; the rest stays.
+        Size and time tell which files may differ; only these are read, cut and embedded, each once: every step's table is
+        written before the next reads it.  A file that can't be cut, or that the model fails on, is kept as failed and
+        doesn't stop the others; what lies below a folder that can't be read stays as it is.  With paths, relative to
+        root, only these files and what is below these folders is listed and compared; the rest stays.
         """
-        spark, scanned = self.spark, self._scanned()
+        spark, fresh = self.spark, rebuild or self.snapshots.manifest is None
+        some = None if fresh or paths is None else [p.strip("/") for p in paths]
         inside = F.lit(True)
-        if paths is not None and not rebuild and self.snapshots.manifest is not None:
-            inside = F.col("path").isin(list(paths))
-            for p in paths:
-                inside = inside | F.col("path").startswith(p.rstrip("/") + "/")
-        scanned = scanned.where(inside)
-        fresh = rebuild or self.snapshots.manifest is None
-        if fresh:
-            stored = spark.createDataFrame([], "file_id string, path string, kind string, format string, size_bytes long, last_modified long, content_hash string, indexed_time long, error string, entity_count long")
-        else:
-            stored = self.snapshots.read("files").where(inside)
-        states = index.diff(scanned, stored)
-        fresh_ids = states.where(F.col("state").isin("added", "modified", "pending")).select("file_id")
-        changed = states.where(F.col("state") != "unchanged").select("file_id")
-        texts = scanned.join(fresh_ids, "file_id", "left_semi").withColumn("text", valid_utf8(F.col("content")))
-        made = self._entities(texts)
-        entities = made if fresh else index.replaced(self.snapshots.read("entities"), made, changed)
-        major = F.col("group").isNull() | (F.col("group") == F.col("id"))
-        rows = scanned.select("file_id", "path", "kind", "format", "size_bytes", "last_modified", "content_hash")
-        rows = rows.withColumn("indexed_time", F.unix_millis(F.current_timestamp())).withColumn("error", F.lit(None).cast("string"))
-        old = stored.select("file_id", F.col("indexed_time").alias("_then")).join(states.where("state = 'unchanged'"), "file_id", "left_semi")
-        rows = rows.join(old, "file_id", "left").withColumn("indexed_time", F.coalesce("_then", "indexed_time")).drop("_then")
-        counts = entities.groupBy("file_id").agg(F.sum(major.cast("long")).alias("entity_count"))
-        rows = rows.join(counts, "file_id", "left").withColumn("entity_count", F.coalesce("entity_count", F.lit(0).cast("long"))).select(*FILES)
-        if not fresh:
-            rows = rows.unionByName(self.snapshots.read("files").where(~inside))
-        tally = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}  # a row for each state
-        self.snapshots.write(self.fingerprint, replace_fingerprint=rebuild, entities=entities, files=rows)
-        return {s: tally.get(s, 0) for s in ("added", "modified", "pending", "deleted", "unchanged")}
+        if some is not None:
+            inside = F.col("path").isin(some)
+            for p in some:
+                inside = inside | F.col("path").startswith(p + "/")
+        none = "file_id string, path string, kind string, format string, size_bytes long, last_modified long, content_hash string, indexed_time long, error string, entity_count long"
+        with self.snapshots.writing(self.fingerprint, rebuild) as put:
+            listed = files.listed_files(spark, self.root, self.name, paths=some, **self._options())
+            listed = put("listed", listed.withColumn("full_path", F.col("path")).withColumn("path", F.col("relative_path")).drop("relative_path"))
+            protected = [r["path"] for r in listed.where("unreadable").select("path").distinct().limit(PROTECTED + 1).collect()]
+            if len(protected) > PROTECTED:
+                raise ValueError(f"more than {PROTECTED} folders can't be read")
+            old = spark.createDataFrame([], none) if fresh else self.snapshots.read("files")
+            stored = old.where(inside)
+            rows = listed.where("reason is null").where(inside)
+            before = stored.select("file_id", F.col("size_bytes").alias("_s"), F.col("last_modified").alias("_t"), F.col("content_hash").alias("_h"), F.col("indexed_time").alias("_i"))
+            same = (F.col("size_bytes") == F.col("_s")) & (F.col("last_modified") == F.col("_t")) & F.col("_h").isNotNull() & F.col("_i").isNotNull()
+            rows = rows.join(before, "file_id", "left").withColumn("same", F.coalesce(same, F.lit(False)))
+            read = files.with_contents(rows.where("not same").select("file_id", F.col("full_path").alias("path"), F.col("path").alias("at"), "kind", "format", "size_bytes", "last_modified", "reason"), self.root)
+            read = read.where("reason is null and content is not null").withColumn("content_hash", F.sha2("content", 256))
+            kept = rows.where("same").select("file_id", "path", "kind", "format", "size_bytes", "last_modified", F.col("_h").alias("content_hash"))
+            read = put("read", read.select("file_id", F.col("at").alias("path"), "kind", "format", "size_bytes", "last_modified", "content_hash", valid_utf8(F.col("content")).alias("text")))
+            now = read.drop("text").unionByName(kept)
+            states = put("states", index.diff(now, stored, protected))
+            changed = states.where("state <> 'unchanged' and state <> 'kept'").select("file_id")
+            texts = read.join(states.where("state in ('added', 'modified', 'pending')").select("file_id"), "file_id", "left_semi")
+            made = put("made", self._entities(texts))
+            failed = made.where("failure is not null").groupBy("file_id").agg(F.min("failure").alias("failure"))
+            good = made.join(failed, "file_id", "left_anti").drop("failure")
+            entities = put("entities", good if fresh else index.replaced(self.snapshots.read("entities"), good, changed))
+            put("postings", recall.postings(entities).sortWithinPartitions("term"), by="bucket")
+            put("lengths", recall.length_stats(entities))
+            done = now.join(stored.select("file_id", F.col("indexed_time").alias("_then"), F.col("error").alias("_error")).join(states.where("state = 'unchanged'"), "file_id", "left_semi"), "file_id", "left")
+            done = done.withColumn("indexed_time", F.coalesce("_then", F.unix_millis(F.current_timestamp()))).join(failed, "file_id", "left").withColumn("error", F.coalesce("failure", "_error"))
+            major = F.col("group").isNull() | (F.col("group") == F.col("id"))
+            counts = entities.groupBy("file_id").agg(F.sum(major.cast("long")).alias("entity_count"))
+            left = old.join(states.where("state = 'kept'").select("file_id"), "file_id", "left_semi").drop("entity_count")
+            left = left if some is None else left.unionByName(old.where(~inside).drop("entity_count"))
+            done = done.select(*FILES[:-1]).unionByName(left.select(*FILES[:-1])).join(counts, "file_id", "left")
+            put("files", done.withColumn("entity_count", F.coalesce("entity_count", F.lit(0).cast("long"))).select(*FILES))
+            tally = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}  # a row for each state
+            errors = failed.count()
+        return {s: tally.get(s, 0) for s in ("added", "modified", "pending", "deleted", "unchanged")} | ({"failed": errors} if errors else {})
 
     def follow(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         """Apply a stream of changed paths, relative to root in the column path, micro-batch by micro-batch.
@@ -101,8 +127,8 @@ class Workspace:
         cut = cut.withColumn("id", index.entity_id(F.col("file_id"), F.col("index")))
         cut = cut.withColumn("group", F.when(F.col("group").isNotNull(), hash_id(F.col("file_id"), F.col("group").cast("string"))))
         header = F.concat_ws(" ", "symbol_type", "scope", "symbol_name", "heading")
-        cut = cut.withColumn("_embedded", chunking.vector_text(header, F.col("text"), self.size))
-        return embed.embed(cut, "_embedded", self.model, self.dimensions).drop("_embedded")
+        cut = cut.withColumn("_embedded", F.when(F.col("text").isNotNull(), chunking.vector_text(header, F.col("text"), self.size)))
+        return embed.embed(cut, "_embedded", self.model, self.dimensions, failure_col="failure").drop("_embedded")
 
     def status(self) -> dict[str, int] | None:
         """Counters of the index, or None without one."""
@@ -126,14 +152,16 @@ class Workspace:
         pool = entities.join(kept, "file_id", "left_semi")
         if plan.symbol_types:
             pool = pool.where(F.col("symbol_type").isin(list(plan.symbol_types)))
+        # Postings answer what no filter narrows to a few; statistics are those of all entities.
+        posted, lengths = self.snapshots.read("postings"), self.snapshots.read("lengths")
         out, names = None, []
         for route in plan.routes:
             branches = []
             if route.mode == "fts":
-                branches.append((route.id, recall.bm25(pool, route.query, "id", corpus=entities)))
+                branches.append((route.id, recall.bm25_postings(posted, lengths, route.query, pool)))
                 if plan.prefer_symbol and (named := symbol_names(route.query)):
                     mine = pool.where(meant(F.col("symbol_name"), F.col("scope"), named))
-                    branches.append((route.id + ".prefer-symbol", recall.bm25(mine, route.query, "id", corpus=entities)))
+                    branches.append((route.id + ".prefer-symbol", recall.bm25_postings(posted, lengths, route.query, mine)))
             else:
                 query = self.spark.createDataFrame([([float(x) for x in self.model(route.query)],)], "embedding array<float>")
                 branches.append((route.id, recall.vector_scores(pool, query, self.metric, "id")))
@@ -153,11 +181,25 @@ class Workspace:
         found = hits.select("route", "path", "id", "rank", "score")
         if plan.tracked is not None:
             sides = [(n, "vector" if n.startswith("vector") else "fts") for n in names]
-            found = fusion.force(found, sides, plan.tracked, recall.LAST_DEPTH).drop("forced")
+            found = fusion.force(found, sides, plan.tracked, recall.LAST_DEPTH, self._matches(plan)).drop("forced")
         best = fusion.ranked(fusion.fuse(found, names), plan.limit, tracked=plan.tracked)
         evidence = fusion.evidence(hits.select("public_id", "rank", "path", F.col("member").alias("id"))).withColumnRenamed("public_id", "id")
         return self._shown(best).join(evidence, "id", "left")
 
+    def _matches(self, plan: SearchPlan) -> DataFrame:
+        """(route, score) of the routes that the tracked entity matches when they are run on it alone."""
+        pool = self.snapshots.read("entities").where(F.col("id") == plan.tracked)
+        posted, lengths, out = self.snapshots.read("postings"), self.snapshots.read("lengths"), None
+        for route in plan.routes:
+            if route.mode == "fts":
+                scored = recall.bm25_postings(posted, lengths, route.query, pool)
+            else:
+                query = self.spark.createDataFrame([([float(x) for x in self.model(route.query)],)], "embedding array<float>")
+                scored = recall.vector_scores(pool, query, self.metric, "id")
+            one = scored.select(F.lit(route.id).alias("route"), "score")
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def diagnose(self, plan: SearchPlan, entity: str) -> DataFrame:
         """(route, depth_reached, rank, score, reason) for each route of a plan: where an entity stands in it, or why it
         doesn't: it isn't indexed, a filter leaves it out, the route doesn't match it, or it comes behind the last depth."""
@@ -217,6 +259,9 @@ class Workspace:
         With context, first_line, last_line and context; with a limit, rank and whether there are more.
         """
         ask = line_search(what) if isinstance(what, str) else replace(what)
+        for path in ask.paths or []:
+            if not any(c in path for c in "*?[{") and not files.exists(self.spark, f"{self.root.rstrip('/')}/{path}"):
+                raise PlanError("SEARCH_PATH", f"there is no {path!r} below the root")
         rows = self._scanned(show_hidden=ask.hidden, no_ignore=ask.no_ignore)
         if ask.paths:
             below = F.lit(False)

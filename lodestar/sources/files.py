@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator, Sequence
 from itertools import chain
@@ -158,43 +159,121 @@ def skip_report(files: DataFrame, samples: int = 20) -> DataFrame:
     return skipped.groupBy("reason").agg(F.count("*").alias("skipped")).join(listed, "reason")
 
 
-def listing(spark: SparkSession, root: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """((path, relative_path, size_bytes, last_modified) of all files below root, (folder, content) of its ignore files).
+#: Folders that are looked into for more of them before the tree is dealt out, and the most that come to the driver.
+WIDE, MOST_FOLDERS, LEVELS = 256, 10_000, 4
+LISTED = "path string, relative_path string, size_bytes long, last_modified long, unreadable boolean"
 
-    Metadata comes from the file system's own listing, which also has the hidden and empty files that Spark's readers
-    leave out.
+
+def _system(root: str):
+    """(file system, root's path in it, prefix of its uris) on the machine that asks."""
+    from pyarrow import fs
+
+    scheme = root.partition("://")[0] + "://" + root.partition("://")[2].partition("/")[0] if "://" in root else ""
+    system, base = fs.FileSystem.from_uri(root if scheme else "file://" + quote(os.path.abspath(root)))
+    return system, base.rstrip("/"), scheme
+
+
+def _children(system, folder: str) -> tuple[list, list]:
+    """(files, folders) in a folder; links to folders are left out, so that no walk runs in a circle."""
+    from pyarrow import fs
+
+    found = system.get_file_info(fs.FileSelector(folder, recursive=False))
+    local = isinstance(system, fs.LocalFileSystem)
+    folders = [f for f in found if f.type == fs.FileType.Directory and not (local and os.path.islink(f.path))]
+    return [f for f in found if f.type == fs.FileType.File], folders
+
+
+def listing(spark: SparkSession, root: str, paths: Sequence[str] | None = None) -> DataFrame:
+    """LISTED rows of all files below root, or below and of some paths relative to it, hidden and empty ones too.
+
+    Executors list: the first levels are gone through until there are enough folders to deal out, of which the driver
+    learns the names of MOST_FOLDERS at most, and each task walks the trees of its folders.  A folder that can't be read is
+    a row of its own, unreadable, and ignore files above the paths are listed along.
     """
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(conf)
-    base = fs.makeQualified(top).toUri().getPath().rstrip("/")
-    found, rows, rules = fs.listFiles(top, True), [], []
-    while found.hasNext():
-        one = found.next()
-        path = one.getPath().toUri().getPath()
-        relative = path[len(base) + 1 :]
-        rows.append((path, relative, one.getLen(), one.getModificationTime()))
-        if relative.split("/")[-1] == ".gitignore" and one.getLen() < 1 << 20:
-            stream = fs.open(one.getPath())
-            rules.append((relative.rpartition("/")[0], bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))
-            stream.close()
-    return spark.createDataFrame(rows, "path string, relative_path string, size_bytes long, last_modified long"), rules
-
-
-def scan(
+
+    def walk(recursive: bool, only_folders: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            system, base, _ = _system(root)
+            names = ["path", "relative_path", "size_bytes", "last_modified", "unreadable"]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+
+            def record(info) -> tuple:
+                size = None if info.type == fs.FileType.Directory else info.size
+                return info.path, info.path[len(base) + 1 :], size, (info.mtime_ns or 0) // 1_000_000, False
+
+            for batch in batches:
+                out: list[tuple] = []
+                for start in batch.column(0).to_pylist():
+                    todo = [f"{base}/{start}".rstrip("/")]
+                    while todo:
+                        folder = todo.pop()
+                        try:
+                            info = system.get_file_info(folder)
+                            if info.type == fs.FileType.NotFound:
+                                continue
+                            files, folders = ([info], []) if info.type == fs.FileType.File else _children(system, folder)
+                        except OSError:
+                            out.append((folder, folder[len(base) + 1 :], None, 0, True))
+                            continue
+                        out += [record(f) for f in (folders if only_folders else files)]
+                        if recursive:
+                            todo += [f.path for f in folders]
+                        if len(out) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                            out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+        return rows
+
+    def dealt(folders: list[str], recursive: bool, only_folders: bool = False) -> DataFrame:
+        table = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, min(len(folders), 1024)), "folder")
+        return table.mapInArrow(walk(recursive, only_folders), LISTED)
+
+    if paths is not None:
+        above = {"/".join(p.split("/")[:n]) for p in paths for n in range(len(p.split("/")))}
+        found = dealt(sorted(set(paths)), True)
+        rules = dealt(sorted(f"{a}/.gitignore".lstrip("/") for a in above), False)
+        return found.unionByName(rules).dropDuplicates(["path"])
+    flat, frontier = [], [""]
+    for _ in range(LEVELS):
+        if len(frontier) >= WIDE:
+            break
+        below = [r[0] for r in dealt(frontier, False, True).where("not unreadable").select("relative_path").limit(MOST_FOLDERS + 1).collect()]
+        if len(below) > MOST_FOLDERS:
+            break
+        flat, frontier = flat + frontier, below
+        if not below:
+            break
+    shallow = dealt(flat, False) if flat else None
+    deep = dealt(frontier, True) if frontier else None
+    return shallow.unionByName(deep) if shallow is not None and deep is not None else shallow if deep is None else deep
+
+
+def ignore_files(listed: DataFrame, root: str) -> list[tuple[str, str]]:
+    """(folder, content) of the ignore files among listed ones."""
+    found = contents(listed.where(F.col("relative_path").rlike(r"(^|/)\.gitignore$") & ~F.col("unreadable")), root)
+    base = _system(root)[1]
+    return [(r["path"][len(base) + 1 :].rpartition("/")[0], bytes(r["content"]).decode("utf-8", "replace")) for r in found.collect()]
+
+
+def listed_files(
     spark: SparkSession, root: str, workspace: str, include: Sequence[str] = (), exclude: Sequence[str] = (), globs: Sequence[str] = (),
     show_hidden: bool = False, no_ignore: bool = False, max_depth: int | None = None, max_size: int | None = None, nested_git: bool = False,
+    paths: Sequence[str] | None = None, hard: Sequence[str] = (),
 ) -> DataFrame:
-    """The files below root with identity, type, time, size, content and skip reason; what rules leave out is no row.
-
-    Contents are read on the executors and joined to the listing; those of empty files are null.  Spark's readers leave
-    out names that begin with a dot or an underscore, so the executors open those files by their path.
-    """
-    rows, ignore_files = listing(spark, root)
+    """The files below root with identity, type, time and size, by their metadata alone; what rules leave out is no row,
+    and folders that can't be read are rows of their own.  hard names further folders, relative to root, that are never
+    looked at, as that of an index within the tree."""
+    whole = listing(spark, root, paths)
+    rows, unreadable = whole.where("not unreadable"), whole.where("unreadable")
     relative = F.col("relative_path")
     parts = F.split(relative, "/")
     git = rows.where(relative.rlike(r"/\.git/")).select(F.regexp_extract(relative, r"^(.*?)/\.git/", 1).alias("nested")).distinct()
-    rows = rows.where(~F.exists(parts, lambda p: p.isin(HARD)) & ~relative.rlike(r"(^|/)\.gitignore$"))
+    rules = [] if no_ignore else ignore_rules(ignore_files(whole, root))
+    rows = rows.where(~F.exists(parts, lambda p: p.isin(HARD)) & ~relative.rlike(r"(^|/)\.gitignore$") & ~_any(relative, hard))
     if not nested_git:  # folders above a file meet the nested roots by equality
         above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
         inside = rows.select("path", F.explode(above).alias("nested")).join(git, "nested", "left_semi").select("path").distinct()
@@ -203,19 +282,42 @@ def scan(
     if not show_hidden:
         rows = rows.where(~hidden(relative) | named)
     if not no_ignore:
-        rows = rows.where(~ignored(relative, ignore_rules(ignore_files), include) & (~default_ignored(relative) | _any(relative, include)))
+        rows = rows.where(~ignored(relative, rules, include) & (~default_ignored(relative) | _any(relative, include)))
     rows = rows.where(depth_allowed(relative, max_depth) & ~_any(relative, exclude))
     if include:
         rows = rows.where(_any(relative, include))
     if globs:
         rows = rows.where(matches_ordered(relative, list(globs)))
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    read = read.select(F.regexp_replace(F.col("path"), "^[a-z]+:(//[^/]*)?/*", "/").alias("path"), "content")
-    left_out = rows.where((F.col("size_bytes") > 0) & relative.rlike(r"(^|/)[._]")).select("path")
-    rows = rows.join(read.unionByName(contents(left_out, root)).dropDuplicates(["path"]), "path", "left")
+    rows = rows.unionByName(unreadable)
     kind, format_ = file_type(F.col("path"))
     rows = rows.withColumn("kind", kind).withColumn("format", format_).withColumn("file_id", hash_id(workspace, normal_path(F.col("path"))))
-    return rows.withColumn("reason", skip_reason(F.col("kind"), F.col("size_bytes"), looks_binary(F.col("content")), max_size))
+    reason = F.when(F.col("unreadable"), "unreadable").otherwise(skip_reason(F.col("kind"), F.col("size_bytes"), F.lit(False), max_size))
+    return rows.withColumn("reason", reason)
+
+
+def with_contents(rows: DataFrame, root: str) -> DataFrame:
+    """rows of listed files with their content, read on the executors, and the reason if it looks binary; a file that is
+    gone by now has none."""
+    read = contents(rows.where("reason is null"), root)
+    rows = rows.join(read, "path", "left")
+    binary = F.when(F.col("kind") != "image", F.when(looks_binary(F.col("content")), "binary"))
+    return rows.withColumn("reason", F.coalesce("reason", binary))
+
+
+def scan(spark: SparkSession, root: str, workspace: str, **options) -> DataFrame:
+    """The files below root with identity, type, time, size, content and skip reason; see ``listed_files``."""
+    return with_contents(listed_files(spark, root, workspace, **options), root)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def overlapping(roots: Sequence[str]) -> list[tuple[str, str]]:
+    """Pairs of roots of which the second lies in the first, or is it."""
+    clean = [r.rstrip("/") for r in roots]
+    return [(a, b) for i, a in enumerate(clean) for j, b in enumerate(clean) if i != j and (b.startswith(a + "/") or a == b and i < j)]
 
 
 def contents(paths: DataFrame, root: str) -> DataFrame:
