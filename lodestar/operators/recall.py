@@ -26,38 +26,54 @@ def _bounded(term: str) -> str:
     return rf"(?<![\p{{L}}\p{{N}}_]){re.escape(term)}(?![\p{{L}}\p{{N}}_])"
 
 
-def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
-    """(id_col, score) of the rows of docs with any token of the query, by BM25 over the statistics of corpus.
+def _counted(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id_col, dl, tf0 ..): the length of every text in tokens, and how often it has each term.  Tokens are counted, never
+    listed, and a term's only in texts that hold its letters."""
+    texts = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
+    counts = [F.when(F.contains(F.col("_text"), F.lit(w)), F.regexp_count("_text", F.lit(_bounded(w)))).otherwise(0).alias(f"tf{i}") for i, w in enumerate(terms)]
+    return texts.select(id_col, F.regexp_count("_text", F.lit(TOKEN)).alias("dl"), *counts)
 
-    Both passes are narrow: one aggregation to a single row for the statistics, which is broadcast, and a projection that
-    counts the query's tokens in place, so nothing is exploded or shuffled but the top k.  Tokens are counted, never
-    listed, and a term's only in texts that hold its letters.
-    """
+
+def _statistics(counted: DataFrame, terms: int) -> DataFrame:
+    """(n, avgdl, df0 ..) of counted texts: a single row."""
+    return counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(terms)])
+
+
+def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
+    """(id_col, score) of the rows of docs with any token of the query, by BM25 over the statistics of corpus; without a
+    corpus over those of docs, whose texts are then read once."""
+    if corpus is None:
+        return bm25_routes(docs, [query], id_col, text_col)[0]
     terms = query_tokens(query)
-    if not terms:
-        return docs.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    counts = [F.when(F.contains(F.col("_text"), F.lit(w)), F.regexp_count("_text", F.lit(_bounded(w)))).otherwise(0) for w in terms]
-    size = F.regexp_count("_text", F.lit(TOKEN))
-    all_ = (docs if corpus is None else corpus).select(text.alias("_text"))
-    found = [F.sum((c > 0).cast("long")).alias(f"df{i}") for i, c in enumerate(counts)]
-    stats = all_.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"), *found)
+    stats = _statistics(_counted(corpus, terms, id_col, text_col), len(terms))
     any_ = F.lit(False)
     for w in terms:
-        any_ = any_ | F.contains(F.col("_text"), F.lit(w))
-    rows = docs.select(id_col, text.alias("_text")).where(any_).select(id_col, size.alias("dl"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
-    return _scored(rows.crossJoin(F.broadcast(stats)), len(terms), id_col)  # a single row
+        any_ = any_ | F.contains(F.lower(F.col(text_col)), F.lit(w))
+    rows = _counted(docs.where(any_), terms, id_col, text_col)
+    return _scored(rows.crossJoin(F.broadcast(stats)), list(range(len(terms))), id_col)  # a single row
+
+
+def bm25_routes(docs: DataFrame, queries: list[str], id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
+    """(id_col, score) for each query.  All of them and their statistics share one pass over the texts: its counts, a few
+    numbers a row, go through one exchange that every reader of them uses again."""
+    terms = list(dict.fromkeys(w for q in queries for w in query_tokens(q)))
+    counted = _counted(docs, terms, id_col, text_col).repartition(id_col)
+    stats = _statistics(counted, len(terms))
+    both = counted.crossJoin(F.broadcast(stats))  # a single row
+    return [_scored(both, [terms.index(w) for w in query_tokens(q)], id_col) for q in queries]
 
 
-def _scored(rows: DataFrame, terms: int, id_col: str) -> DataFrame:
-    """(id_col, score) of rows with tf0 .. and the length dl, and the statistics n, avgdl, df0 .. beside them."""
+def _scored(rows: DataFrame, terms: list[int], id_col: str) -> DataFrame:
+    """(id_col, score) of rows with tf0 .. and the length dl, and the statistics n, avgdl, df0 .. beside them, by the terms
+    of these numbers."""
     score: Column = F.lit(0.0)
-    for i in range(terms):
+    for i in terms:
         tf = F.col(f"tf{i}").cast("double")
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    some = F.greatest(*[F.col(f"tf{i}") for i in range(terms)], F.lit(0)) > 0
-    return rows.where(some).select(id_col, F.round(score, DIGITS).alias("score"))
+    # A row with none of the terms has score 0, others more.  As a condition on the score it stays above the exchange, which
+    # is the same for all readers then.
+    return rows.withColumn("score", score).where("score > 0").select(id_col, F.round("score", DIGITS).alias("score"))
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -94,7 +110,7 @@ def bm25_postings(index: DataFrame, stats: DataFrame, query: str, pool: DataFram
         mine = mine.join(pool.select(F.col(id_col).alias("id")), "id", "left_semi")
     counts = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(terms)]
     rows = mine.groupBy(F.col("id").alias(id_col)).agg(F.first("dl").alias("dl"), *counts)
-    return _scored(rows.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(stats)), len(terms), id_col)  # single rows
+    return _scored(rows.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(stats)), list(range(len(terms))), id_col)  # single rows
 
 
 def neighbours(

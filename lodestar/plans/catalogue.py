@@ -116,8 +116,8 @@ def bm25_filtered(spark, sf):
     "SELECT 'fts' AS route, 'fts' AS path, doc_id AS id, rank, score FROM ra UNION ALL SELECT 'fts-2', 'fts', doc_id, rank, score FROM rb"
 )
 def bm25_multi_route(spark, sf):
-    docs = documents(spark, sf)
-    return recall.route(recall.bm25(docs, QUERY_A), "fts", "fts", "doc_id", 50).unionByName(recall.route(recall.bm25(docs, QUERY_B), "fts-2", "fts", "doc_id", 50))
+    a, b = recall.bm25_routes(documents(spark, sf), [QUERY_A, QUERY_B])
+    return recall.route(a, "fts", "fts", "doc_id", 50).unionByName(recall.route(b, "fts-2", "fts", "doc_id", 50))
 
 
 def _vectors(spark, sf, metric="cosine", where=None, number=0):
