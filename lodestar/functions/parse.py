@@ -40,6 +40,8 @@ class LineSearch:
     """A line search as options of ``functions.text.line_regex`` and of the search itself."""
 
     patterns: list[str] = field(default_factory=list)
+    #: Files of patterns, a line each, that the search reads.
+    pattern_files: list[str] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
     options: dict[str, bool] = field(default_factory=dict)
     globs: list[str] = field(default_factory=list)
@@ -55,7 +57,7 @@ class LineSearch:
 _SWITCHES = {"-i": "ignore_case", "--ignore-case": "ignore_case", "-w": "word", "--word-regexp": "word", "-F": "fixed", "--fixed-strings": "fixed",
              "-S": "smart_case", "--smart-case": "smart_case", "-x": "whole_line", "--line-regexp": "whole_line"}
 _TAKES = {"-e": "e", "--regexp": "e", "-g": "g", "--glob": "g", "-t": "t", "--type": "t", "-A": "A", "--after-context": "A", "-B": "B",
-          "--before-context": "B", "-C": "C", "--context": "C", "-m": "m", "--max-count": "m"}
+          "--before-context": "B", "-C": "C", "--context": "C", "-m": "m", "--max-count": "m", "-f": "f", "--file": "f"}
 _IGNORED = {"-n", "--line-number", "-H", "--with-filename", "--no-heading", "--heading", "--color=never"}
 
 
@@ -96,6 +98,9 @@ def line_search(command: str) -> LineSearch:
             if kind == "e":
                 out.patterns.append(value)
                 given = True
+            elif kind == "f":
+                out.pattern_files.append(value)
+                given = True
             elif kind in "gt":
                 (out.globs if kind == "g" else out.types).append(value)
             elif kind == "m":

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 SIZE, OVERLAP = 3600, 540
+#: Rows of texts that are cut together.
+FEW = 128
 #: What a cut after a sign is worth.
 SIGNS = {**dict.fromkeys(".!?", 4), **dict.fromkeys(",;:", 3), **dict.fromkeys(" \t", 2), **dict.fromkeys("-/\\", 1)}
 PLAIN_CHARS, DENSE_CHARS, DENSE_SHARE, DENSE_WINDOW = 1.85, 1.0, 0.3, 16384
@@ -310,32 +312,41 @@ def code_chunks(text: str, language: str, size: int = SIZE, overlap: int = OVERL
 ENTITY = "file_id string, index int, group int, start_line int, end_line int, heading string, level int, scope string, symbol_type string, symbol_name string, signature string, doc string, modifiers string, content string, failure string"
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of FEW rows, so that what is made of long texts goes out before the next ones are cut."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FEW):
+            yield batch.slice(at, FEW)
+
+
 def entities(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, images: bool = False) -> DataFrame:
     """Chunks of files (file_id, kind, format, text) by what they are; ENTITY is their schema.
 
-    An image is one entity without text if the model takes images, and none otherwise.  A file that can't be cut is one
+    With a column budget, a file's chunks have no more characters than it says.  An image is one entity without text if the model takes images, and none otherwise.  A file that can't be cut is one
     row with the reason in failure and nothing else, so that it doesn't stop the others.
     """
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(ENTITY)
 
-    def cut(kind: str | None, format_: str | None, text: str) -> list[dict]:
+    def cut(kind: str | None, format_: str | None, text: str, budget: int | None) -> list[dict]:
+        most = size if budget is None else max(1, min(size, budget))
+        back = min(overlap, most * overlap // size)
         if kind == "image":
             return [{"index": 0, "start": 0, "end": 0, "symbol_type": "image", "content": ""}] * images
         found: list[dict] = []
         if format_ == "markdown":
-            found = list(markdown_chunks(text, size, overlap))
+            found = list(markdown_chunks(text, most, back))
         elif kind == "code":
-            found = list(code_chunks(text, format_, size, overlap))
-        return found or [{"start": a, "end": b, "content": c, "index": i} for i, (a, b, c) in enumerate(text_chunks(text, size, overlap))]
+            found = list(code_chunks(text, format_, most, back))
+        return found or [{"start": a, "end": b, "content": c, "index": i} for i, (a, b, c) in enumerate(text_chunks(text, most, back))]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
-            for file_id, kind, format_, text in zip(*[c.to_pylist() for c in batch.columns]):
+            for file_id, kind, format_, text, budget in zip(*[c.to_pylist() for c in batch.columns]):
                 try:
-                    found = cut(kind, format_, text or "")
+                    found = cut(kind, format_, text or "", budget)
                 except (ValueError, RecursionError, MemoryError, LookupError) as error:
                     rows.append([file_id, *[None] * 13, f"{type(error).__name__}: {error}"[:500]])
                     continue
@@ -346,7 +357,8 @@ def entities(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, images:
                 kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), *[pa.string()] * 8]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema.names)
 
-    return files.select("file_id", "kind", "format", "text").mapInArrow(made, schema)
+    budget = F.col("budget").cast("long") if "budget" in files.columns else F.lit(None).cast("long").alias("budget")
+    return files.select("file_id", "kind", "format", "text", budget).mapInArrow(made, schema)
 
 
 def chunk_texts(docs: DataFrame, cut: Callable[[str], list[list]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,7 +369,7 @@ def chunk_texts(docs: DataFrame, cut: Callable[[str], list[list]], schema: str,
     whole = StructType([rows.schema[id_col], *StructType.fromDDL(schema)])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out = [[i, *row] for i, t in zip(*[c.to_pylist() for c in batch.columns]) for row in cut(t or "")]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], whole.names).cast(_arrow(whole))

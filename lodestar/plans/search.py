@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.files import formats
 
 LIMIT = 7
 # Words that never name a symbol, and kinds that a symbol may have.
@@ -44,6 +45,7 @@ class SearchPlan:
     tracked: str | None = None
     prefer_symbol: bool = False
     symbol_types: Sequence[str] = ()
+    symbols: Sequence[str] = ()
     include_paths: Sequence[str] = ()
     exclude_paths: Sequence[str] = ()
     globs: Sequence[str] = ()
@@ -79,11 +81,16 @@ def resolve(plan: SearchPlan) -> SearchPlan:
     if plan.modified_after is not None and plan.modified_before is not None and plan.modified_after > plan.modified_before:
         raise PlanError("MODIFIED_TIME_RANGE", "modified_after is later than modified_before")
     clean: dict = {"routes": routes}
-    for name in ("include_paths", "exclude_paths", "globs", "insensitive_globs", "file_types", "excluded_file_types", "symbol_types"):
+    for name in ("include_paths", "exclude_paths", "globs", "insensitive_globs", "file_types", "excluded_file_types", "symbol_types", "symbols"):
         values = [v.strip() for v in getattr(plan, name)]
         if not all(values):
             raise PlanError("FILTER", f"{name} has an empty value")
         clean[name] = [X.normal_pattern(v) for v in values] if name.endswith("paths") else values
+    known = formats() | set(ALIASES) | {"all"}
+    for name in ("file_types", "excluded_file_types"):
+        for value in clean[name]:
+            if value.lower() not in known:
+                raise PlanError("FILE_TYPE", f"unknown file type {value!r}")
     return replace(plan, **clean)
 
 

@@ -32,11 +32,13 @@ class Workspace:
 
     def __init__(
         self, spark: SparkSession, root: str, folder: str, name: str = "workspace", model: Callable[[str], np.ndarray] = embed.stub_vector,
-        dimensions: int = 64, metric: str = "cosine", model_name: str = "stub", size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, **scan_options,
+        dimensions: int = 64, metric: str = "cosine", model_name: str = "stub", size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, tokens: int | None = None, **scan_options,
     ):
         self.spark, self.root, self.name = spark, root, name
         self.model, self.dimensions, self.metric = model, dimensions, metric
         self.size, self.overlap, self.scan_options = size, overlap, scan_options
+        #: Tokens that the model takes, which bound every file's chunks by how dense its text is.
+        self.tokens = tokens
         self.fingerprint = {"model": model_name, "dimension": dimensions, "metric": metric, "tokenizer": "words"}
         self.snapshots = index.Snapshots(spark, folder)
 
@@ -123,6 +125,8 @@ class Workspace:
         return changes.apply_changes(stream, apply, checkpoint, available_now)
 
     def _entities(self, texts: DataFrame) -> DataFrame:
+        if self.tokens is not None:
+            texts = texts.withColumn("budget", chunking.chunk_budget(F.col("text"), self.tokens))
         cut = chunking.entities(texts, self.size, self.overlap).withColumnRenamed("content", "text")
         cut = cut.withColumn("id", index.entity_id(F.col("file_id"), F.col("index")))
         cut = cut.withColumn("group", F.when(F.col("group").isNotNull(), hash_id(F.col("file_id"), F.col("group").cast("string"))))
@@ -152,6 +156,8 @@ class Workspace:
         pool = entities.join(kept, "file_id", "left_semi")
         if plan.symbol_types:
             pool = pool.where(F.col("symbol_type").isin(list(plan.symbol_types)))
+        if plan.symbols:
+            pool = pool.where(F.col("symbol_name").isin(list(plan.symbols)))
         # Postings answer what no filter narrows to a few; statistics are those of all entities.
         posted, lengths = self.snapshots.read("postings"), self.snapshots.read("lengths")
         out, names = None, []
@@ -209,6 +215,8 @@ class Workspace:
         passed = there.join(known.where(file_filter(plan, F.col("path"), F.col("last_modified"), F.col("format"))), "file_id", "left_semi")
         if plan.symbol_types:
             passed = passed.where(F.col("symbol_type").isin(list(plan.symbol_types)))
+        if plan.symbols:
+            passed = passed.join(entities.where((F.col("id") == entity) & F.col("symbol_name").isin(list(plan.symbols))).select("file_id").distinct(), "file_id", "left_semi")
         hits, names = self.hits(plan)
         mine = hits.where(F.col("id") == entity).groupBy("route").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
         reached = hits.groupBy("route").agg(F.max("rank").alias("depth_reached"))
@@ -262,6 +270,10 @@ class Workspace:
         for path in ask.paths or []:
             if not any(c in path for c in "*?[{") and not files.exists(self.spark, f"{self.root.rstrip('/')}/{path}"):
                 raise PlanError("SEARCH_PATH", f"there is no {path!r} below the root")
+        for name in ask.pattern_files:
+            if not files.exists(self.spark, f"{self.root.rstrip('/')}/{name}"):
+                raise PlanError("PATTERN_FILE", f"there is no {name!r} below the root")
+            ask.patterns = [*ask.patterns, *files.pattern_lines(self.spark, f"{self.root.rstrip('/')}/{name}")]
         rows = self._scanned(show_hidden=ask.hidden, no_ignore=ask.no_ignore)
         if ask.paths:
             below = F.lit(False)

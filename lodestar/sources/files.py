@@ -314,6 +314,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def pattern_lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a small file, without the empty line behind its last line end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    return data.decode("utf-8", "replace").removesuffix("\n").split("\n") if data else []
+
+
+def formats() -> set[str]:
+    """All formats that names of files stand for."""
+    return {f for table in (NAMED, CODE, DATA, TEXT, IMAGE) for f in table.values()}
+
+
 def overlapping(roots: Sequence[str]) -> list[tuple[str, str]]:
     """Pairs of roots of which the second lies in the first, or is it."""
     clean = [r.rstrip("/") for r in roots]

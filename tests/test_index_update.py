@@ -88,3 +88,26 @@ def test_listing(spark, tree):
     some = {r["relative_path"] for r in files.listing(spark, str(tree), ["src/deep", "src/b.py", "gone"]).collect()}
     assert some == {"src/b.py", "src/.gitignore", "src/deep/er/still/further/c.txt"}
     assert files.overlapping(["/a", "/a/b", "/c", "/c/"]) == [("/a", "/a/b"), ("/c", "/c")]
+
+
+def test_pattern_files_and_types(spark, tree, tmp_path):
+    (tree / "patterns.cfg").write_text("merge join\nspill\n")
+    space = Workspace(spark, str(tree), str(tmp_path / "index"))
+    assert sorted(r["path"] for r in space.lines("rg -F -f patterns.cfg src a.txt").collect()) == ["a.txt", "src/b.py"]
+    with pytest.raises(PlanError):
+        space.lines("rg -f nowhere.cfg")
+    with pytest.raises(PlanError) as error:
+        space.search(hybrid("x", file_types=["pyton"]))
+    assert error.value.code == "FILE_TYPE"
+
+
+def test_budgets_and_symbols(spark, tree, tmp_path):
+    (tree / "dense.txt").write_text("\n".join("1234567890" * 3 for _ in range(40)))
+    (tree / "plain.txt").write_text("\n".join("words of plain text here too" for _ in range(40)))
+    space = Workspace(spark, str(tree), str(tmp_path / "index"), tokens=200, no_ignore=True)
+    space.index()
+    found = space.snapshots.read("entities").join(space.files().select("file_id", "path"), "file_id").collect()
+    longest = lambda name: max(len(r["text"]) for r in found if r["path"] == name)
+    assert longest("dense.txt") <= 200 < longest("plain.txt") <= 370
+    got = space.search(SearchPlan(routes=[Route("vector", "anything")], symbols=["spill"], limit=5)).collect()
+    assert [r["symbol_name"] for r in got] == ["spill"]
