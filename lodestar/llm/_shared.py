@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 import zlib
 from collections.abc import Iterable
@@ -52,20 +53,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    written().append(path)
     return path
 
 
-#: What ``fresh_path`` gave out, in order, until ``forget`` takes it away.
-WRITTEN: list[str] = []
+_OWN = threading.local()
+
+
+def written() -> list[str]:
+    """What ``fresh_path`` gave to this thread, in order, until ``forget`` takes it away."""
+    if not hasattr(_OWN, "paths"):
+        _OWN.paths = []
+    return _OWN.paths
 
 
 def forget(spark: SparkSession, first: int, last: int | None = None) -> None:
-    """Remove tables from the shared folder, by their places in WRITTEN, that nothing reads any more."""
-    for path in WRITTEN[first:last]:
+    """Remove tables from the shared folder, by their places among this thread's, that nothing reads any more."""
+    for path in written()[first:last]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del WRITTEN[first:last]
+    del written()[first:last]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
