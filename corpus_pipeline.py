@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import mixing, near_copies, packing, quality_model, quality_rules
-from lodestar.llm._shared import WRITTEN, cut, forget, table
+from lodestar.llm._shared import cut, forget, table, written
 from lodestar.llm.queries import tokenizer_path
 
 
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for the table of documents."""
-    docs, first = table(spark, sf_dir, "documents"), len(WRITTEN)
+    docs, first = table(spark, sf_dir, "documents"), len(written())
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
         forget(spark, first, -1)  # all but the stage's rows
