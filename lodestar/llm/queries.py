@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, langid, mixing, packing, quality_model, quality_rules, simhash, sketch, warc
+from . import chat, html_text, langid, mixing, packing, quality_model, quality_rules, simhash, sketch, target_rates, warc
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +62,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_rates.shop_rates(*[table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")])
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_simhash, op2_html_text, op3_quality_model, op4_quality_rules, op5_sketch, op6_chat, op7_packing, op8_warc, op9_langid, op10_mixing]
+    own = [op1_simhash, op2_html_text, op3_quality_model, op4_quality_rules, op5_sketch, op6_chat, op7_packing, op8_warc, op9_langid, op10_mixing, op11_target_rates]
     return {f.__name__: f for f in own}
 
 
@@ -122,5 +126,48 @@ JOIN first f USING (payload)
 """
 
 
+OP11_SQL = """
+WITH sold AS (
+  SELECT sale_id, sold_at, coalesce(client_id, -1) AS client_id FROM sales WHERE sold_at IS NOT NULL
+), folded AS (  -- crc32 bit by bit over the digits
+  SELECT sale_id, sold_at, client_id,
+         xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]))),
+             lambda a, x: CASE WHEN x > 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 5 AS fold
+  FROM sold
+), own AS (
+  SELECT l.sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, s.client_id, s.sold_at AS t, s.fold,
+         count(*) AS n, count(*) FILTER (l.flag = 'returned') AS s
+  FROM sale_lines l JOIN folded s USING (sale_id) GROUP BY ALL
+), labelled AS (
+  SELECT o.*, i.kind, v.nation_id, c.segment FROM own o
+  LEFT JOIN items i USING (item_id) LEFT JOIN vendors v USING (vendor_id) LEFT JOIN clients c USING (client_id)
+), counted AS (
+  SELECT *,
+         HISTORIES
+  FROM labelled
+), whole AS (
+  SELECT *, CASE WHEN n_all < 1 THEN 500000 ELSE (1000000 * s_all + 50 * 500000) // (n_all + 50) END AS p FROM counted
+), shared AS (
+  SELECT *, CASE WHEN n_kind < 1 THEN p ELSE (1000000 * s_kind + 50 * p) // (n_kind + 50) END AS p_item,
+         CASE WHEN n_nation < 1 THEN p ELSE (1000000 * s_nation + 50 * p) // (n_nation + 50) END AS p_vendor,
+         CASE WHEN n_segment < 1 THEN p ELSE (1000000 * s_segment + 50 * p) // (n_segment + 50) END AS p_client
+  FROM whole
+)
+SELECT sale_id, item_id, vendor_id, n AS n_lines, s AS n_returned,
+       n_item AS item_n, CAST(CASE WHEN n_item < 1 THEN p_item ELSE (1000000 * s_item + 50 * p_item) // (n_item + 50) END AS BIGINT) AS item_rate,
+       n_vendor AS vendor_n, CAST(CASE WHEN n_vendor < 1 THEN p_vendor ELSE (1000000 * s_vendor + 50 * p_vendor) // (n_vendor + 50) END AS BIGINT) AS vendor_rate,
+       n_client AS client_n, CAST(CASE WHEN n_client < 1 THEN p_client ELSE (1000000 * s_client + 50 * p_client) // (n_client + 50) END AS BIGINT) AS client_rate
+FROM shared
+""".replace(
+    "HISTORIES",
+    ",\n         ".join(
+        f"CAST(coalesce(sum({m}) OVER ({over} ORDER BY t {frame}), 0) - coalesce(sum({m}) OVER ({over}{', ' if over else 'PARTITION BY '}fold ORDER BY t {frame}), 0) AS BIGINT) AS {m}_{name}"
+        for name, over in {"item": "PARTITION BY item_id", "kind": "PARTITION BY kind", "vendor": "PARTITION BY vendor_id", "nation": "PARTITION BY nation_id", "client": "PARTITION BY client_id", "segment": "PARTITION BY segment", "all": ""}.items()
+        for m in ("n", "s")
+        for frame in ["RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"]
+    ),
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL}
+    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op11_target_rates": OP11_SQL}
