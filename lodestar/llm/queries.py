@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, langid, mixing, packing, quality_model, quality_rules, simhash, sketch, target_rates, warc
+from . import chat, html_text, langid, mixing, packing, quality_model, quality_rules, secret_scan, simhash, sketch, target_rates, warc
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,12 @@ def op11_target_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_rates.shop_rates(*[table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")])
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_simhash, op2_html_text, op3_quality_model, op4_quality_rules, op5_sketch, op6_chat, op7_packing, op8_warc, op9_langid, op10_mixing, op11_target_rates]
+    own = [op1_simhash, op2_html_text, op3_quality_model, op4_quality_rules, op5_sketch, op6_chat, op7_packing, op8_warc, op9_langid, op10_mixing, op11_target_rates, op12_secret_scan]
     return {f.__name__: f for f in own}
 
 
@@ -169,5 +173,46 @@ FROM shared
 )
 
 
+#: The rules of the scan with their last repeat as group 1, and the least of its length.  Every run of hex digits is a match
+#: there, so only the long ones need be listed here.
+SECRETS = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", "AKIA([A-Z0-9]+)", 16),
+    ("hex", "([0-9a-f]{24,})", 24),
+    ("github", "gh[pousr]_([A-Za-z0-9]+)", 20),
+    ("slack", "xox[abeoprs]-([A-Za-z0-9-]+)", 16),
+    ("private_key", "(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", 1),
+]
+
+
+def _secret_spans(place: int, kind: str, pattern: str, least: int) -> str:
+    """SQL of a rule's spans: what a text splits into at the matches, and the matches, add up to their places."""
+    pattern = pattern.replace("\\'", "'").replace("'", "''")
+    return f"""
+  SELECT doc_id, row, {place} AS place, '{kind}' AS kind, length(m[i]) AS size,
+         coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, row, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM texts))
+  WHERE length(regexp_extract(m[i], '{pattern}', 1)) >= {least}"""
+
+
+OP12_SQL = (
+    """
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents
+), spans AS ("""
+    + "\n  UNION ALL".join(_secret_spans(k, *rule) for k, rule in enumerate(SECRETS))
+    + """
+), told AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(said, ',' ORDER BY start, place) FILTER (kind IN ('assign', 'access', 'hex')) AS base, string_agg(said, ',' ORDER BY start, place) AS spans
+  FROM (SELECT *, kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + size AS BIGINT) AS VARCHAR) AS said FROM spans) GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (row)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op11_target_rates": OP11_SQL}
+    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op11_target_rates": OP11_SQL, "op12_secret_scan": OP12_SQL}
