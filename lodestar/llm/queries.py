@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, langid, mixing, packing, quality_model, quality_rules, secret_scan, simhash, sketch, target_rates, warc
+from . import chat, html_text, langid, lexical_rank, mixing, packing, quality_model, quality_rules, secret_scan, simhash, sketch, target_rates, warc
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,8 +70,12 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_simhash, op2_html_text, op3_quality_model, op4_quality_rules, op5_sketch, op6_chat, op7_packing, op8_warc, op9_langid, op10_mixing, op11_target_rates, op12_secret_scan]
+    own = [op1_simhash, op2_html_text, op3_quality_model, op4_quality_rules, op5_sketch, op6_chat, op7_packing, op8_warc, op9_langid, op10_mixing, op11_target_rates, op12_secret_scan, op13_lexical_rank]
     return {f.__name__: f for f in own}
 
 
@@ -214,5 +218,30 @@ FROM texts LEFT JOIN told USING (row)
 )
 
 
+OP13_SQL = r"""
+WITH said AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(lower_ascii, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), sized AS (
+  SELECT row, doc_id, count(*) AS n FROM said GROUP BY row, doc_id
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized
+), counted AS (
+  SELECT row, term, count(*) AS tf FROM said WHERE term IN (SELECT term FROM asked) GROUP BY row, term
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), whole
+), scored AS (
+  SELECT a.item_id, c.row, CAST(sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 90 + (90 * s.n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked a JOIN counted c USING (term) JOIN weighed w USING (term) JOIN sized s USING (row), whole GROUP BY a.item_id, c.row
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored JOIN sized USING (row) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op11_target_rates": OP11_SQL, "op12_secret_scan": OP12_SQL}
+    return {"op6_chat": OP6_SQL, "op8_warc": OP8_SQL, "op11_target_rates": OP11_SQL, "op12_secret_scan": OP12_SQL, "op13_lexical_rank": OP13_SQL}
