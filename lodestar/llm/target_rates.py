@@ -109,7 +109,7 @@ def _without_own(totals: np.ndarray, fold: np.ndarray) -> np.ndarray:
     return totals.sum(1)[:, None] - totals[:, fold]
 
 
-def _history(kept: pa.Schema, made: pa.Schema, names: dict[str, str], folds: int):
+def _history(kept: pa.Schema, made: pa.Schema, names: dict[str, str], folds: int, block_rows: int):
     """The work of a task that gets its range in order: counts of each row's history inside the range, and at the end a
     mark for the range's first key and its last one."""
     schema = pa.schema([*kept, *made])
@@ -121,7 +121,7 @@ def _history(kept: pa.Schema, made: pa.Schema, names: dict[str, str], folds: int
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, now = TaskContext.get().partitionId(), None, None
-        for block in _blocks(batches):
+        for block in _blocks(batches, block_rows):
             code, key, fold, n, s = (block.column(names[c]).to_numpy(zero_copy_only=False) for c in ("code", "key", "fold", "n", "s"))
             at, counts = block.column(names["at"]).cast(pa.int64()).to_numpy(), np.stack([n, s])
             past, starts = _block(code, key, at, fold, counts, folds)
@@ -150,12 +150,12 @@ def _history(kept: pa.Schema, made: pa.Schema, names: dict[str, str], folds: int
     return answers
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches put together to BLOCK_ROWS rows or a batch's more."""
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together to so many rows or a batch's more."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+        if sum(b.num_rows for b in held) >= rows:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = []
     if sum(b.num_rows for b in held):
@@ -180,15 +180,17 @@ def _carried(marks: DataFrame, names: dict[str, str], folds: int) -> DataFrame:
     return ties.where("side = 0").select(F.col("part").alias("at_part"), F.col("code").alias("at_code"), F.col("key").alias("at_key"), "upto", F.zip_with("upto", "ties", lambda a, b: a - b).alias("before"))
 
 
-def history(rows: DataFrame, keep: list[str], at: str, fold: str, n: str, s: str, code: str, key: str, folds: int = FOLDS) -> DataFrame:
+def history(rows: DataFrame, keep: list[str], at: str, fold: str, n: str, s: str, code: str, key: str, folds: int = FOLDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """keep, code, key and (past_n, past_s): rows n and hits s of each row's history, that is of all rows of its (code, key)
     with an earlier time at and another fold (0 to folds - 1, or null).
 
-    code and key are whole numbers without nulls.  The result reads a table in the shared folder.
+    code and key are whole numbers without nulls; keep has no column with the name of another of the result.  The result
+    reads a table in the shared folder.
     """
     inner = ["code", "key", "at", "fold", "n", "s"]
     made = ["past_n", "past_s", "part", "opens", "tied", "first", "last", "totals"]
-    names = dict(zip(inner + made, free_names(keep, *inner, *made), strict=True))
+    joined_in = ["at_part", "at_code", "at_key", "upto", "before"]
+    names = dict(zip(inner + made + joined_in, free_names(keep, *inner, *made, *joined_in), strict=True))
     given = {"code": named(code).cast("int"), "key": named(key).cast("long"), "at": named(at), "n": named(n).cast("long"), "s": named(s).cast("long")}
     given["fold"] = F.coalesce(named(fold).cast("int"), F.lit(folds))
     units = rows.where(named(at).isNotNull()).select(*[named(c) for c in keep], *[given[c].alias(names[c]) for c in inner])
@@ -199,12 +201,12 @@ def history(rows: DataFrame, keep: list[str], at: str, fold: str, n: str, s: str
     kinds = [T.LongType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.BooleanType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType())]
     out = T.StructType([T.StructField(f.name, f.dataType) for f in held] + [T.StructField(names[c], kind) for c, kind in zip(made, kinds, strict=True)])
     arrow = to_arrow_schema(out)
-    work = _history(pa.schema(list(arrow)[: len(held)]), pa.schema(list(arrow)[len(held) :]), names, folds)
+    work = _history(pa.schema(list(arrow)[: len(held)]), pa.schema(list(arrow)[len(held) :]), names, folds, block_rows)
     done = cut(ranged.mapInArrow(work, out), "history")
     col = {k: named(v) for k, v in names.items()}
-    carried = _carried(done.where(col["totals"].isNotNull()), names, folds)
-    joined = done.where(col["totals"].isNull()).join(carried, col["opens"] & (col["part"] == F.col("at_part")) & (col["code"] == F.col("at_code")) & (col["key"] == F.col("at_key")), "left")
-    before = F.when(col["tied"], F.col("before")).otherwise(F.col("upto"))
+    carried = _carried(done.where(col["totals"].isNotNull()), names, folds).toDF(*[names[c] for c in joined_in])
+    joined = done.where(col["totals"].isNull()).join(carried, col["opens"] & (col["part"] == col["at_part"]) & (col["code"] == col["at_code"]) & (col["key"] == col["at_key"]), "left")
+    before = F.when(col["tied"], col["before"]).otherwise(col["upto"])
     size = folds + 1
 
     def others(start: int) -> Column:
