@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_id
+from .segments import SEQ, Log, State
 
-VERSION = 2
+VERSION = 3
+#: Seconds after which a writer's lock is taken for that of a writer that has died.
+LEASE = 6 * 3600
 
 
 def entity_id(file_id, index):
@@ -76,6 +80,19 @@ def mark_failed(files: DataFrame, failed: DataFrame) -> DataFrame:
     return out.withColumn("entity_count", F.when(F.col("failure").isNull(), F.col("entity_count")).otherwise(0)).drop("failure", "_s", "_t")
 
 
+class Writer:
+    """What writes a snapshot: tables of its own, some of them only until it is named, and the log that it ends with."""
+
+    def __init__(self, snapshots: Snapshots, name: str, log: Log):
+        self.snapshots, self.name, self.log, self.scratch = snapshots, name, log, []
+
+    def __call__(self, table: str, df: DataFrame, scratch: bool = False) -> DataFrame:
+        path = f"{self.snapshots.folder}/{self.name}/{table}"
+        df.write.parquet(path)
+        self.scratch += [table] if scratch else []
+        return self.snapshots.spark.read.schema(df.schema).parquet(path)
+
+
 class Snapshots:
     """Versions of the index's tables below one folder, and a manifest that names the one to read.
 
@@ -83,8 +100,10 @@ class Snapshots:
     one version or the next; a fresh build that breaks off is never named.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, list[str]] | None = None, whole: tuple[str, ...] = ()):
         self.spark, self.folder = spark, folder.rstrip("/")
+        #: Tables that are kept as one log of segments, with the columns they are sorted by.
+        self.tables, self.whole = tables or {}, whole
 
     def _path(self, name: str = ""):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
@@ -120,8 +139,15 @@ class Snapshots:
         manifest = self.manifest
         if not manifest or manifest["version"] != VERSION:
             raise ValueError("there is no index of this version")
+        if table in self.tables and manifest.get("log"):
+            return self.log(manifest).read(table)
         return self.spark.read.parquet(f"{self.folder}/{manifest['snapshot']}/{table}")
 
+    def log(self, manifest: dict | None = None) -> Log:
+        """The log of the manifest's tables, or an empty one."""
+        state = State.read((manifest or {}).get("log"))
+        return Log(self.spark, f"{self.folder}/segments", self.tables, whole=self.whole, state=state)
+
     def write(self, fingerprint: dict, replace_fingerprint: bool = False, **tables: DataFrame) -> str:
         """Write a snapshot of these tables; the fingerprint of model and tokenizer has to be that of the manifest, or to
         replace it."""
@@ -130,43 +156,63 @@ class Snapshots:
                 put(table, df)
         return self.manifest["snapshot"]
 
+    def _locked(self) -> None:
+        """Take the lock; one that is older than LEASE is a dead writer's and is taken over."""
+        lock = self._path("lock")
+        self._fs.mkdirs(self._path())
+        for again in (False, True):
+            try:
+                self._fs.create(lock, False).close()  # fails if there is one
+                return
+            except Exception as error:
+                if again or not self._fs.exists(lock) or self._age(lock) < LEASE:
+                    raise ValueError(f"another writer has {self.folder}/lock") from error
+                # Of several that find the lock too old, one alone can put it aside.
+                self._rename("lock", f"lock.old.{uuid.uuid4().hex[:8]}")
+
+    def _age(self, path) -> float:
+        return time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000
+
     @contextmanager
-    def writing(self, fingerprint: dict, replace_fingerprint: bool = False) -> Iterator[Callable[..., DataFrame]]:
-        """The next snapshot, one writer at a time: ``put(table, df, by=column)`` writes a table and gives it back as written.
+    def writing(self, fingerprint: dict, replace_fingerprint: bool = False) -> Iterator[Writer]:
+        """The next snapshot, one writer at a time: ``put(table, df)`` writes a table and gives it back as written.
 
-        The snapshot is named when the block ends without an error; the one before it stays for its readers, and older ones
-        and what a broken writer left are removed.
+        The snapshot is named when the block ends without an error, with the log that the writer has then; the one before it
+        stays for its readers, and older ones, what a broken writer left and the writer's scratch tables are removed.
         """
-        lock = self._path("lock")
-        try:
-            self._fs.mkdirs(self._path())
-            self._fs.create(lock, False).close()  # fails if there is one
-        except Exception as error:
-            raise ValueError(f"another writer has {self.folder}/lock") from error
+        self._locked()
         name = f"snapshot-{uuid.uuid4().hex}"
         try:
             manifest = self.manifest
+            if manifest and manifest["version"] != VERSION:
+                manifest = None
             if manifest and manifest["fingerprint"] != fingerprint and not replace_fingerprint:
                 raise ValueError("the index was made with another model")
-
-            def put(table: str, df: DataFrame, by: str | None = None) -> DataFrame:
-                path = f"{self.folder}/{name}/{table}"
-                (df.write.partitionBy(by) if by else df.write).parquet(path)
-                return self.spark.read.parquet(path)
-
-            yield put
-            text = json.dumps({"version": VERSION, "snapshot": name, "fingerprint": fingerprint})
+            writer = Writer(self, name, self.log(manifest))
+            yield writer
+            said = {"version": VERSION, "snapshot": name, "fingerprint": fingerprint} | ({"log": writer.log.state.said()} if self.tables else {})
             stream = self._fs.create(self._path("manifest.tmp"), True)
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(json.dumps(said).encode()))
             stream.hsync()
             stream.close()
             self._rename("manifest.tmp", "manifest.json")
-            kept = {name, manifest["snapshot"] if manifest else name}
-            for one in self._fs.listStatus(self._path()):
-                if one.getPath().getName().startswith("snapshot-") and one.getPath().getName() not in kept:
-                    self._fs.delete(one.getPath(), True)
+            self._clean({name, manifest["snapshot"] if manifest else name}, writer.log.parts() | self.log(manifest).parts())
+            for table in writer.scratch:
+                self._fs.delete(self._path(f"{name}/{table}"), True)
         finally:
-            self._fs.delete(lock, False)
+            self._fs.delete(self._path("lock"), False)
+
+    def _clean(self, snapshots: set[str], parts: set[tuple[str, int]]) -> None:
+        """Remove snapshots and segments but these, and locks that were put aside."""
+        for one in self._fs.listStatus(self._path()):
+            name = one.getPath().getName()
+            if name.startswith("snapshot-") and name not in snapshots or name.startswith("lock.old."):
+                self._fs.delete(one.getPath(), True)
+        if self._fs.exists(self._path("segments")):
+            for table in self._fs.listStatus(self._path("segments")):
+                for one in self._fs.listStatus(table.getPath()):
+                    if (table.getPath().getName(), int(one.getPath().getName().removeprefix(f"{SEQ}="))) not in parts:
+                        self._fs.delete(one.getPath(), True)
 
     def drop(self) -> bool:
         """Remove all versions; whether there were any."""

@@ -17,8 +17,6 @@ K1, B = 1.2, 0.75
 #: Digits that scores are rounded to before they are ordered, so that the order of sums can't decide a tie.
 DIGITS = 6
 FIRST_DEPTH, LAST_DEPTH = 200, 2000
-#: Buckets of terms in an index of postings.
-BUCKETS = 64
 
 
 def _bounded(term: str) -> str:
@@ -76,25 +74,26 @@ def _scored(rows: DataFrame, terms: list[int], id_col: str) -> DataFrame:
     return rows.withColumn("score", score).where("score > 0").select(id_col, F.round("score", DIGITS).alias("score"))
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, id, tf, dl): how often each text has each token, and its length in tokens.  Written by bucket, a hash
-    of the term, and sorted by term, a search reads its terms' row groups alone."""
-    split = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
-    counted = split.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    return counted.select(term_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "tf", "dl")
-
-
-def term_bucket(term: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, id, tf, dl, keep): how often each text has each token, and its length in tokens.  A segment of them is sorted by
+    term, so a search reads its terms' row groups alone."""
+    extra = [F.col(c) for c in keep]
+    split = docs.select(F.col(id_col).alias("id"), *extra, tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
+    counted = split.select("id", "dl", *extra, F.explode("t").alias("term")).groupBy("id", "dl", *keep, "term").agg(F.count("*").alias("tf"))
+    return counted.select("term", "id", "tf", "dl", *keep)
 
 
 def length_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(n, avgdl): one row, the number of texts and their mean length in tokens."""
-    size = F.regexp_count(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN))
-    return docs.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"))
+    return docs.agg(F.count("*").alias("n"), F.avg(text_length(F.col(text_col))).alias("avgdl"))
+
+
+def text_length(text: Column) -> Column:
+    """The tokens of a text; null has none."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN))
 
 
-def bm25_postings(index: DataFrame, stats: DataFrame, query: str, pool: DataFrame | None = None, id_col: str = "id", buckets: int = BUCKETS) -> DataFrame:
+def bm25_postings(index: DataFrame, stats: DataFrame, query: str, pool: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """(id_col, score) by BM25 from postings and the row of length statistics, of the ids in pool if there is one.
 
     Only the query's terms are read; their rows meet by id in one aggregation, so its size is that of the hits.
@@ -102,9 +101,7 @@ def bm25_postings(index: DataFrame, stats: DataFrame, query: str, pool: DataFram
     terms = query_tokens(query)
     if not terms:
         return index.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
-    spark = index.sparkSession
-    hashed = spark.createDataFrame([(w,) for w in terms], "w string").select(term_bucket(F.col("w"), buckets)).collect()  # a row each term
-    mine = index.where(F.col("bucket").isin([r[0] for r in hashed]) & F.col("term").isin(terms))
+    mine = index.where(F.col("term").isin(terms))
     found = mine.groupBy("term").agg(F.count("*").alias("df")).agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).alias(f"df{i}") for i, w in enumerate(terms)])
     if pool is not None:
         mine = mine.join(pool.select(F.col(id_col).alias("id")), "id", "left_semi")

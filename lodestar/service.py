@@ -19,15 +19,18 @@ from .streaming import changes
 
 #: Folders that can't be read, at most, for an update to go on.
 PROTECTED = 1000
-FILES = ["file_id", "path", "kind", "format", "size_bytes", "last_modified", "content_hash", "indexed_time", "error", "entity_count"]
+#: What is known of a file; texts and terms are its entities and their tokens, which the statistics of a search add up.
+FILES = ["file_id", "path", "kind", "format", "size_bytes", "last_modified", "content_hash", "indexed_time", "error", "entity_count", "texts", "terms"]
+#: The tables of an index and their order.  Noting a file anew leaves its entities and postings as they are.
+TABLES = {"files": ["path"], "entities": ["file_id"], "postings": ["term", "id"]}
 
 
 class Workspace:
     """Index and search of the files below root.
 
-    The index is a snapshot of two tables, files and entities, below folder, which all executors have to reach.  An
-    update scans the tree, cuts and embeds only files that are new or differ, and writes the next snapshot; readers keep
-    the one they began with.  The model is a function from text to a vector; an index is refused to another model.
+    The index is a log of three tables, files, entities and postings, below folder, which all executors have to reach.  An
+    update lists the tree, cuts and embeds only files that are new or differ, and writes their rows alone as one segment
+    more; readers keep the snapshot they began with.  The model is a function from text to a vector; an index is refused to another model.
     """
 
     def __init__(
@@ -40,7 +43,7 @@ class Workspace:
         #: Tokens that the model takes, which bound every file's chunks by how dense its text is.
         self.tokens = tokens
         self.fingerprint = {"model": model_name, "dimension": dimensions, "metric": metric, "tokenizer": "words"}
-        self.snapshots = index.Snapshots(spark, folder)
+        self.snapshots = index.Snapshots(spark, folder, TABLES, whole=("files",))
 
     # Index
 
@@ -69,15 +72,16 @@ class Workspace:
             inside = F.col("path").isin(some)
             for p in some:
                 inside = inside | F.col("path").startswith(p + "/")
-        none = "file_id string, path string, kind string, format string, size_bytes long, last_modified long, content_hash string, indexed_time long, error string, entity_count long"
+        none = "file_id string, path string, kind string, format string, size_bytes long, last_modified long, content_hash string, indexed_time long, error string, entity_count long, texts long, terms long"
         with self.snapshots.writing(self.fingerprint, rebuild) as put:
+            if fresh:
+                put.log = put.log.emptied()
             listed = files.listed_files(spark, self.root, self.name, paths=some, **self._options())
-            listed = put("listed", listed.withColumn("full_path", F.col("path")).withColumn("path", F.col("relative_path")).drop("relative_path"))
+            listed = put("listed", listed.withColumn("full_path", F.col("path")).withColumn("path", F.col("relative_path")).drop("relative_path"), scratch=True)
             protected = [r["path"] for r in listed.where("unreadable").select("path").distinct().limit(PROTECTED + 1).collect()]
             if len(protected) > PROTECTED:
                 raise ValueError(f"more than {PROTECTED} folders can't be read")
-            old = spark.createDataFrame([], none) if fresh else self.snapshots.read("files")
-            stored = old.where(inside)
+            stored = (spark.createDataFrame([], none) if fresh else put.log.read("files")).where(inside)
             rows = listed.where("reason is null").where(inside)
             before = stored.select("file_id", F.col("size_bytes").alias("_s"), F.col("last_modified").alias("_t"), F.col("content_hash").alias("_h"), F.col("indexed_time").alias("_i"))
             same = (F.col("size_bytes") == F.col("_s")) & (F.col("last_modified") == F.col("_t")) & F.col("_h").isNotNull() & F.col("_i").isNotNull()
@@ -85,27 +89,29 @@ class Workspace:
             read = files.with_contents(rows.where("not same").select("file_id", F.col("full_path").alias("path"), F.col("path").alias("at"), "kind", "format", "size_bytes", "last_modified", "reason"), self.root)
             read = read.where("reason is null and content is not null").withColumn("content_hash", F.sha2("content", 256))
             kept = rows.where("same").select("file_id", "path", "kind", "format", "size_bytes", "last_modified", F.col("_h").alias("content_hash"))
-            read = put("read", read.select("file_id", F.col("at").alias("path"), "kind", "format", "size_bytes", "last_modified", "content_hash", valid_utf8(F.col("content")).alias("text")))
-            now = read.drop("text").unionByName(kept)
-            states = put("states", index.diff(now, stored, protected))
-            changed = states.where("state <> 'unchanged' and state <> 'kept'").select("file_id")
+            read = put("read", read.select("file_id", F.col("at").alias("path"), "kind", "format", "size_bytes", "last_modified", "content_hash", valid_utf8(F.col("content")).alias("text")), scratch=True)
+            states = put("states", index.diff(read.drop("text").unionByName(kept), stored, protected))
             texts = read.join(states.where("state in ('added', 'modified', 'pending')").select("file_id"), "file_id", "left_semi")
-            made = put("made", self._entities(texts))
+            made = put("made", self._entities(texts), scratch=True)
             failed = made.where("failure is not null").groupBy("file_id").agg(F.min("failure").alias("failure"))
             good = made.join(failed, "file_id", "left_anti").drop("failure")
-            entities = put("entities", good if fresh else index.replaced(self.snapshots.read("entities"), good, changed))
-            put("postings", recall.postings(entities).sortWithinPartitions("term"), by="bucket")
-            put("lengths", recall.length_stats(entities))
-            done = now.join(stored.select("file_id", F.col("indexed_time").alias("_then"), F.col("error").alias("_error")).join(states.where("state = 'unchanged'"), "file_id", "left_semi"), "file_id", "left")
-            done = done.withColumn("indexed_time", F.coalesce("_then", F.unix_millis(F.current_timestamp()))).join(failed, "file_id", "left").withColumn("error", F.coalesce("failure", "_error"))
             major = F.col("group").isNull() | (F.col("group") == F.col("id"))
-            counts = entities.groupBy("file_id").agg(F.sum(major.cast("long")).alias("entity_count"))
-            left = old.join(states.where("state = 'kept'").select("file_id"), "file_id", "left_semi").drop("entity_count")
-            left = left if some is None else left.unionByName(old.where(~inside).drop("entity_count"))
-            done = done.select(*FILES[:-1]).unionByName(left.select(*FILES[:-1])).join(counts, "file_id", "left")
-            put("files", done.withColumn("entity_count", F.coalesce("entity_count", F.lit(0).cast("long"))).select(*FILES))
+            sizes = good.groupBy("file_id").agg(F.sum(major.cast("long")).alias("entity_count"), F.count("*").alias("texts"), F.sum(recall.text_length(F.col("text"))).cast("long").alias("terms"))
+            new = texts.drop("text").join(failed, "file_id", "left").join(sizes, "file_id", "left").withColumn("indexed_time", F.unix_millis(F.current_timestamp())).withColumn("error", F.col("failure"))
+            # Files of the same content under another time are noted anew; what was made of them stays.
+            said = stored.select("file_id", "indexed_time", "error", "entity_count", "texts", "terms")
+            noted = read.drop("text").join(states.where("state = 'unchanged'").select("file_id"), "file_id", "left_semi").join(said, "file_id")
+            new = new.select(*FILES).unionByName(noted.select(*FILES))
+            new = put("noted", new.fillna(0, ["entity_count", "texts", "terms"]), scratch=True)
+            gone = states.where("state in ('modified', 'pending', 'deleted')").select("file_id", F.lit(True).alias("whole"))
+            gone = put("gone", gone.unionByName(noted.select("file_id", F.lit(False).alias("whole"))), scratch=True)
             tally = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}  # a row for each state
             errors = failed.count()
+            if not new.isEmpty() or not gone.isEmpty() or fresh:
+                sums = lambda df: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("texts", "terms")]).first().asDict()
+                come, went = sums(new), sums(stored.join(gone.select("file_id"), "file_id", "left_semi"))
+                delta = {c: come[c] - went[c] for c in come}
+                put.log = put.log.append({"files": new, "entities": good, "postings": recall.postings(good, keep=("file_id",))}, gone, delta).merged()
         return {s: tally.get(s, 0) for s in ("added", "modified", "pending", "deleted", "unchanged")} | ({"failed": errors} if errors else {})
 
     def follow(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -159,7 +165,7 @@ class Workspace:
         if plan.symbols:
             pool = pool.where(F.col("symbol_name").isin(list(plan.symbols)))
         # Postings answer what no filter narrows to a few; statistics are those of all entities.
-        posted, lengths = self.snapshots.read("postings"), self.snapshots.read("lengths")
+        posted, lengths = self.snapshots.read("postings"), self._lengths()
         out, names = None, []
         for route in plan.routes:
             branches = []
@@ -192,10 +198,15 @@ class Workspace:
         evidence = fusion.evidence(hits.select("public_id", "rank", "path", F.col("member").alias("id"))).withColumnRenamed("public_id", "id")
         return self._shown(best).join(evidence, "id", "left")
 
+    def _lengths(self) -> DataFrame:
+        """(n, avgdl): one row, the number of entities and their mean length in tokens."""
+        sums = self.snapshots.log(self.snapshots.manifest).state.sums
+        return self.spark.createDataFrame([(sums["texts"], sums["terms"] / sums["texts"] if sums["texts"] else None)], "n long, avgdl double")
+
     def _matches(self, plan: SearchPlan) -> DataFrame:
         """(route, score) of the routes that the tracked entity matches when they are run on it alone."""
         pool = self.snapshots.read("entities").where(F.col("id") == plan.tracked)
-        posted, lengths, out = self.snapshots.read("postings"), self.snapshots.read("lengths"), None
+        posted, lengths, out = self.snapshots.read("postings"), self._lengths(), None
         for route in plan.routes:
             if route.mode == "fts":
                 scored = recall.bm25_postings(posted, lengths, route.query, pool)
