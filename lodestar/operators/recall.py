@@ -110,6 +110,15 @@ def bm25_postings(index: DataFrame, stats: DataFrame, query: str, pool: DataFram
     return _scored(rows.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(stats)), list(range(len(terms))), id_col)  # single rows
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, vectors) of the lists of an array that aren't null, as one array without a Python number for each value."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    column = column.drop_null()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return there, flat.reshape(len(there), -1) if len(there) else np.zeros((0, 0))
+
+
 def neighbours(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", rows: int = 1 << 16, block: int = 256
 ) -> DataFrame:
@@ -126,13 +135,14 @@ def neighbours(
 
     def best(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        ids, all_ = table["id"].to_numpy(), table["v"].to_pylist()
-        known = [i for i in np.flatnonzero(side == 0) if all_[i] is not None]
-        asked = [i for i in np.flatnonzero(side == 1) if all_[i] is not None]
-        known.sort(key=lambda i: ids[i])
+        ids, (there, all_) = table["id"].to_numpy(), matrix(table["v"])
+        known, asked = there[side[there] == 0], there[side[there] == 1]
+        known = known[np.argsort(ids[known], kind="stable")]
         out: list[tuple] = []
-        if known and asked:
-            a, b = (np.array([all_[i] for i in x], np.float64) for x in (known, asked))
+        if len(known) and len(asked):
+            place = np.zeros(len(table), np.int64)
+            place[there] = np.arange(len(there))
+            a, b = all_[place[known]], all_[place[asked]]
             score = b @ a.T
             if metric == "cosine":
                 length = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None]

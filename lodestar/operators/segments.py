@@ -90,7 +90,7 @@ class Log:
             if table in now.schemas and T.StructType.fromJson(now.schemas[table]).simpleString() != schema.simpleString():
                 raise ValueError(f"rows of {table} have other columns than the log")
             now.schemas[table] = schema.jsonValue()
-        now.segments[seq] = {t: self._write(t, df, seq) for t, df in rows.items()}
+        now.segments[seq] = {t: self._write(t, rows[t], seq) if t in rows else 0 for t in self.tables}
         if gone is not None:
             path = self._path("gone", seq)
             gone.select(F.col(self.key).cast("string").alias(self.key), F.col("whole").cast("boolean").alias("whole")).write.mode("overwrite").parquet(path)

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import chunking, embed, fusion, index, lexical, recall
+from ..operators import chunking, embed, fusion, index, lexical, recall, segments, vector_lists
 from ..sources import files as S
+from ..sources.scratch import scratch
 from ..streaming import changes
 from . import search
 
@@ -142,11 +143,54 @@ for _metric in METRICS:
     )
 
 
-@query(f"WITH {FILES}, {_bm25_sql('s', QUERY_A)}, {_top_sql('r', 's', 'doc_id', 20)} SELECT doc_id AS id, score, rank FROM r")
+_KEPT = FILES.replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))")
+
+
+@query(f"WITH {_KEPT}, {_bm25_sql('s', QUERY_A)}, {_top_sql('r', 's', 'doc_id', 20)} SELECT doc_id AS id, score, rank FROM r")
 def bm25_from_postings(spark, sf):
-    """The same top k from an index of postings, as a workspace stores it."""
-    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    return recall.top(recall.bm25_postings(recall.postings(docs), recall.length_stats(docs), QUERY_A), 20, "id")
+    """Top k from a log of postings, as a workspace stores it: every text is stale at first, two updates replace the English
+    ones and the rest, and what is labelled as poor is removed."""
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file_id"), "lang", "text")
+    log = segments.Log(spark, scratch(spark, "postings"), {"postings": ["term", "id"]})
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    sums = lambda rows: rows.agg(F.count("*").alias("texts"), F.coalesce(F.sum(recall.text_length(F.col("text"))), F.lit(0)).alias("terms")).first().asDict()
+    stale = docs.withColumn("text", F.concat_ws(" ", "text", "text"))
+    poor = _t(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("file_id")).distinct()
+    log = log.append({"postings": recall.postings(stale, keep=("file_id",))}, sums=sums(stale))
+    for mine in (english, ~english):
+        came, went = sums(docs.where(mine)), sums(stale.where(mine))
+        gone = docs.where(mine).select("file_id", F.lit(True).alias("whole"))
+        log = log.append({"postings": recall.postings(docs.where(mine), keep=("file_id",))}, gone, {c: came[c] - went[c] for c in came})
+    went = sums(docs.join(poor, "file_id", "left_semi"))
+    log = log.append({}, poor.withColumn("whole", F.lit(True)), {c: -n for c, n in went.items()})
+    known = log.state.sums
+    lengths = spark.createDataFrame([(known["texts"], known["terms"] / max(1, known["texts"]))], "n long, avgdl double")
+    return recall.top(recall.bm25_postings(log.read("postings"), lengths, QUERY_A), 20, "id")
+
+
+def _listed(spark, sf, probes: int | None = None) -> DataFrame:
+    """The 20 nearest vectors of every stated query from an index of lists, by that many probes or by as many as fit."""
+    vectors = _t(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0")
+    centers = vector_lists.centroids(vectors)
+    listed = vector_lists.write_lists(vectors, centers, scratch(spark, "lists"))
+    return vector_lists.search(listed, centers, vectors, asked, 20, probes or vector_lists.fitted_probes(listed, centers, vectors, 20))
+
+
+@query(SQL["vector_topk_cosine"])
+def vector_lists_all(spark, sf):
+    """Every list is probed, so the answer is the exact one."""
+    return _listed(spark, sf, vector_lists.Settings().max_lists)
+
+
+@query("SELECT count(*) AS queries, TRUE AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def vector_lists_recall(spark, sf):
+    """Whether a search of the lists finds 0.9 of what the exact one does, over all stated queries."""
+    vectors = _t(spark, sf, "embeddings")
+    exact = recall.neighbours(vectors, vectors.where("vec_id % 100 = 0"), 20).select("query_id", "vec_id")
+    found = _listed(spark, sf).select("query_id", "vec_id", F.lit(1).alias("found"))
+    share = F.count("found") >= 0.9 * F.count("*")
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("queries"), share.alias("recalled"))
 
 
 @query(f"WITH {_vector_sql('s', where='v.label IN (1, 2, 3)')}, {_top_sql('r', 's', 'vec_id', 20)} SELECT vec_id, score, rank FROM r")
