@@ -100,10 +100,10 @@ class Snapshots:
     one version or the next; a fresh build that breaks off is never named.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, list[str]] | None = None, whole: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, list[str]] | None = None, whole: tuple[str, ...] = (), derived: dict | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
         #: Tables that are kept as one log of segments, with the columns they are sorted by.
-        self.tables, self.whole = tables or {}, whole
+        self.tables, self.whole, self.derived = tables or {}, whole, derived
 
     def _path(self, name: str = ""):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
@@ -135,18 +135,18 @@ class Snapshots:
             self._rename("manifest.json", f"manifest.json.corrupt.{uuid.uuid4().hex[:8]}")
             return None
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, numbers: bool = False) -> DataFrame:
         manifest = self.manifest
         if not manifest or manifest["version"] != VERSION:
             raise ValueError("there is no index of this version")
         if table in self.tables and manifest.get("log"):
-            return self.log(manifest).read(table)
+            return self.log(manifest).read(table, numbers=numbers)
         return self.spark.read.parquet(f"{self.folder}/{manifest['snapshot']}/{table}")
 
     def log(self, manifest: dict | None = None) -> Log:
         """The log of the manifest's tables, or an empty one."""
         state = State.read((manifest or {}).get("log"))
-        return Log(self.spark, f"{self.folder}/segments", self.tables, whole=self.whole, state=state)
+        return Log(self.spark, f"{self.folder}/segments", self.tables, whole=self.whole, derived=self.derived, state=state)
 
     def write(self, fingerprint: dict, replace_fingerprint: bool = False, **tables: DataFrame) -> str:
         """Write a snapshot of these tables; the fingerprint of model and tokenizer has to be that of the manifest, or to

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,13 +75,27 @@ def _scored(rows: DataFrame, terms: list[int], id_col: str) -> DataFrame:
     return rows.withColumn("score", score).where("score > 0").select(id_col, F.round("score", DIGITS).alias("score"))
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(term, id, tf, dl, keep): how often each text has each token, and its length in tokens.  A segment of them is sorted by
-    term, so a search reads its terms' row groups alone."""
-    extra = [F.col(c) for c in keep]
-    split = docs.select(F.col(id_col).alias("id"), *extra, tokens(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
-    counted = split.select("id", "dl", *extra, F.explode("t").alias("term")).groupBy("id", "dl", *keep, "term").agg(F.count("*").alias("tf"))
-    return counted.select("term", "id", "tf", "dl", *keep)
+POSTINGS = T.StructType().add("term", T.StringType()).add("docs", T.ArrayType(T.LongType())).add("tfs", T.ArrayType(T.IntegerType()))
+
+
+def postings(texts: DataFrame, doc_col: str = "doc", text_col: str = "text") -> DataFrame:
+    """(term, docs, tfs): lists of the texts, by their numbers, that have a term, and how often each has it.
+
+    A list is that of one batch of texts, so a term has a row for each batch with it and none of them grows with the rows.
+    """
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(1).flatten().dictionary_encode()
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            codes = coded.indices.to_numpy().astype(np.int64)
+            keys, tfs = np.unique(codes * batch.num_rows + doc, return_counts=True)
+            term, row = np.divmod(keys, max(1, batch.num_rows))
+            ends = np.searchsorted(term, np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+            docs = batch.column(0).cast(pa.int64()).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.ListArray.from_arrays(ends, pa.array(docs)), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))], POSTINGS.names)
+
+    return texts.select(F.col(doc_col), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).mapInArrow(lists, POSTINGS)
 
 
 def length_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -93,20 +108,22 @@ def text_length(text: Column) -> Column:
     return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN))
 
 
-def bm25_postings(index: DataFrame, stats: DataFrame, query: str, pool: DataFrame | None = None, id_col: str = "id") -> DataFrame:
-    """(id_col, score) by BM25 from postings and the row of length statistics, of the ids in pool if there is one.
+def bm25_postings(index: DataFrame, texts: DataFrame, stats: DataFrame, query: str, pool: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """(id_col, score) by BM25 from postings (seq, term, docs, tfs), the texts they speak of (seq, doc, id, dl) and the row of
+    length statistics, of the ids in pool if there is one.
 
-    Only the query's terms are read; their rows meet by id in one aggregation, so its size is that of the hits.
+    Only the query's terms are read; a text that isn't there any more is in no count.
     """
     terms = query_tokens(query)
+    known = texts.select("seq", "doc", F.col(id_col), "dl")
     if not terms:
-        return index.select(F.col("id").alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
-    mine = index.where(F.col("term").isin(terms))
-    found = mine.groupBy("term").agg(F.count("*").alias("df")).agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).alias(f"df{i}") for i, w in enumerate(terms)])
-    if pool is not None:
-        mine = mine.join(pool.select(F.col(id_col).alias("id")), "id", "left_semi")
+        return known.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
+    mine = index.where(F.col("term").isin(terms)).select("seq", "term", F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("tfs").alias("tf"))))
     counts = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(terms)]
-    rows = mine.groupBy(F.col("id").alias(id_col)).agg(F.first("dl").alias("dl"), *counts)
+    rows = mine.groupBy("seq", "doc").agg(*counts).join(known, ["seq", "doc"])
+    found = rows.agg(*[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))])
+    if pool is not None:
+        rows = rows.join(pool.select(id_col), id_col, "left_semi")
     return _scored(rows.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(stats)), list(range(len(terms))), id_col)  # single rows
 
 

@@ -10,6 +10,7 @@ small state that a manifest names; what a state doesn't name is no part of it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 #: Segments of one size that are merged, and the rows of the smallest size.
 FAN_OUT, LEAST_ROWS = 4, 1 << 12
-SEQ = "seq"
+SEQ, DOC = "seq", "doc"
 
 
 @dataclass
@@ -44,13 +45,19 @@ class State:
 class Log:
     """Tables that share segments and tombstones, below one folder: {table: the columns it is sorted by}.
 
-    Every table has the column ``key``.  ``whole`` names the tables whose rows go with any tombstone; those of the others go
-    only with one that says so, so that a file can be noted anew while what was made of it stays.
+    Every table has the column ``key``, but for those that are derived: {table: (the table it is made of, how)}.  A table that
+    others are made of numbers its rows in ``doc``, within the segment, and they speak of its rows by that number, so that
+    they are hidden with them.  ``whole`` names the tables whose rows go with any tombstone; those of the others go only with
+    one that says so, so that a file can be noted anew while what was made of it stays.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, list[str]], key: str = "file_id", whole: tuple[str, ...] = (), state: State | None = None):
+    def __init__(
+        self, spark: SparkSession, folder: str, tables: dict[str, list[str]], key: str = "file_id", whole: tuple[str, ...] = (),
+        derived: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] | None = None, state: State | None = None,
+    ):
         self.spark, self.folder, self.tables, self.key, self.whole = spark, folder.rstrip("/"), tables, key, whole
-        self.state = state or State()
+        self.derived, self.state = derived or {}, state or State()
+        self.numbered = {base for base, _ in self.derived.values()}
 
     def _path(self, table: str, seq: int) -> str:
         return f"{self.folder}/{table}/{SEQ}={seq}"
@@ -63,34 +70,54 @@ class Log:
         found = found if table in self.whole else found.where("whole")
         return found.groupBy(F.col(self.key).alias("_key")).agg(F.max(SEQ).alias("_gone"))
 
-    def read(self, table: str, segments: list[int] | None = None) -> DataFrame:
-        """The rows of a table that nothing hides, of all segments or of some."""
+    def read(self, table: str, segments: list[int] | None = None, numbers: bool = False) -> DataFrame:
+        """The rows of a table that nothing hides, of all segments or of some.  With numbers, ``seq`` and ``doc`` come too; those
+        of a derived table speak of rows that may be hidden."""
         schema = T.StructType.fromJson(self.state.schemas[table])
         names = [s for s in (self.state.segments if segments is None else segments) if self.state.segments[s][table]]
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(SEQ, T.LongType())])).option("basePath", f"{self.folder}/{table}").parquet(*[self._path(table, s) for s in names])
-        gone = self._gone(table)
+        fields = T.StructType([*schema.fields, T.StructField(SEQ, T.LongType())])
+        if names:
+            rows = self.spark.read.schema(fields).option("basePath", f"{self.folder}/{table}").parquet(*[self._path(table, s) for s in names])
+        else:
+            rows = self.spark.createDataFrame([], fields)
+        gone = None if table in self.derived else self._gone(table)
         if gone is not None:
             rows = rows.join(gone, (F.col(self.key) == F.col("_key")) & (F.col(SEQ) < F.col("_gone")), "left_anti")
-        return rows.drop(SEQ)
+        return rows if numbers else rows.drop(SEQ, *([DOC] if table in self.numbered else []))
 
-    def _write(self, table: str, rows: DataFrame, seq: int) -> int:
-        """Write a table of a segment in its order; its rows.  Spark's ranges are sorted and don't overlap, so a file's and a
-        row group's smallest and largest values tell whether they can hold a value."""
+    def _write(self, table: str, rows: DataFrame, seq: int) -> DataFrame:
+        """Write a table of a segment in its order.  Spark's ranges are sorted and don't overlap, so a file's and a row group's
+        smallest and largest values tell whether they can hold a value."""
         order = self.tables[table]
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(self._path(table, seq))
-        return self.spark.read.schema(rows.schema).parquet(self._path(table, seq)).count()
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = rows.withColumn(DOC, F.monotonically_increasing_id()) if table in self.numbered else rows
+        rows.write.mode("overwrite").parquet(self._path(table, seq))
+        return self.spark.read.schema(rows.schema).parquet(self._path(table, seq))
+
+    def _segment(self, seq: int, rows: dict[str, DataFrame], state: State) -> None:
+        """Write a segment of these tables and what is derived from them into the state."""
+        made: dict[str, DataFrame] = {}
+        for table in self.tables:
+            if table in self.derived:
+                base, how = self.derived[table]
+                df = how(made[base]) if base in made else None
+            else:
+                df = rows.get(table)
+            if df is None:
+                continue
+            made[table] = self._write(table, df, seq)
+            schema = T.StructType([T.StructField(f.name, f.dataType) for f in made[table].schema.fields])
+            if table in state.schemas and T.StructType.fromJson(state.schemas[table]).simpleString() != schema.simpleString():
+                raise ValueError(f"rows of {table} have other columns than the log")
+            state.schemas[table] = schema.jsonValue()
+        counts = {t: made[t].count() if t in made else 0 for t in self.tables}
+        if any(counts.values()):
+            state.segments[seq] = counts
 
     def append(self, rows: dict[str, DataFrame], gone: DataFrame | None = None, sums: dict[str, int] | None = None) -> Log:
         """The log with one segment more, and with (key, whole) of gone hidden before it; sums are added to its own."""
         seq, now = self.state.next, State.read(self.state.said())
-        for table, df in rows.items():
-            schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
-            if table in now.schemas and T.StructType.fromJson(now.schemas[table]).simpleString() != schema.simpleString():
-                raise ValueError(f"rows of {table} have other columns than the log")
-            now.schemas[table] = schema.jsonValue()
-        now.segments[seq] = {t: self._write(t, rows[t], seq) if t in rows else 0 for t in self.tables}
+        self._segment(seq, rows, now)
         if gone is not None:
             path = self._path("gone", seq)
             gone.select(F.col(self.key).cast("string").alias(self.key), F.col("whole").cast("boolean").alias("whole")).write.mode("overwrite").parquet(path)
@@ -98,15 +125,13 @@ class Log:
                 gone = None
         if gone is not None:
             now.gone.append(seq)
-        if not any(now.segments[seq].values()):
-            del now.segments[seq]
         for name, delta in (sums or {}).items():
             now.sums[name] = now.sums.get(name, 0) + delta
         now.next = seq + 1
         return self._with(now)
 
     def _with(self, state: State) -> Log:
-        return Log(self.spark, self.folder, self.tables, self.key, self.whole, state)
+        return Log(self.spark, self.folder, self.tables, self.key, self.whole, self.derived, state)
 
     def emptied(self) -> Log:
         """A log without rows that numbers its segments on from this one's."""
@@ -132,11 +157,9 @@ class Log:
 
     def _merge(self, segments: list[int]) -> Log:
         seq, now = self.state.next, State.read(self.state.said())
-        now.segments[seq] = {t: self._write(t, self.read(t, segments), seq) for t in self.tables}
+        self._segment(seq, {t: self.read(t, segments) for t in self.tables if t not in self.derived and t in now.schemas}, now)
         for s in segments:
             del now.segments[s]
-        if not any(now.segments[seq].values()):
-            del now.segments[seq]
         now.gone = [g for g in now.gone if any(s < g for s in now.segments)]
         now.next = seq + 1
         return self._with(now)

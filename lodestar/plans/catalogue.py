@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..operators import chunking, embed, fusion, index, lexical, recall, segments, vector_lists
 from ..sources import files as S
 from ..sources.scratch import scratch
-from ..streaming import changes
+from ..streaming import bursts, changes
 from . import search
 
 QUERY_A, QUERY_B = "thanedble attion erster", "les dans être"
@@ -151,21 +151,17 @@ def bm25_from_postings(spark, sf):
     """Top k from a log of postings, as a workspace stores it: every text is stale at first, two updates replace the English
     ones and the rest, and what is labelled as poor is removed."""
     docs = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file_id"), "lang", "text")
-    log = segments.Log(spark, scratch(spark, "postings"), {"postings": ["term", "id"]})
+    log = segments.Log(spark, scratch(spark, "postings"), {"texts": ["id"], "postings": ["term", "docs"]}, derived={"postings": ("texts", recall.postings)})
+    rows = lambda df: {"texts": df.withColumn("dl", recall.text_length(F.col("text")))}
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    sums = lambda rows: rows.agg(F.count("*").alias("texts"), F.coalesce(F.sum(recall.text_length(F.col("text"))), F.lit(0)).alias("terms")).first().asDict()
-    stale = docs.withColumn("text", F.concat_ws(" ", "text", "text"))
-    poor = _t(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("file_id")).distinct()
-    log = log.append({"postings": recall.postings(stale, keep=("file_id",))}, sums=sums(stale))
+    log = log.append(rows(docs.withColumn("text", F.concat_ws(" ", "text", "text"))))
     for mine in (english, ~english):
-        came, went = sums(docs.where(mine)), sums(stale.where(mine))
-        gone = docs.where(mine).select("file_id", F.lit(True).alias("whole"))
-        log = log.append({"postings": recall.postings(docs.where(mine), keep=("file_id",))}, gone, {c: came[c] - went[c] for c in came})
-    went = sums(docs.join(poor, "file_id", "left_semi"))
-    log = log.append({}, poor.withColumn("whole", F.lit(True)), {c: -n for c, n in went.items()})
-    known = log.state.sums
-    lengths = spark.createDataFrame([(known["texts"], known["terms"] / max(1, known["texts"]))], "n long, avgdl double")
-    return recall.top(recall.bm25_postings(log.read("postings"), lengths, QUERY_A), 20, "id")
+        log = log.append(rows(docs.where(mine)), docs.where(mine).select("file_id", F.lit(True).alias("whole")))
+    poor = _t(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("file_id")).distinct()
+    log = log.append({}, poor.withColumn("whole", F.lit(True)))
+    texts = log.read("texts", numbers=True)
+    stats = texts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return recall.top(recall.bm25_postings(log.read("postings", numbers=True), texts, stats, QUERY_A), 20, "id")
 
 
 def _listed(spark, sf, probes: int | None = None) -> DataFrame:
@@ -770,11 +766,15 @@ _KINDS = {"signup": "created", "purchase": "deleted", "click": "changed", "view"
 
 
 def _events(spark, sf) -> DataFrame:
+    return _changed(_t(spark, sf, "events"))
+
+
+def _changed(events: DataFrame) -> DataFrame:
     kind: Column = F.lit("changed")
     for k, v in _KINDS.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
     path = F.concat(F.lit("d"), (F.col("event_id") % 7).cast("string"), F.lit("/f"), (F.col("event_id") % 29).cast("string"))
-    return _t(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("root"), path.alias("path"), kind.alias("kind"))
+    return events.select("event_id", "ts", F.col("user_id").alias("root"), path.alias("path"), kind.alias("kind"))
 
 
 _EVENTS = "ev AS (SELECT event_id, ts, user_id AS root, 'd' || event_id % 7 || '/f' || event_id % 29 AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'deleted' ELSE 'changed' END AS kind FROM events)"
@@ -797,6 +797,42 @@ def debounce_sessions(spark, sf):
     return changes.debounce(_events(spark, sf), ["root"], "6 hours")
 
 
+_BURSTS = """
+WITH RECURSIVE EVENTS, g AS (
+  SELECT root, ts, event_id, path, kind, sum(new) OVER (PARTITION BY root ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n
+  FROM (SELECT *, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY root ORDER BY ts) >= INTERVAL 6 HOUR, TRUE) AS INTEGER) AS new FROM ev)
+), starts AS (  -- within a quiet time's bounds, the first change that has waited a day ends a burst
+  SELECT root, n, min(ts) AS start FROM g GROUP BY root, n
+  UNION ALL
+  SELECT s.root, s.n, min(g.ts) FROM starts s JOIN g ON g.root = s.root AND g.n = s.n AND g.ts >= s.start + INTERVAL 24 HOUR GROUP BY s.root, s.n, s.start
+), held AS (
+  SELECT g.*, s.start FROM g ASOF JOIN starts s ON g.root = s.root AND g.n = s.n AND g.ts >= s.start
+), ended AS (
+  SELECT root, start, least(max(ts) + INTERVAL 6 HOUR, start + INTERVAL 24 HOUR) AS "end", count(DISTINCT path) AS paths, count(*) AS events FROM held GROUP BY root, start
+), k AS (
+  SELECT root, start, path, list(kind ORDER BY ts, event_id) AS kinds FROM held GROUP BY root, start, path
+)
+SELECT CAST(e.root AS VARCHAR) AS root, start, e."end", path, list_reduce(kinds, lambda acc, x: FOLD) AS kind, CAST(len(kinds) AS BIGINT) AS events
+FROM ended e JOIN k USING (root, start) WHERE paths <= 10 AND e."end" <= (SELECT max(ts) - INTERVAL 1 DAY FROM ev)
+UNION ALL
+SELECT CAST(root AS VARCHAR), start, "end", '', 'reconcile', events FROM ended WHERE paths > 10 AND "end" <= (SELECT max(ts) - INTERVAL 1 DAY FROM ev)
+"""
+
+
+@query(_BURSTS.replace("EVENTS", _EVENTS).replace("FOLD", _FOLD))
+def flushed_bursts(spark, sf):
+    """A stream over all events with state by root: quiet for 6 hours or waiting for a day, and more than 10 paths are a
+    comparison of the whole root; what the watermark has passed at the end."""
+    schema = _t(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")  # a pattern, as a stream reads no single file
+    where = scratch(spark, "bursts")
+    waits = bursts.Waits(6 * 3_600_000, 24 * 3_600_000, 10)
+    with bursts.stateful(spark):
+        out = bursts.bursts(_changed(stream).withColumn("ts", F.col("ts").cast("timestamp")), "1 day", waits).writeStream.format("parquet")
+        out.option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(bursts.OUT).parquet(f"{where}/rows")
+
+
 @query(f"WITH {FILES}, p AS (SELECT DISTINCT unnest([path, CASE WHEN doc_id % 3 = 0 THEN source || '/' || lang ELSE path END, CASE WHEN doc_id % 50 = 0 THEN source ELSE path END]) AS path FROM files) SELECT path FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE starts_with(a.path, b.path || '/'))")
 def prefix_cover(spark, sf):
     i, p = F.col("doc_id"), F.col("path")

@@ -14,15 +14,16 @@ from .functions.parse import LineSearch, line_search
 from .functions.text import hash_id, line_regex, matches_ordered, matches_path, valid_utf8
 from .operators import chunking, embed, fusion, index, lexical, recall
 from .plans.search import PlanError, Route, SearchPlan, file_filter, meant, resolve, symbol_names
-from .sources import files
-from .streaming import changes
+from .sources import files, watch
+from .streaming import bursts, changes
 
 #: Folders that can't be read, at most, for an update to go on.
 PROTECTED = 1000
 #: What is known of a file; texts and terms are its entities and their tokens, which the statistics of a search add up.
 FILES = ["file_id", "path", "kind", "format", "size_bytes", "last_modified", "content_hash", "indexed_time", "error", "entity_count", "texts", "terms"]
 #: The tables of an index and their order.  Noting a file anew leaves its entities and postings as they are.
-TABLES = {"files": ["path"], "entities": ["file_id"], "postings": ["term", "id"]}
+TABLES = {"files": ["path"], "entities": ["file_id", "index"], "postings": ["term", "docs"]}
+DERIVED = {"postings": ("entities", recall.postings)}
 
 
 class Workspace:
@@ -43,7 +44,7 @@ class Workspace:
         #: Tokens that the model takes, which bound every file's chunks by how dense its text is.
         self.tokens = tokens
         self.fingerprint = {"model": model_name, "dimension": dimensions, "metric": metric, "tokenizer": "words"}
-        self.snapshots = index.Snapshots(spark, folder, TABLES, whole=("files",))
+        self.snapshots = index.Snapshots(spark, folder, TABLES, whole=("files",), derived=DERIVED)
 
     # Index
 
@@ -94,9 +95,9 @@ class Workspace:
             texts = read.join(states.where("state in ('added', 'modified', 'pending')").select("file_id"), "file_id", "left_semi")
             made = put("made", self._entities(texts), scratch=True)
             failed = made.where("failure is not null").groupBy("file_id").agg(F.min("failure").alias("failure"))
-            good = made.join(failed, "file_id", "left_anti").drop("failure")
+            good = made.join(failed, "file_id", "left_anti").drop("failure").withColumn("dl", recall.text_length(F.col("text")))
             major = F.col("group").isNull() | (F.col("group") == F.col("id"))
-            sizes = good.groupBy("file_id").agg(F.sum(major.cast("long")).alias("entity_count"), F.count("*").alias("texts"), F.sum(recall.text_length(F.col("text"))).cast("long").alias("terms"))
+            sizes = good.groupBy("file_id").agg(F.sum(major.cast("long")).alias("entity_count"), F.count("*").alias("texts"), F.sum("dl").cast("long").alias("terms"))
             new = texts.drop("text").join(failed, "file_id", "left").join(sizes, "file_id", "left").withColumn("indexed_time", F.unix_millis(F.current_timestamp())).withColumn("error", F.col("failure"))
             # Files of the same content under another time are noted anew; what was made of them stays.
             said = stored.select("file_id", "indexed_time", "error", "entity_count", "texts", "terms")
@@ -111,10 +112,10 @@ class Workspace:
                 sums = lambda df: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("texts", "terms")]).first().asDict()
                 come, went = sums(new), sums(stored.join(gone.select("file_id"), "file_id", "left_semi"))
                 delta = {c: come[c] - went[c] for c in come}
-                put.log = put.log.append({"files": new, "entities": good, "postings": recall.postings(good, keep=("file_id",))}, gone, delta).merged()
+                put.log = put.log.append({"files": new, "entities": good}, gone, delta).merged()
         return {s: tally.get(s, 0) for s in ("added", "modified", "pending", "deleted", "unchanged")} | ({"failed": errors} if errors else {})
 
-    def follow(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    def follow(self, stream: DataFrame, checkpoint: str, available_now: bool = True, every: str = changes.QUIET) -> StreamingQuery:
         """Apply a stream of changed paths, relative to root in the column path, micro-batch by micro-batch.
 
         A batch of more than ``changes.BUDGET`` paths is widened to their folders, and to the whole tree if there are
@@ -128,7 +129,15 @@ class Workspace:
             if paths:
                 self.index(paths=None if "" in paths or len(paths) > changes.BUDGET else paths)
 
-        return changes.apply_changes(stream, apply, checkpoint, available_now)
+        return changes.apply_changes(stream, apply, checkpoint, available_now, every)
+
+    def watch(self, checkpoint: str, waits: bursts.Waits = bursts.Waits(), every: str = "500 milliseconds") -> StreamingQuery:
+        """Keep the index up to date: the tree is listed time and again, and what has changed is applied once it has been quiet
+        for a while, or its first change has waited the longest.  One path of a root is enough to wake its update; a burst of
+        too many is a comparison of the whole tree."""
+        changed = watch.changed_files(self.spark, self.root, f"{checkpoint}/listings").withColumn("root", F.lit(self.name))
+        with bursts.stateful(self.spark):
+            return self.follow(bursts.bursts(changed, None, waits), checkpoint, available_now=False, every=every)
 
     def _entities(self, texts: DataFrame) -> DataFrame:
         if self.tokens is not None:
@@ -165,15 +174,15 @@ class Workspace:
         if plan.symbols:
             pool = pool.where(F.col("symbol_name").isin(list(plan.symbols)))
         # Postings answer what no filter narrows to a few; statistics are those of all entities.
-        posted, lengths = self.snapshots.read("postings"), self._lengths()
+        posted = self._posted()
         out, names = None, []
         for route in plan.routes:
             branches = []
             if route.mode == "fts":
-                branches.append((route.id, recall.bm25_postings(posted, lengths, route.query, pool)))
+                branches.append((route.id, recall.bm25_postings(*posted, route.query, pool)))
                 if plan.prefer_symbol and (named := symbol_names(route.query)):
                     mine = pool.where(meant(F.col("symbol_name"), F.col("scope"), named))
-                    branches.append((route.id + ".prefer-symbol", recall.bm25_postings(posted, lengths, route.query, mine)))
+                    branches.append((route.id + ".prefer-symbol", recall.bm25_postings(*posted, route.query, mine)))
             else:
                 query = self.spark.createDataFrame([([float(x) for x in self.model(route.query)],)], "embedding array<float>")
                 branches.append((route.id, recall.vector_scores(pool, query, self.metric, "id")))
@@ -198,18 +207,20 @@ class Workspace:
         evidence = fusion.evidence(hits.select("public_id", "rank", "path", F.col("member").alias("id"))).withColumnRenamed("public_id", "id")
         return self._shown(best).join(evidence, "id", "left")
 
-    def _lengths(self) -> DataFrame:
-        """(n, avgdl): one row, the number of entities and their mean length in tokens."""
-        sums = self.snapshots.log(self.snapshots.manifest).state.sums
-        return self.spark.createDataFrame([(sums["texts"], sums["terms"] / sums["texts"] if sums["texts"] else None)], "n long, avgdl double")
+    def _posted(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Postings, the texts they speak of and (n, avgdl) of these, one row."""
+        log = self.snapshots.log(self.snapshots.manifest)
+        n, terms = (log.state.sums.get(c, 0) for c in ("texts", "terms"))
+        stats = self.spark.createDataFrame([(n, terms / n if n else None)], "n long, avgdl double")
+        return log.read("postings", numbers=True), log.read("entities", numbers=True), stats
 
     def _matches(self, plan: SearchPlan) -> DataFrame:
         """(route, score) of the routes that the tracked entity matches when they are run on it alone."""
         pool = self.snapshots.read("entities").where(F.col("id") == plan.tracked)
-        posted, lengths, out = self.snapshots.read("postings"), self._lengths(), None
+        posted, out = self._posted(), None
         for route in plan.routes:
             if route.mode == "fts":
-                scored = recall.bm25_postings(posted, lengths, route.query, pool)
+                scored = recall.bm25_postings(*posted, route.query, pool)
             else:
                 query = self.spark.createDataFrame([([float(x) for x in self.model(route.query)],)], "embedding array<float>")
                 scored = recall.vector_scores(pool, query, self.metric, "id")

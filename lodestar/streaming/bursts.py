@@ -1,6 +1,6 @@
 """Bursts of changes with state: each root's changes are held until it is quiet, or until the first has waited long enough.
 
-Time is that of the events, and what has been held is put in their order, so the result doesn't depend on how a stream is cut
+Time is that of the events, or the clock's; by the former what has been held is put in their order, so the result doesn't depend on how a stream is cut
 into micro-batches or in which order a batch's rows come.  A burst is closed when the watermark has passed its end: the last
 change and the quiet time, or the first one and the longest wait.  A path goes with the merged kind of its changes, unless a
 folder above it is deleted or has to be read again; of more paths than the budget nothing is kept but that the whole root has
@@ -68,8 +68,8 @@ def scopes(kinds: dict[str, tuple[str, int]]) -> list[tuple[str, str, int]]:
 class Bursts(StatefulProcessor):
     """The state of a root: changes that the watermark hasn't passed, and the open burst with its paths."""
 
-    def __init__(self, waits: Waits):
-        self.waits = waits
+    def __init__(self, waits: Waits, clock: bool = False):
+        self.waits, self.clock = waits, clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -85,7 +85,7 @@ class Bursts(StatefulProcessor):
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        until = timerValues.getCurrentWatermarkInMs() * 1000
+        until = 1000 * (timerValues.getCurrentProcessingTimeInMs() if self.clock else timerValues.getCurrentWatermarkInMs())
         held = sorted(self.pending.get())
         passed = [e for e in held if e[0] <= until]
         out = []
@@ -153,10 +153,12 @@ def stateful(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def bursts(events: DataFrame, late: str, waits: Waits = Waits()) -> DataFrame:
+def bursts(events: DataFrame, late: str | None, waits: Waits = Waits()) -> DataFrame:
     """(root, start, end, path, kind, events) of a stream of (root, ts, event_id, path, kind): each burst's paths when it
     ends.  Changes that come behind the watermark, that is by more than ``late``, are left out by Spark; rows without a
-    root, a time or a path are no changes.  Start the stream within ``stateful``."""
-    known = events.where("root IS NOT NULL AND ts IS NOT NULL AND path IS NOT NULL").withWatermark("ts", late)
+    root, a time or a path are no changes.  Without ``late`` the clock tells when a burst has ended, for streams whose times
+    are those of their arrival.  Start the stream within ``stateful``."""
+    known = events.where("root IS NOT NULL AND ts IS NOT NULL AND path IS NOT NULL")
+    known = known if late is None else known.withWatermark("ts", late)
     rows = known.select(F.col("root").cast("string").alias("root"), "ts", F.unix_micros(F.col("ts")).alias("micros"), F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), "path", F.coalesce("kind", F.lit("changed")).alias("kind"))
-    return rows.groupBy("root").transformWithStateInPandas(Bursts(waits), OUT, "append", "eventTime")
+    return rows.groupBy("root").transformWithStateInPandas(Bursts(waits, late is None), OUT, "append", "processingTime" if late is None else "eventTime")

@@ -62,7 +62,7 @@ def widen(paths: DataFrame, root_col: str = "root", path_col: str = "path", budg
     return joined.select(root_col, F.when(wide, folder).otherwise(F.col(path_col)).alias(path_col), wide.alias("rescan")).distinct()
 
 
-def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, every: str = QUIET) -> StreamingQuery:
     """Run apply on every micro-batch of changes; a batch that fails is delivered again."""
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=QUIET)).start()
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import recall, segments, vector_lists
 from lodestar.plans.search import Route, SearchPlan
@@ -20,7 +21,9 @@ def test_log(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "LEAST_ROWS", 8)
     monkeypatch.setattr(segments, "FAN_OUT", 3)
     random.seed(2)
-    log, want, kept = segments.Log(spark, str(tmp_path / "log"), {"files": ["path"], "rows": ["word"]}, whole=("files",)), {}, {}
+    words = lambda rows: rows.select("doc", F.upper("word").alias("word"))
+    tables = {"files": ["path"], "rows": ["word"], "upper": ["word"]}
+    log, want, kept = segments.Log(spark, str(tmp_path / "log"), tables, whole=("files",), derived={"upper": ("rows", words)}), {}, {}
     for step in range(8):
         new = {f"f{random.randrange(12)}": [random.choice("abcdef") for _ in range(random.randrange(1, 6))] for _ in range(3)}
         noted = [f for f in want if f not in new][:1]
@@ -36,9 +39,11 @@ def test_log(spark, tmp_path, monkeypatch):
         kept |= dict.fromkeys([*new, *noted], step)
         # The update's own rows alone, in order.
         (own,) = {s for t, s in log.parts() - before if t == "rows"}
-        assert log.state.segments[own] == {"files": len(new) + len(noted), "rows": sum(map(len, new.values()))}
+        assert log.state.segments[own] == {"files": len(new) + len(noted), "rows": sum(map(len, new.values())), "upper": sum(map(len, new.values()))}
         log = log.merged()
         assert sorted((r.file_id, r.word) for r in log.read("rows").collect()) == sorted((f, w) for f, ws in want.items() for w in ws)
+        both = log.read("upper", numbers=True).join(log.read("rows", numbers=True).withColumnRenamed("word", "w"), ["seq", "doc"])
+        assert sorted((r.file_id, r.word) for r in both.collect()) == sorted((f, w.upper()) for f, ws in want.items() for w in ws)
         assert {r.file_id: r.step for r in log.read("files").collect()} == kept and log.read("files").count() == len(kept)
         assert log.state.sums == {"rows": sum(map(len, want.values()))}
         assert segments.State.read(log.state.said()) == log.state
@@ -72,7 +77,7 @@ def test_update_writes_its_rows_alone(spark, tmp_path):
     os.utime(root / "07.txt", (time.time() + 50,) * 2)  # another time, the same content
     assert space.index()["modified"] == 1
     state = space.snapshots.log(space.snapshots.manifest).state
-    assert state.segments[max(state.segments)] == {"files": 2, "entities": 1, "postings": 2}
+    assert state.segments[max(state.segments)] == {"files": 2, "entities": 1, "postings": 2}  # one file was only noted
     assert find("fresh") == {"05.txt"} and find("number5") == find("number6") == set() and find("number7") == {"07.txt"}
     assert len(find("common")) == 28 and space.files().count() == 29
     entities = space.snapshots.read("entities")

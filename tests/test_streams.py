@@ -3,10 +3,13 @@
 import datetime
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.plans.search import Route, SearchPlan
+from lodestar.service import Workspace
 from lodestar.sources import watch
 from lodestar.streaming import bursts as B
 
@@ -117,3 +120,26 @@ def test_a_round_again(tmp_path):
     two = reader.latestOffset()
     assert two["round"] == 2 and run(one, two) == [("b", "created")] == run(one, two)
     reader.commit(two)
+
+
+def test_workspace_watch(spark, tmp_path):
+    """An index follows its tree: a changed file is found, a removed one isn't."""
+    root = tmp_path / "tree"
+    root.mkdir()
+    for name in ("a", "b"):
+        (root / f"{name}.txt").write_text(f"words of {name}\n")
+    space = Workspace(spark, str(root), str(tmp_path / "index"), no_ignore=True)
+    space.index()
+    found = lambda: {(r["path"], w) for w in ("late", "words") for r in space.search(SearchPlan(routes=[Route("fts", w)])).collect()}
+    run = space.watch(str(tmp_path / "watch"), B.Waits(quiet=100))
+    try:
+        end = time.time() + 90
+        while not os.path.isdir(tmp_path / "watch/listings/round-2") and time.time() < end:
+            time.sleep(0.2)  # the first listing is the start
+        (root / "a.txt").write_text("late words\n")
+        os.remove(root / "b.txt")
+        while found() != {("a.txt", "late"), ("a.txt", "words")} and run.isActive and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        run.stop()
+    assert run.exception() is None and found() == {("a.txt", "late"), ("a.txt", "words")}
