@@ -14,7 +14,8 @@ state that it had at that letter before, from where on nothing differs; so the p
 Only the fit is bounded (``Settings``), by a number of whole labelled rows; every row's whole text is parsed.  Defined
 results: null texts and those without a letter are ``und`` with score 0; so is everything when nothing is labelled;
 repeated rows are each predicted alike, and as one row learned from; an empty table gives an empty result; labels are
-read for learning only; columns may have any names.
+read for learning only; columns may have any names.  Every language keeps its own most frequent letters whatever other
+scripts there are.
 """
 
 from __future__ import annotations
@@ -45,13 +46,14 @@ class Settings:
     #: Labelled rows of a language that are drawn, at most, and of all languages together.
     rows: int = 64
     all_rows: int = 16_384
-    #: Of the rows drawn, whole ones are learned from while the letters of a language are no more than this; a row that
-    #: does not fit is left out, but for the shortest if none fits.
+    #: Rows of no more characters than this are drawn from; where a language has none, its shortest.  Of the rows drawn, whole
+    #: ones are learned from while the letters of a language are no more than this; one that doesn't fit is left out.
     letters: int = 40_000
-    #: Letters of all languages together, which bounds the automata's memory however many languages there are.
-    all_letters: int = 640_000
-    #: Letters with a class of their own, the most frequent of each language; all others of the sample share ``shared``
-    #: classes by their code point.
+    #: Letters of all languages together.  An automaton has two states a letter at most, and a state ``own + shared + 3``
+    #: entries of 4 bytes in a worker's tables: 325 MB at these bounds, however many languages there are.
+    all_letters: int = 320_000
+    #: Letters with a class of their own in a language's table, its most frequent ones; all others of its sample share
+    #: ``shared`` classes by their code point there.
     own: int = 60
     shared: int = 64
 
@@ -88,32 +90,36 @@ def build_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """Per language the automaton as triples (state, class, next), and the classes of letters."""
+    """Per language the automaton as triples (state, class, next), and the class that each letter of all has there.
+
+    A letter's number is 0 for what is no letter, 1 for letters that no sample has, then its place among ``letters``, and the
+    last stands for padding; each language's classes are its own, in the same order: those of its letters, those that rare
+    ones share, and padding.
+    """
 
     languages: list[str]
-    letters: dict[str, int]
-    classes_used: int
+    letters: list[str]
+    alphabets: list[np.ndarray]
     triples: list[np.ndarray]
     states: list[int]
     bits: list[float]
     tables: list[np.ndarray] = field(default_factory=list, repr=False)
-    classes: np.ndarray | None = field(default=None, repr=False)
+    numbers: np.ndarray | None = field(default=None, repr=False)
 
     @property
-    def width(self) -> int:
-        """Classes: 0 for what is no letter, 1 for letters that the sample lacks, then its letters', and the last for padding."""
-        return self.classes_used + 3
+    def padding(self) -> int:
+        return len(self.letters) + 2
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": [], "classes": None}
+        return self.__dict__ | {"tables": [], "numbers": None}
 
     def unfold(self) -> None:
         """Dense tables: the next state times width, and the top bit where a phrase ended before this letter."""
-        if self.classes is not None:
+        if self.numbers is not None:
             return
-        k = self.width
-        self.classes = letter_classes(self.letters)
-        for triples, n in zip(self.triples, self.states):
+        self.numbers = letter_numbers(self.letters)
+        for alphabet, triples, n in zip(self.alphabets, self.triples, self.states):
+            k = int(alphabet[-1]) + 1
             dense = np.full((n + 1, k), -1, np.int64)
             dense[triples[:, 0], triples[:, 1]] = triples[:, 2]
             # A letter that the sample lacks is a phrase of its own: it leads to one more state that every letter ends.
@@ -124,20 +130,28 @@ class Model:
             self.tables.append(full.ravel())
 
 
-def letter_classes(letters: dict[str, int]) -> np.ndarray:
-    """Class of every code point: 0 unless a letter, 1 for a letter without a class."""
-    out = np.zeros(0x110000, np.uint8)
+def letter_numbers(letters: list[str]) -> np.ndarray:
+    """Number of every code point: 0 unless a letter, 1 for a letter that isn't among these."""
+    out = np.zeros(0x110000, np.uint16 if len(letters) < 65_000 else np.uint32)
     out[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
-    for c, k in letters.items():
-        out[ord(c)] = k
+    out[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
     return out
 
 
-def encode(text: str | None, classes: np.ndarray) -> np.ndarray:
-    """Classes of a lower-cased text, what is no letter being one separator each time."""
+def alphabet_of(letters: list[str], seen: Counter, settings: Settings) -> np.ndarray:
+    """Class of every letter's number in the table of a language in whose sample these letters are seen so often."""
+    own = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: settings.own]]
+    shared = settings.shared if len(seen) > len(own) else 0
+    classes = {c: len(own) + 2 + ord(c) % settings.shared for c in seen} | {c: i + 2 for i, c in enumerate(own)}
+    said = [classes.get(c, 1) for c in letters]
+    return np.array([0, 1, *said, len(own) + shared + 2], np.int64)
+
+
+def encode(text: str | None, numbers: np.ndarray) -> np.ndarray:
+    """Numbers of a lower-cased text's letters, what is no letter being one separator each time."""
     if not text:
-        return np.zeros(0, np.uint8)
-    found = classes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
+        return np.zeros(0, numbers.dtype)
+    found = numbers[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
     keep = found != 0
     keep[1:] |= found[:-1] != 0
     return found[keep]
@@ -183,14 +197,13 @@ def _parsed(full: np.ndarray, steps: np.ndarray, first: np.ndarray, entry: int)
 def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(phrases of each text by language, its letters and separators); 0 letters if it has no letter at all."""
     model.unfold()
-    pad = model.width - 1
-    coded = [encode(t, model.classes) for t in texts]
+    coded = [encode(t, model.numbers) for t in texts]
     sizes = np.array([len(c) if c.any() else 0 for c in coded], np.int64)
     counts = np.zeros((len(texts), len(model.languages)), np.int64)
     parts = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(texts)), parts)
     opens = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
-    grid = np.full((len(owner), SEGMENT), pad, np.uint8)
+    grid = np.full((len(owner), SEGMENT), model.padding, model.numbers.dtype)
     flat, at = grid.reshape(-1), 0
     for c, n, p in zip(coded, sizes, parts):
         flat[at : at + n] = c[:n]
@@ -199,7 +212,7 @@ def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     for a in range(0, len(owner), TOGETHER):
         steps = np.ascontiguousarray(grid[a : a + TOGETHER].T)
         for j, full in enumerate(model.tables):
-            found, entries[j] = _parsed(full, steps, opens[a : a + TOGETHER], entries[j])
+            found, entries[j] = _parsed(full, model.alphabets[j].astype(np.uint32)[steps], opens[a : a + TOGETHER], entries[j])
             counts[:, j] += np.bincount(owner[a : a + TOGETHER], found, len(texts)).astype(np.int64)
     return counts + (sizes > 0)[:, None], sizes
 
@@ -232,20 +245,17 @@ def learn(samples: dict[str, list[str]], settings: Settings = Settings()) -> Mod
     most = min(settings.letters, settings.all_letters // max(1, len(languages)))
     kept = {lang: whole_rows(samples[lang], most) for lang in languages}
     seen = {lang: Counter(c for t in kept[lang] for c in t.lower() if c.isalpha()) for lang in languages}
-    frequent = {c for s in seen.values() for c, _ in sorted(s.items(), key=lambda x: (-x[1], x[0]))[: settings.own]}
-    own = sorted(frequent)[: 250 - settings.shared]
-    others = sorted({c for s in seen.values() for c in s} - set(own))
-    letters = {c: i + 2 for i, c in enumerate(own)}
-    letters |= {c: len(own) + 2 + ord(c) % settings.shared for c in others}
-    used = len(own) + (settings.shared if others else 0)
-    classes = letter_classes(letters)
-    model = Model([], letters, used, [], [], [])
+    letters = sorted({c for s in seen.values() for c in s})
+    numbers = letter_numbers(letters)
+    model = Model([], letters, [], [], [], [])
     for lang in languages:
-        codes = [c for t in kept[lang] for c in [0, *encode(t, classes).tolist()]]
+        alphabet = alphabet_of(letters, seen[lang], settings)
+        codes = [c for t in kept[lang] for c in [0, *alphabet[encode(t, numbers)].tolist()]]
         if not any(codes):
             continue
         moves = build_automaton(codes)
         model.languages.append(lang)
+        model.alphabets.append(alphabet)
         model.triples.append(np.array([(s, c, n) for s, m in enumerate(moves) for c, n in m.items()], np.int64))
         model.states.append(len(moves))
         model.bits.append(float(np.log2(len(codes) + 1)))
@@ -261,24 +271,29 @@ def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     settings: Settings = Settings(), usable: Column | None = None,
 ) -> Model:
-    """Model of at most ``rows`` labelled rows of each language, those with the smallest hash of id and text; rows that
-    agree in both are one."""
+    """Model of at most ``rows`` labelled rows of each language, those with the smallest hash of id and text among those of no
+    more than ``letters`` characters, or its shortest; rows that agree in both are one."""
     known = docs.where(learnable(id_col) if usable is None else usable)
     known = known.where(named(lang_col).isNotNull() & named(text_col).isNotNull())
     text = named(text_col).cast("string")
     known = known.select(named(lang_col).cast("string").alias("lang"), F.xxhash64(named(id_col), text).alias("h"), text.alias("text"))
-    hashes = cut(known.select("lang", "h").distinct(), "labelled")
-    n = hashes.agg(F.count_distinct("lang")).first()[0]
+    sized = cut(known.groupBy("lang", "h").agg(F.min(F.length("text")).alias("size")), "labelled")
+    n = sized.agg(F.count_distinct("lang")).first()[0]
     if n > settings.all_rows:
         raise ValueError(f"{n} labels are more than the {settings.all_rows} rows that are learned from")
     most = max(1, min(settings.rows, settings.all_rows // max(1, n)))
     # The smallest hashes of a language are among the smallest of each of its parts, so that no task orders a language.
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(PARTS))).orderBy("h")
+    hashes = sized.where(F.col("size") <= settings.letters)
     few = hashes.withColumn("r", F.row_number().over(part)).where(F.col("r") <= most)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most)
+    few = few.select("lang", "h")
+    shortest = sized.groupBy("lang").agg(F.min(F.struct("size", "h"))["h"].alias("h")).join(few, "lang", "left_anti")
+    few = few.unionByName(shortest)
     chosen = F.broadcast(few.select(F.col("lang").alias("l"), F.col("h").alias("g")))  # all_rows rows at most
     found = known.join(chosen, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g")), "left_semi")
-    # Each text comes once, however often its row does; the driver gets all_rows texts at most.
+    # Each text comes once, however often its row does; the driver gets all_rows texts at most, all short but where a
+    # language has none.
     rows = found.groupBy("lang", "h").agg(F.min("text").alias("text")).toArrow().to_pylist()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):

@@ -223,7 +223,31 @@ def test_langid_scripts():
     model = langid.learn({"x": ["".join(random.choices(one, k=3000))], "y": ["".join(random.choices(two, k=3000))], "z": ["plain latin words " * 100]})
     # Texts of pairs that the samples have.
     found, _ = langid.predict(model, ["".join(random.choices(one, k=200)), "".join(random.choices(two, k=200)), "latin words"])
-    assert found == ["x", "y", "z"] and model.width <= 256
+    assert found == ["x", "y", "z"] and all(a[-1] < 127 for a in model.alphabets)
+
+
+def test_langid_keeps_every_language_its_letters():
+    """Six scripts of 300 letters: each language's 60 most frequent letters have classes of their own, whatever the others."""
+    random.seed(6)
+    starts = {"ru": 0x400, "hi": 0x904, "zh": 0x4E00, "yi": 0xA000, "ko": 0xAC00, "ka": 0x10A0}
+    scripts = {k: [c for c in map(chr, range(a, a + 900)) if c.isalpha() and c.lower() == c][:300] for k, a in starts.items()}
+    text = lambda k, n: "".join(random.choices(scripts[k], [1 / (i + 1) for i in range(len(scripts[k]))], k=n))
+    samples = {k: [text(k, 400) for _ in range(20)] for k in scripts}
+    model = langid.learn(samples)
+    for k, alphabet in zip(model.languages, model.alphabets):
+        counted = sorted(Counter("".join(samples[k])).items(), key=lambda x: (-x[1], x[0]))[:60]
+        own = {c: alphabet[model.letters.index(c) + 2] for c, _ in counted}
+        assert len(set(own.values())) == len(own) and max(own.values()) <= 61
+    asked = [(k, text(k, 30)) for k in scripts for _ in range(20)]
+    assert langid.predict(model, [t for _, t in asked])[0] == [k for k, _ in asked]
+    # Two languages of one script are told apart as well beside other scripts as alone.
+    pair = {"k1": "".join(scripts["ko"][:150]), "k2": "".join(scripts["ko"][100:250])}
+    words = {k: ["".join(random.choices(letters, k=3)) for _ in range(200)] for k, letters in pair.items()}
+    say = lambda k, n: " ".join(random.choices(words[k], k=n))
+    two = {k: [say(k, 400)] for k in pair}
+    asked = [(k, say(k, 5)) for k in pair for _ in range(100)]
+    right = lambda m: sum(g == k for g, (k, _) in zip(langid.predict(m, [t for _, t in asked])[0], asked))
+    assert right(langid.learn(two | {k: v for k, v in samples.items() if k != "ko"})) >= right(langid.learn(two)) >= 195
 
 
 def test_langid(spark, odd_docs):
