@@ -17,8 +17,8 @@ LIMIT = 7
 KEYWORDS = frozenset("class struct enum interface function method type const let var namespace where find explain".split())
 # Short names of file types, and the formats they stand for.
 ALIASES = {
-    "bash": "shell", "sh": "shell", "zsh": "shell", "cjs": "javascript", "mjs": "javascript", "js": "javascript jsx", "jsx": "jsx", "cc": "cpp", "cp": "cpp",
-    "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "h": "c", "md": "markdown", "mdx": "markdown", "py": "python", "pyi": "python", "rb": "ruby",
+    "sh": "bash", "shell": "bash", "zsh": "bash", "cjs": "javascript", "mjs": "javascript", "js": "javascript jsx", "jsx": "jsx", "cc": "cpp", "cp": "cpp",
+    "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "h": "cpp", "md": "markdown", "mdx": "markdown", "py": "python", "pyi": "python", "rb": "ruby",
     "rs": "rust", "txt": "text", "ts": "typescript tsx", "tsx": "tsx", "yml": "yaml",
 }
 

@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.text import glob_regex, hash_id, matches_ordered, matches_path, normal_path
 
 # Formats by extension or file name, and the kinds they belong to.
-NAMED = {"dockerfile": "dockerfile", "makefile": "makefile", "cmakelists.txt": "cmake", "gemfile": "ruby", "rakefile": "ruby", "jenkinsfile": "groovy"}
+NAMED = {"Dockerfile": "dockerfile", "Makefile": "makefile"}
 CODE = {
-    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "cs": "csharp", "go": "go", "java": "java", "js": "javascript",
-    "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "ts": "typescript", "tsx": "tsx", "py": "python", "rs": "rust", "vb": "vb", "rb": "ruby", "php": "php",
-    "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "shell", "bash": "shell", "sql": "sql", "vue": "vue", "svelte": "svelte", "lua": "lua", "r": "r",
+    "c": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "h": "cpp", "hpp": "cpp", "go": "go", "java": "java", "js": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "jsx": "jsx", "ts": "typescript", "tsx": "tsx", "py": "python", "rs": "rust", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "kts": "kotlin",
+    "cs": "csharp", "scala": "scala", "sh": "bash", "bash": "bash", "zsh": "bash", "sql": "sql", "css": "css", "scss": "scss", "less": "less", "vue": "vue", "svelte": "svelte", "vb": "vb",
 }
-DATA = {"json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "csv": "csv", "tsv": "tsv", "ini": "ini", "jsonl": "jsonl"}
-TEXT = {"md": "markdown", "markdown": "markdown", "txt": "text", "rst": "rst", "log": "log", "adoc": "asciidoc", "html": "html", "htm": "html", "tex": "tex"}
-IMAGE = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "webp": "webp"}
-BINARY = "zip gz tar tgz bz2 xz 7z rar exe dll so dylib a o bin pdf doc docx xls xlsx ppt pptx class jar pyc wasm mp3 mp4 mov avi ttf woff woff2 ico db sqlite".split()
+DATA = {"csv": "csv", "json": "json", "jsonc": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml"}
+TEXT = {"md": "markdown", "mdx": "markdown", "rst": "rst", "txt": "text", "html": "html", "htm": "html", "xml": "xml"}
+IMAGE = {"gif": "gif", "jpeg": "jpeg", "jpg": "jpeg", "png": "png", "webp": "webp"}
+BINARY = "zip tar gz bz2 xz 7z rar exe dll dylib so a o obj wasm class jar pdf doc docx ppt pptx xls xlsx mp3 mp4 mov avi mkv db sqlite".split()
 HARD = [".git"]
 # Folders and files that are left out unless they are asked for.
 IGNORED_FOLDERS = (
@@ -47,22 +47,22 @@ def base_name(path: Column) -> Column:
 
 def file_type(path: Column) -> tuple[Column, Column]:
     """(kind, format) by a path's name: named files, then code, data, text and image extensions; a binary extension has
-    no kind, an unknown one is a text of that format, and none at all a plain text."""
-    name = F.lower(base_name(path))
-    extension = F.when(F.instr(name, ".") > 0, F.element_at(F.split(name, r"\."), -1))
-    table = {f"={k}": ("code", v) for k, v in NAMED.items()}
+    no kind, an unknown one is a text of that format, and none at all a plain text.  A dot at a name's start begins no
+    extension."""
+    name = base_name(path)
+    plain = F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    extension = F.regexp_extract(plain, r"^.+\.([^.]*)$", 1)
+    table = {k: ("", "") for k in BINARY} | {"": ("text", "text")}
     for kind, names in (("image", IMAGE), ("text", TEXT), ("data", DATA), ("code", CODE)):
         table |= {k: (kind, v) for k, v in names.items()}
-    table |= {k: ("", "") for k in BINARY}
-    kinds = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v[0])) for k, v in table.items()))
-    formats = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v[1])) for k, v in table.items()))
-    named = F.concat(F.lit("="), name)
+    named = {k: ("code", v) for k, v in NAMED.items()}
 
-    def look(found: Column, otherwise: Column, plain: str) -> Column:
-        value = F.coalesce(F.element_at(found, named), F.element_at(found, extension), F.when(extension.isNull() | (extension == ""), F.lit(plain)).otherwise(otherwise))
+    def look(place: int, otherwise: Column) -> Column:
+        found = [F.create_map(*chain.from_iterable((F.lit(k), F.lit(v[place])) for k, v in t.items())) for t in (named, table)]
+        value = F.coalesce(F.element_at(found[0], name), F.element_at(found[1], extension), otherwise)
         return F.nullif(value, F.lit(""))
 
-    return look(kinds, F.lit("text"), "text"), look(formats, extension, "text")
+    return look(0, F.lit("text")), look(1, extension)
 
 
 def size_limit(kind: Column, override: int | None = None) -> Column:
@@ -315,12 +315,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def pattern_lines(spark: SparkSession, path: str) -> list[str]:
-    """The lines of a small file, without the empty line behind its last line end."""
+    """The patterns of a small file: its lines without line ends, and none that is empty, which would match every line."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
     data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     stream.close()
-    return data.decode("utf-8", "replace").removesuffix("\n").split("\n") if data else []
+    lines = [line.removesuffix("\r") for line in data.decode("utf-8", "replace").split("\n")]
+    return [line for line in lines if line]
 
 
 def formats() -> set[str]:
