@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from .statements import statements, windows
+
 SIZE, OVERLAP = 3600, 540
 #: Rows of texts that are cut together.
 FEW = 128
-#: What a cut after a sign is worth.
+# What a cut after a sign is worth.
 SIGNS = {**dict.fromkeys(".!?", 4), **dict.fromkeys(",;:", 3), **dict.fromkeys(" \t", 2), **dict.fromkeys("-/\\", 1)}
 PLAIN_CHARS, DENSE_CHARS, DENSE_SHARE, DENSE_WINDOW = 1.85, 1.0, 0.3, 16384
 
@@ -35,28 +37,46 @@ def split_long(line: str, size: int) -> list[str]:
     return [*out, line]
 
 
-def text_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, content) of windows of whole lines.  The next window repeats the trailing lines that hold at
-    least ``overlap`` characters, but always gets on; blank windows are left out."""
-    lines = [(n, part) for n, line in enumerate(text.split("\n"), 1) for part in split_long(line, size)]
+def _parts(text: str, size: int) -> list[tuple[int, int, int]]:
+    """(line, start, end) of a text's lines, and of the parts of those that are longer than size; line ends are in none."""
+    out, at = [], 0
+    for n, line in enumerate(text.split("\n"), 1):
+        begun = at
+        for part in split_long(line, size) if len(line) > size else [line]:
+            out.append((n, begun, begun + len(part)))
+            begun += len(part)
+        at += len(line) + 1
+    return out
+
+
+def text_windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[dict]:
+    """Windows of whole lines: first and last line, the text's characters from ``from`` up to ``to``, and these as content.
+    The next window repeats the trailing lines that hold at least ``overlap`` characters, but always gets on; blank windows
+    are left out."""
+    lines = _parts(text, size)
     at = 0
     while at < len(lines):
         end, used = at, 0
-        while end < len(lines) and (end == at or used + len(lines[end][1]) + 1 <= size):
-            used += len(lines[end][1]) + 1
+        while end < len(lines) and (end == at or used + lines[end][2] - lines[end][1] + 1 <= size):
+            used += lines[end][2] - lines[end][1] + 1
             end += 1
-        content = "\n".join(part for _, part in lines[at:end])
-        if content.strip():
-            yield lines[at][0], lines[end - 1][0], content
+        first, last = lines[at][1], lines[end - 1][2]
+        if text[first:last].strip():
+            yield {"start": lines[at][0], "end": lines[end - 1][0], "content": text[first:last], "from": first, "to": last}
         if end >= len(lines):
             return
         back, held = end, 0
         while back > at + 1 and held < overlap:
             back -= 1
-            held += len(lines[back][1]) + 1
+            held += lines[back][2] - lines[back][1] + 1
         at = max(at + 1, back if overlap else end)
 
 
+def text_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, content) of the windows of a text."""
+    return ((w["start"], w["end"], w["content"]) for w in text_windows(text, size, overlap))
+
+
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 
@@ -86,28 +106,43 @@ def markdown_sections(text: str) -> list[dict]:
     stack: list[tuple[int, str]] = []
     bounds = [h[0] for h in heads] + [len(lines)]
     if any(line.strip() for line in lines[: bounds[0]]):
-        out.append({"heading": None, "level": None, "scope": "", "start": 1, "end": bounds[0], "content": "\n".join(lines[: bounds[0]]).strip("\n")})
+        out.append({"heading": None, "level": None, "scope": "", "start": 1, "end": bounds[0]} | _stripped(lines, 0, bounds[0], 0))
+    begin = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines]))).tolist()
     for (line, _, level, title), end in zip(heads, bounds[1:]):
         stack = [s for s in stack if s[0] < level]
-        out.append({"heading": title, "level": level, "scope": " > ".join(t for _, t in stack), "start": line + 1, "end": end, "content": "\n".join(lines[line:end]).strip("\n")})
+        out.append({"heading": title, "level": level, "scope": " > ".join(t for _, t in stack), "start": line + 1, "end": end} | _stripped(lines, line, end, begin[line]))
         stack.append((level, title))
     return out
 
 
+def _stripped(lines: list[str], first: int, last: int, begin: int) -> dict:
+    """Some lines as content, without the line ends around them, and where it stands."""
+    whole = "\n".join(lines[first:last])
+    content = whole.strip("\n")
+    begin += len(whole) - len(whole.lstrip("\n")) if content else 0
+    return {"content": content, "from": begin, "to": begin + len(content)}
+
+
+#: What a break before a line of Markdown is worth.
+_BREAKS = {"heading": 100, "blank": 60, "item": 35, "quote": 25, "other": 10}
+
+
 def _worth(line: str, before: str) -> int:
     """What a break before a line of Markdown is worth."""
     if _ATX.match(line):
-        return 100
+        return _BREAKS["heading"]
     if not before.strip():
-        return 60
+        return _BREAKS["blank"]
     if re.match(r"\s*([-*+]|\d+\.)\s", line):
-        return 35
-    return 25 if line.lstrip().startswith(">") else 10
+        return _BREAKS["item"]
+    return _BREAKS["quote"] if line.lstrip().startswith(">") else _BREAKS["other"]
 
 
-def section_windows(content: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """A section in windows, each ended at the best break of its last half; overlap stops before it is exceeded."""
-    lines = [p for line in content.split("\n") for p in split_long(line, size)]
+def section_windows(content: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """A section in windows (start, end), each ended at the best break of its last half; overlap stops before it is
+    exceeded."""
+    parts = _parts(content, size)
+    lines = [content[a:b] for _, a, b in parts]
     out, at = [], 0
     while at < len(lines):
         end, used = at, 0
@@ -117,13 +152,13 @@ def section_windows(content: str, size: int = SIZE, overlap: int = OVERLAP) -> l
         if end < len(lines):
             low = at + max(1, (end - at) // 2)
             end = max(range(low, end + 1), key=lambda i: (_worth(lines[i], lines[i - 1]) + (10 if i > 1 and not lines[i - 1].strip() and not lines[i - 2].strip() else 0), i)) if low < end else end
-        out.append("\n".join(lines[at:end]))
+        out.append((parts[at][1], parts[end - 1][2]))
         back, held = end, 0
         while end < len(lines) and back - 1 > at and held + len(lines[back - 1]) + 1 <= min(overlap, size // 2):
             back -= 1
             held += len(lines[back]) + 1
         at = back if back > at else end
-    return [w for w in out if w.strip()]
+    return [(a, b) for a, b in out if content[a:b].strip()]
 
 
 def markdown_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[dict]:
@@ -136,11 +171,12 @@ def markdown_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iter
             n += 1
             continue
         head = n
-        outline = "\n".join(x for x in [s["heading"] or "", *(w.strip().split("\n")[0][:160] for w in windows)] if x)
-        yield s | {"index": n, "group": head, "content": outline}
-        for w in windows:
+        texts = [s["content"][a:b] for a, b in windows]
+        outline = "\n".join(x for x in [s["heading"] or "", *(w.strip().split("\n")[0][:160] for w in texts)] if x)
+        yield s | {"index": n, "group": head, "content": outline, "made": True}
+        for w, (a, b) in zip(texts, windows):
             n += 1
-            yield s | {"index": n, "group": head, "content": w}
+            yield s | {"index": n, "group": head, "content": w, "from": s["from"] + a, "to": s["from"] + b}
         n += 1
 
 
@@ -224,13 +260,20 @@ def brace_symbols(text: str, language: str) -> list[dict] | None:
                 if found and not {found["name"], *(found.groupdict().get("ret") or "").split()[:1]} & (CONTROL - {"const", "let", "var"}):
                     break
                 found = None
+        first = i
+        if language in ("c", "cpp") and i and inside not in ("function", "method") and (not found or not found.groupdict().get("ret") and not found.groupdict().get("kind")):
+            # The type may stand on the line above.
+            above = re.match(r"[A-Za-z_][\w\s*&:<>,]*$", lines[i - 1].rstrip())
+            joined = others["function"].match(f"{lines[i - 1].rstrip()} {line.strip()}") if above and re.match(r"[A-Za-z_*&]", line) else None
+            if joined and joined.groupdict().get("ret") and joined["name"] in line and not {joined["name"], joined["ret"].split()[0]} & CONTROL:
+                found, kind, first = joined, "function", i - 1
         if not found:
             continue
         end, body = _end_of(lines, i, language, found.groupdict().get("kind"))
         arrow = "=>" in line
         if not found.groupdict().get("kind") and not body and not arrow:
             continue  # a declaration, or a call
-        docs, k = [], i - 1
+        docs, k = [], first - 1
         while k >= 0 and re.match(r"\s*(///?|\*|/\*|'|#\[|@\w)", lines[k]):
             docs.append(re.sub(r"^\s*(///?!?|/\*\*?|\*/?|')\s?|\*/\s*$", "", lines[k]))
             k -= 1
@@ -243,11 +286,11 @@ def brace_symbols(text: str, language: str) -> list[dict] | None:
             *owners, name = name.split("::")
             kind, around = "method", [*around, *owners]
         kind = "method" if kind == "function" and open_ and inside not in ("module", "") else kind
-        signature = re.sub(r"\s*[{;]\s*$", "", " ".join(line.split()))
+        signature = re.sub(r"\s*[{;]\s*$", "", " ".join(" ".join(lines[first : i + 1]).split()))
         before = line[: found.start("kind")] if found.groupdict().get("kind") else found.groupdict().get("mods") or ""
         mods = [m for m in re.findall(r"\w+", before) if m.lower() in ("pub", "public", "private", "protected", "internal", "static", "async", "const", "abstract", "export", "virtual", "inline", "final", "override")]
         out.append({"symbol_type": kind, "symbol_name": name, "scope": "::".join(around), "signature": signature, "doc": "\n".join(reversed(docs)) or None,
-                    "modifiers": mods, "start": i + 1, "end": end + 1, "content": "\n".join(lines[i : end + 1])})
+                    "modifiers": mods, "start": first + 1, "end": end + 1, "content": "\n".join(lines[first : end + 1])})
         open_.append((name, end, kind))
     return out
 
@@ -283,33 +326,78 @@ def script_blocks(text: str) -> list[tuple[int, str, str]]:
     return out
 
 
+# An outline's header in lines and characters, its members and calls, and the characters of a member.
+HEADER_LINES, HEADER_CHARS, MEMBERS, CALLS, MEMBER_CHARS = 24, 1200, 32, 24, 180
+
+
+def outline(symbol: dict, found: list[dict], size: int) -> str:
+    """What stands for a definition that is too long: its head up to its block, then its members or what it calls."""
+    lines = symbol["content"].split("\n")
+    head = lines[: next((i + 1 for i, line in enumerate(lines[:HEADER_LINES]) if "{" in line), HEADER_LINES)]
+    header = "\n".join(line.removesuffix("\r") for line in head).strip()
+    out = [header[:HEADER_CHARS].rstrip() + "\n..." if len(header) > HEADER_CHARS else header or symbol["symbol_name"]]
+    if symbol["symbol_type"] in ("class", "interface", "module"):
+        members = [x for x in found if x is not symbol and x["scope"].split("::")[-1] == symbol["symbol_name"] and symbol["start"] <= x["start"] <= symbol["end"]][:MEMBERS]
+        out += ["", "members:", *("- " + (x["signature"] or x["symbol_name"])[:MEMBER_CHARS] for x in members)] if members else []
+    else:
+        body = symbol["content"].removeprefix(lines[0])
+        calls = [c for c in dict.fromkeys(re.findall(r"\b([A-Za-z_]\w*)\s*\(", body)) if c not in CONTROL][:CALLS]
+        out += ["", "calls: " + ", ".join(calls)] if calls else []
+    whole = "\n".join(out).strip()
+    return whole if len(whole) <= size else "." * size if size <= 3 else whole[: size - 3].rstrip() + "..."
+
+
 def code_chunks(text: str, language: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[dict]:
-    """Definitions of a source, those beyond the size as an outline with the windows of their lines; a source without any
-    is cut like plain text."""
+    """Definitions of a source, those beyond the size as an outline with windows of whole statements; a statement beyond the
+    size is cut by lines, and these by characters.  A source without any definition is cut like plain text."""
+    tongue = language
     if language in ("vue", "svelte"):
         found = [s | {"start": s["start"] + at - 1, "end": s["end"] + at - 1} for at, lang, code in script_blocks(text) for s in brace_symbols(code, lang) or []]
+        tongue = "typescript"
     else:
         found = python_symbols(text) if language == "python" else brace_symbols(text, language)
     if not found:
-        yield from ({"start": a, "end": b, "content": c, "group": None, "index": i} for i, (a, b, c) in enumerate(text_chunks(text, size, overlap)))
+        yield from (w | {"group": None, "index": i} for i, w in enumerate(text_windows(text, size, overlap)))
         return
+    begin = np.concatenate(([0], np.cumsum([len(x) + 1 for x in text.split("\n")]))).tolist()
     n = 0
     for s in found:
+        at = begin[s["start"] - 1]
+        if text[at : at + len(s["content"])] != s["content"]:  # a script that doesn't begin with a line
+            at = max(0, text.find(s["content"], at))
+        s |= {"from": at, "to": at + len(s["content"])}
         if len(s["content"]) <= size:
             yield s | {"index": n, "group": None}
             n += 1
             continue
-        members = [x["signature"] for x in found if x["scope"].split("::")[-1] == s["symbol_name"] and s["start"] <= x["start"] <= s["end"]][:32]
-        calls = list(dict.fromkeys(re.findall(r"\b([A-Za-z_]\w*)\s*\(", s["content"])))[:24]
-        yield s | {"index": n, "group": n, "content": "\n".join([s["signature"], *members, "calls: " + ", ".join(calls)])[:1200]}
-        head = n
-        for a, b, c in text_chunks(s["content"], size, overlap):
-            n += 1
-            yield s | {"index": n, "group": head, "start": s["start"] + a - 1, "end": s["start"] + b - 1, "content": c}
+        yield s | {"index": n, "group": n, "content": outline(s, found, size), "made": True}
+        head, body = n, s["content"]
+        line = lambda p: s["start"] + body.count("\n", 0, p)  # noqa: E731, B023
+        for a, b, whole in windows(body, statements(body, tongue), size, overlap):
+            for w in [{"from": 0, "to": b - a}] if whole else text_windows(body[a:b], size, overlap):
+                n += 1
+                first, last = a + w["from"], a + w["to"]
+                yield s | {"index": n, "group": head, "start": line(first), "end": line(max(first, last - 1)), "content": body[first:last], "from": at + first, "to": at + last}
         n += 1
 
 
-ENTITY = "file_id string, index int, group int, start_line int, end_line int, heading string, level int, scope string, symbol_type string, symbol_name string, signature string, doc string, modifiers string, content string, failure string"
+ENTITY = "file_id string, index int, group int, start_line int, end_line int, heading string, level int, scope string, symbol_type string, symbol_name string, signature string, doc string, modifiers string, content string, start_char int, end_char int, start_byte int, end_byte int, failure string"
+
+
+def byte_offsets(text: str) -> np.ndarray | None:
+    """Bytes in UTF-8 before each character and behind the last; None where all are one byte."""
+    if text.isascii():
+        return None
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate(([0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000).astype(np.int64))))
+
+
+def places(chunk: dict, offsets: np.ndarray | None) -> list[int | None]:
+    """A chunk's first and last character and byte; nulls for what has no place."""
+    if "from" not in chunk:
+        return [None] * 4
+    ends = [chunk["from"], chunk["to"]]
+    return ends + (ends if offsets is None else [int(offsets[e]) for e in ends])
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,6 +410,8 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def entities(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, images: bool = False) -> DataFrame:
     """Chunks of files (file_id, kind, format, text) by what they are; ENTITY is their schema.
 
+    Offsets count the text's characters and its bytes in UTF-8; the content is what stands between them, but for an outline,
+    which is made for what stands there.
     With a column budget, a file's chunks have no more characters than it says.  An image is one entity without text if the model takes images, and none otherwise.  A file that can't be cut is one
     row with the reason in failure and nothing else, so that it doesn't stop the others.
     """
@@ -339,7 +429,7 @@ def entities(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, images:
             found = list(markdown_chunks(text, most, back))
         elif kind == "code":
             found = list(code_chunks(text, format_, most, back))
-        return found or [{"start": a, "end": b, "content": c, "index": i} for i, (a, b, c) in enumerate(text_chunks(text, most, back))]
+        return found or [w | {"index": i} for i, w in enumerate(text_windows(text, most, back))]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
@@ -348,13 +438,14 @@ def entities(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, images:
                 try:
                     found = cut(kind, format_, text or "", budget)
                 except (ValueError, RecursionError, MemoryError, LookupError) as error:
-                    rows.append([file_id, *[None] * 13, f"{type(error).__name__}: {error}"[:500]])
+                    rows.append([file_id, *[None] * 17, f"{type(error).__name__}: {error}"[:500]])
                     continue
+                bytes_ = byte_offsets(text or "") if found else None
                 for f in found:
                     said = [f.get(k) for k in ("heading", "level", "scope", "symbol_type", "symbol_name", "signature", "doc")]
-                    rows.append([file_id, f["index"], f.get("group"), f["start"], f["end"], *said, " ".join(f.get("modifiers") or []) or None, f["content"], None])
+                    rows.append([file_id, f["index"], f.get("group"), f["start"], f["end"], *said, " ".join(f.get("modifiers") or []) or None, f["content"], *places(f, bytes_), None])
             if rows:
-                kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), *[pa.string()] * 8]
+                kinds = [pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), *[pa.string()] * 7, *[pa.int32()] * 4, pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema.names)
 
     budget = F.col("budget").cast("long") if "budget" in files.columns else F.lit(None).cast("long").alias("budget")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_id
-from .segments import SEQ, Log, State
+from .segments import SEQ, Log, Order, State
 
 VERSION = 3
 #: Seconds after which a writer's lock is taken for that of a writer that has died.
@@ -100,9 +100,9 @@ class Snapshots:
     one version or the next; a fresh build that breaks off is never named.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, list[str]] | None = None, whole: tuple[str, ...] = (), derived: dict | None = None):
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, Order] | None = None, whole: tuple[str, ...] = (), derived: dict | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
-        #: Tables that are kept as one log of segments, with the columns they are sorted by.
+        #: Tables that are kept as one log of segments, with their order.
         self.tables, self.whole, self.derived = tables or {}, whole, derived
 
     def _path(self, name: str = ""):

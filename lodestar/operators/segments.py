@@ -42,8 +42,29 @@ class State:
         return {"next": self.next, "segments": {str(k): v for k, v in self.segments.items()}, "gone": self.gone, "sums": self.sums, "schemas": self.schemas}
 
 
+@dataclass(frozen=True)
+class Order:
+    """How a segment's rows of a table are dealt to files and sorted in each: by ranges of the columns that sort them, by
+    hashes of SQL expressions, or as they come.  Hashes need no sample of the rows, which would have to be made twice."""
+
+    sort: tuple[str, ...] = ()
+    deal: tuple[str, ...] = ()
+
+    def ordered(self, rows: DataFrame) -> DataFrame:
+        if self.deal:
+            rows = rows.repartition(*[F.expr(d) for d in self.deal])
+        elif self.sort:
+            rows = rows.repartitionByRange(*self.sort)
+        return rows.sortWithinPartitions(*self.sort) if self.sort else rows
+
+
+#: Postings by term.  The upper bits of a row's number are its part of the segment, so a term's lists come together for so
+#: many parts only, and a frequent term's are in many files.
+POSTED = Order(("term", "docs"), ("term", "shiftright(docs[0], 33 + 6)"))
+
+
 class Log:
-    """Tables that share segments and tombstones, below one folder: {table: the columns it is sorted by}.
+    """Tables that share segments and tombstones, below one folder: {table: its order}.
 
     Every table has the column ``key``, but for those that are derived: {table: (the table it is made of, how)}.  A table that
     others are made of numbers its rows in ``doc``, within the segment, and they speak of its rows by that number, so that
@@ -52,7 +73,7 @@ class Log:
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, tables: dict[str, list[str]], key: str = "file_id", whole: tuple[str, ...] = (),
+        self, spark: SparkSession, folder: str, tables: dict[str, Order], key: str = "file_id", whole: tuple[str, ...] = (),
         derived: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] | None = None, state: State | None = None,
     ):
         self.spark, self.folder, self.tables, self.key, self.whole = spark, folder.rstrip("/"), tables, key, whole
@@ -86,10 +107,9 @@ class Log:
         return rows if numbers else rows.drop(SEQ, *([DOC] if table in self.numbered else []))
 
     def _write(self, table: str, rows: DataFrame, seq: int) -> DataFrame:
-        """Write a table of a segment in its order.  Spark's ranges are sorted and don't overlap, so a file's and a row group's
-        smallest and largest values tell whether they can hold a value."""
-        order = self.tables[table]
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        """Write a table of a segment in its order: a sorted file's row groups tell by their smallest and largest values
+        whether they can hold a value."""
+        rows = self.tables[table].ordered(rows)
         rows = rows.withColumn(DOC, F.monotonically_increasing_id()) if table in self.numbered else rows
         rows.write.mode("overwrite").parquet(self._path(table, seq))
         return self.spark.read.schema(rows.schema).parquet(self._path(table, seq))

@@ -151,7 +151,7 @@ def bm25_from_postings(spark, sf):
     """Top k from a log of postings, as a workspace stores it: every text is stale at first, two updates replace the English
     ones and the rest, and what is labelled as poor is removed."""
     docs = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file_id"), "lang", "text")
-    log = segments.Log(spark, scratch(spark, "postings"), {"texts": ["id"], "postings": ["term", "docs"]}, derived={"postings": ("texts", recall.postings)})
+    log = segments.Log(spark, scratch(spark, "postings"), {"texts": segments.Order(), "postings": segments.POSTED}, derived={"postings": ("texts", recall.postings)})
     rows = lambda df: {"texts": df.withColumn("dl", recall.text_length(F.col("text")))}
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     log = log.append(rows(docs.withColumn("text", F.concat_ws(" ", "text", "text"))))
@@ -750,6 +750,26 @@ def code_entities(spark, sf):
     return chunking.entities(docs).select("file_id", "index", "group", "symbol_type", "symbol_name", "scope", "start_line", "end_line")
 
 
+_MARKED = "doc_id % 3 = 0 AND doc_id % 7 <> 0"
+
+
+@query(
+    f"SELECT doc_id, TRUE AS equal, CAST(CASE WHEN {_MARKED} THEN strlen(text) - strlen(ltrim(text, chr(10))) ELSE 0 END AS BIGINT) AS first_byte, "
+    f"CAST(CASE WHEN {_MARKED} THEN strlen(rtrim(text, chr(10))) ELSE strlen(text) END AS BIGINT) AS last_byte FROM documents WHERE regexp_matches(text, '\\S')"
+)
+def entity_offsets(spark, sf):
+    """Documents as files of text, Markdown and code: whether every entity is what its bytes say, and that they reach from the
+    first byte to the last."""
+    docs = documents(spark, sf).withColumn("file_id", F.col("doc_id").cast("string"))
+    kind, format_ = S.file_type(F.col("path"))
+    made = chunking.entities(docs.withColumn("kind", kind).withColumn("format", format_)).where("start_byte IS NOT NULL")
+    # An outline is made, and stands for what its members say.
+    mine = made.where(F.col("group").isNull() | (F.col("group") != F.col("index"))).select("file_id", "content", "start_byte", "end_byte")
+    bytes_ = F.encode("text", "UTF-8").substr(F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))
+    same = mine.join(docs.select("file_id", "doc_id", "text"), "file_id").withColumn("same", bytes_ == F.encode("content", "UTF-8"))
+    return same.groupBy("doc_id").agg(F.min(F.col("same").cast("int")).cast("boolean").alias("equal"), F.min("start_byte").cast("long").alias("first_byte"), F.max("end_byte").cast("long").alias("last_byte"))
+
+
 _STUB = ", ".join(f"round(CAST('0x' || substr(h, {2 * i + 1}, 2) AS INTEGER) / 255.0 - 0.5, 6) AS e{i}" for i in (0, 1, 31, 32, 63))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .functions.parse import LineSearch, line_search
 from .functions.text import hash_id, line_regex, matches_ordered, matches_path, valid_utf8
-from .operators import chunking, embed, fusion, index, lexical, recall
+from .operators import chunking, embed, fusion, index, lexical, recall, segments
 from .plans.search import PlanError, Route, SearchPlan, file_filter, meant, resolve, symbol_names
 from .sources import files, watch
 from .streaming import bursts, changes
@@ -22,7 +22,7 @@ PROTECTED = 1000
 #: What is known of a file; texts and terms are its entities and their tokens, which the statistics of a search add up.
 FILES = ["file_id", "path", "kind", "format", "size_bytes", "last_modified", "content_hash", "indexed_time", "error", "entity_count", "texts", "terms"]
 #: The tables of an index and their order.  Noting a file anew leaves its entities and postings as they are.
-TABLES = {"files": ["path"], "entities": ["file_id", "index"], "postings": ["term", "docs"]}
+TABLES = {"files": segments.Order(("path",)), "entities": segments.Order(), "postings": segments.POSTED}
 DERIVED = {"postings": ("entities", recall.postings)}
 
 

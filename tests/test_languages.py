@@ -49,3 +49,10 @@ def test_modifiers_and_comments():
     found = chunking.brace_symbols("/** Adds.\n * Both. */\npublic class A {\n  /* { */\n  public static int add(int a) { // {\n    return a;\n  }\n}\n", "java")
     assert [s["modifiers"] for s in found] == [["public"], ["public", "static"]] and found[0]["end"] == 8
     assert found[0]["doc"].startswith("Adds.")
+
+
+def test_c_functions_whose_type_stands_above():
+    source = "/* Counts. */\nstatic const char *\nname(void)\n{\n  return 0;\n}\n\nint\nmain(int argc, char **argv)\n{\n  if (argc)\n    run(argv);\n  return 0;\n}\nint x;\nvoid g(void) { h(); }\n"
+    found = chunking.brace_symbols(source, "c")
+    assert [(f["symbol_name"], f["start"], f["end"], f["symbol_type"]) for f in found] == [("name", 2, 6, "function"), ("main", 8, 14, "function"), ("g", 16, 16, "function")]
+    assert found[0]["signature"] == "static const char * name(void)" and found[0]["modifiers"] == ["static", "const"] and found[0]["doc"]

@@ -22,7 +22,7 @@ def test_log(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "FAN_OUT", 3)
     random.seed(2)
     words = lambda rows: rows.select("doc", F.upper("word").alias("word"))
-    tables = {"files": ["path"], "rows": ["word"], "upper": ["word"]}
+    tables = {"files": segments.Order(("path",)), "rows": segments.Order(), "upper": segments.Order(("word",), ("word",))}
     log, want, kept = segments.Log(spark, str(tmp_path / "log"), tables, whole=("files",), derived={"upper": ("rows", words)}), {}, {}
     for step in range(8):
         new = {f"f{random.randrange(12)}": [random.choice("abcdef") for _ in range(random.randrange(1, 6))] for _ in range(3)}
@@ -53,7 +53,7 @@ def test_log(spark, tmp_path, monkeypatch):
 
 
 def test_log_of_nothing(spark, tmp_path):
-    log = segments.Log(spark, str(tmp_path), {"rows": ["word"]})
+    log = segments.Log(spark, str(tmp_path), {"rows": segments.Order(("word",))})
     none = spark.createDataFrame([], "file_id string, word string")
     log = log.append({"rows": none}, spark.createDataFrame([], "file_id string, whole boolean"))
     assert log.read("rows").count() == 0 and log.parts() == set()
