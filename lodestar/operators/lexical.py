@@ -78,13 +78,44 @@ def grep_context(docs: DataFrame, regex: str, before: int, after: int, path_col:
     return found.withColumn("end_column", F.col("start_column") + utf16_length(hit))
 
 
+#: Lines of a node of the next level for one of a level, and the levels: nodes of the last hold all lines there can be.
+FAN, LEVELS = 16, 8
+
+
+def _at_level(nodes: Column, level: int) -> Column:
+    return F.transform(nodes, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
+
+
+def _nodes(first: Column, last: Column) -> Column:
+    """The fewest nodes (level, node) that make up a range of lines: at each level those that lie in the range, but not in a
+    larger node that does.  At most 2 * (FAN - 1) a level, and no array of lines is made."""
+    out = []
+    inside = lambda size: (F.ceil(first / size), F.floor((last + 1) / size) - 1)
+    some = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    for level in range(LEVELS):
+        lo, hi = inside(FAN**level)
+        up_lo, up_hi = inside(FAN ** (level + 1))
+        split = (up_lo <= up_hi) if level + 1 < LEVELS else F.lit(False)
+        left = F.when(split, some(lo, up_lo * FAN - 1)).otherwise(some(lo, hi))
+        right = F.when(split, some((up_hi + 1) * FAN, hi)).otherwise(F.array().cast("array<bigint>"))
+        out.append(_at_level(F.concat(left, right), level))
+    return F.flatten(F.array(*out))
+
+
 def containers(found: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The smallest range of the same path that holds each match's line; ties go to the more specific, then the id.
+    """(path, line, container, span): the smallest range of the same path that holds each match's line; ties go to the more
+    specific, then the id.
 
-    ranges has path, id, start_line, end_line and specificity.  An equality join on the path and a range condition; the
-    choice is an aggregation, so a path with many matches isn't sorted.
+    ranges has path, id, start_line, end_line and specificity.  A range is a few nodes of a tree over the lines, and a line
+    lies in one node of each level, so they meet by equality, each pair once: a path with many matches and many ranges isn't
+    all their pairs, and isn't one key.  The choice is an aggregation, so nothing is sorted.
     """
-    r = ranges.select(F.col("path").alias("_path"), F.col("id").alias("container"), "start_line", "end_line", "specificity")
-    joined = found.join(r, (F.col("path") == F.col("_path")) & (F.col("start_line") <= F.col("line")) & (F.col("end_line") >= F.col("line")), "left")
+    wide = lambda c: F.col(c).cast("long")
+    r = ranges.where(wide("start_line") <= wide("end_line")).select(F.col("path").alias("_path"), F.col("id").alias("container"), wide("start_line").alias("start_line"), wide("end_line").alias("end_line"), "specificity")
+    r = r.select("*", F.inline(_nodes(F.col("start_line"), F.col("end_line"))))
+    lines_ = found.select("path", "line").distinct()
+    above = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(wide("line") / FAN**k).alias("_node")) for k in range(LEVELS)])
+    asked = lines_.select("path", "line", F.inline(above))
+    joined = asked.join(r, (F.col("path") == F.col("_path")) & (F.col("_level") == F.col("level")) & (F.col("_node") == F.col("node")), "left")
     best = F.min(F.when(F.col("container").isNotNull(), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("specificity")).alias("s"), F.col("container"))))
     return joined.groupBy("path", "line").agg(best.alias("_best")).select("path", "line", F.col("_best.container").alias("container"), F.col("_best.span").alias("span"))

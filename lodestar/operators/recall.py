@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import TOKEN, query_tokens, tokens
 from ..functions.vectors import cosine, dot, euclidean
+from ..sources.scratch import written
 
 K1, B = 1.2, 0.75
 #: Digits that scores are rounded to before they are ordered, so that the order of sums can't decide a tie.
@@ -207,6 +208,26 @@ def collapse(hits: DataFrame, members: DataFrame, id_col: str = "id", group_col:
     return hits.join(public, F.col("id") == F.col("_id")).drop("_id").join(major, "public_id", "left_semi")
 
 
+def majors(members: DataFrame, id_col: str = "id", group_col: str = "group") -> DataFrame:
+    """(id, major) of members whose group, or its group, and so on, is a major member, which has none or itself.
+
+    Pointers are doubled, so a chain of n takes log n joins and a table of ids written for each.  Members of a cycle, of a
+    group that isn't there, or of what leads to either have no major: once a step leads no one further to an end, those who
+    are left never get there.
+    """
+    at = written(members.select(F.col(id_col).alias("id"), F.coalesce(F.col(group_col), F.col(id_col)).alias("up")), "majors")
+    ends = at.where("id = up").select(F.col("id").alias("end")).distinct()
+    open_ = -1
+    while True:
+        done = at.join(ends, F.col("up") == F.col("end"), "left")
+        left = done.where("end IS NULL").count()
+        if left in (0, open_):
+            return done.where("end IS NOT NULL").select("id", F.col("up").alias("major"))
+        open_ = left
+        ahead = at.select(F.col("id").alias("_id"), F.col("up").alias("_up"))
+        at = written(at.join(ahead, F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up")), "majors")
+
+
 def adaptive_depth(hits: DataFrame, limit: int, id_col: str = "id") -> DataFrame:
     """(depth, candidates): the first of the depths 200, 400 .. 2000 at which the routes have max(5 * limit, 50) candidates
     or none of them reaches the depth.  Routes are ranked once, to the last depth; a depth is a filter on ranks."""

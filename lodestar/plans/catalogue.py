@@ -276,6 +276,26 @@ def group_collapse(spark, sf):
     return _collapsed(spark, sf).groupBy("public_id").agg(F.min("rank").alias("rank"), F.count("*").alias("members"))
 
 
+_CHAINS = """
+WITH RECURSIVE links AS (
+  SELECT doc_id AS id, CASE WHEN doc_id % 50 = 7 THEN doc_id + 1 WHEN doc_id % 50 = 8 THEN doc_id - 1 WHEN doc_id % 25 = 0 THEN NULL ELSE doc_id - 1 END AS "group" FROM documents
+), up AS (
+  SELECT id, id AS major FROM links WHERE "group" IS NULL OR "group" = id
+  UNION ALL
+  SELECT l.id, u.major FROM links l JOIN up u ON l."group" = u.id AND l."group" <> l.id
+)
+SELECT id, major FROM up
+"""
+
+
+@query(_CHAINS)
+def group_chains(spark, sf):
+    """Documents in chains of up to 25 members, some of which end in a cycle and have no major member."""
+    i = F.col("doc_id")
+    group = F.when(i % 50 == 7, i + 1).when(i % 50 == 8, i - 1).when(i % 25 != 0, i - 1)
+    return recall.majors(_t(spark, sf, "documents").select(i.alias("id"), group.alias("group")))
+
+
 @query(f"WITH {_COLLAPSED} SELECT public_id, string_agg(rank || ':fts:' || id, ',' ORDER BY rank, id) AS evidence FROM col GROUP BY public_id")
 def evidence_list(spark, sf):
     listed = fusion.evidence(_collapsed(spark, sf))

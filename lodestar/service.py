@@ -283,10 +283,21 @@ class Workspace:
         where = self.snapshots.read("files").select("file_id", "path")
         return rows.join(what, "id").join(where, "file_id").drop("file_id")
 
-    def lines(self, what: LineSearch | str) -> DataFrame:
+    def enriched(self, found: DataFrame) -> DataFrame:
+        """Lines that were found with the smallest definition or section of the index that holds each: its id, symbol_type,
+        symbol_name, heading and lines, nulls for what stands in none or in a file that isn't indexed."""
+        files_ = self.snapshots.read("files").select("file_id", "path")
+        parts = self.snapshots.read("entities").where("symbol_name IS NOT NULL OR heading IS NOT NULL").join(files_, "file_id")
+        ranges = parts.select("path", "id", "start_line", "end_line", F.col("symbol_name").isNotNull().cast("int").alias("specificity"))
+        about = parts.select(F.col("id").alias("container"), "symbol_type", "symbol_name", "heading", F.col("start_line").alias("container_start"), F.col("end_line").alias("container_end"))
+        inside = lexical.containers(found, ranges).drop("span").join(about, "container", "left")
+        return found.join(inside, ["path", "line"], "left")
+
+    def lines(self, what: LineSearch | str, enrich: bool = False) -> DataFrame:
         """(path, line, content, start_column, end_column, ...) of lines of the files as they are now, by path and line.
 
-        With context, first_line, last_line and context; with a limit, rank and whether there are more.
+        With context, first_line, last_line and context; with a limit, rank and whether there are more; with enrich, what
+        ``enriched`` says.
         """
         ask = line_search(what) if isinstance(what, str) else replace(what)
         for path in ask.paths or []:
@@ -313,4 +324,13 @@ class Workspace:
             found = lexical.grep(texts, regex, max_count=ask.max_count)
         if ask.limit is not None:
             found = lexical.limited(found, ask.limit)
-        return found.orderBy("path", "line")
+        return (self.enriched(found) if enrich else found).orderBy("path", "line")
+
+    @staticmethod
+    def enrichment(found: DataFrame) -> DataFrame:
+        """One row of counters of enriched lines: lines and files, and how many of them stand in something."""
+        inside = F.col("container").isNotNull()
+        return found.agg(
+            F.count("*").alias("lines"), F.count_distinct("path").alias("files"), F.count(F.when(inside, 1)).alias("enriched_lines"),
+            F.count_distinct(F.when(inside, F.col("path"))).alias("enriched_files"),
+        )
