@@ -79,7 +79,7 @@ def _scored(rows: DataFrame, terms: list[int], id_col: str) -> DataFrame:
 POSTINGS = T.StructType().add("term", T.StringType()).add("docs", T.ArrayType(T.LongType())).add("tfs", T.ArrayType(T.IntegerType()))
 
 
-def postings(texts: DataFrame, doc_col: str = "doc", text_col: str = "text") -> DataFrame:
+def postings(texts: DataFrame, number_col: str = "number", text_col: str = "text") -> DataFrame:
     """(term, docs, tfs): lists of the texts, by their numbers, that have a term, and how often each has it.
 
     A list is that of one batch of texts, so a term has a row for each batch with it and none of them grows with the rows.
@@ -96,7 +96,7 @@ def postings(texts: DataFrame, doc_col: str = "doc", text_col: str = "text") ->
             docs = batch.column(0).cast(pa.int64()).to_numpy()[row]
             yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.ListArray.from_arrays(ends, pa.array(docs)), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))], POSTINGS.names)
 
-    return texts.select(F.col(doc_col), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).mapInArrow(lists, POSTINGS)
+    return texts.select(F.col(number_col), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).mapInArrow(lists, POSTINGS)
 
 
 def length_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -110,18 +110,18 @@ def text_length(text: Column) -> Column:
 
 
 def bm25_postings(index: DataFrame, texts: DataFrame, stats: DataFrame, query: str, pool: DataFrame | None = None, id_col: str = "id") -> DataFrame:
-    """(id_col, score) by BM25 from postings (seq, term, docs, tfs), the texts they speak of (seq, doc, id, dl) and the row of
+    """(id_col, score) by BM25 from postings (seq, term, docs, tfs), the texts they speak of (seq, number, id, dl) and the row of
     length statistics, of the ids in pool if there is one.
 
     Only the query's terms are read; a text that isn't there any more is in no count.
     """
     terms = query_tokens(query)
-    known = texts.select("seq", "doc", F.col(id_col), "dl")
+    known = texts.select("seq", "number", F.col(id_col), "dl")
     if not terms:
         return known.select(id_col, F.lit(0.0).alias("score")).where(F.lit(False))
-    mine = index.where(F.col("term").isin(terms)).select("seq", "term", F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("tfs").alias("tf"))))
+    mine = index.where(F.col("term").isin(terms)).select("seq", "term", F.inline(F.arrays_zip(F.col("docs").alias("number"), F.col("tfs").alias("tf"))))
     counts = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, w in enumerate(terms)]
-    rows = mine.groupBy("seq", "doc").agg(*counts).join(known, ["seq", "doc"])
+    rows = mine.groupBy("seq", "number").agg(*counts).join(known, ["seq", "number"])
     found = rows.agg(*[F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(terms))])
     if pool is not None:
         rows = rows.join(pool.select(id_col), id_col, "left_semi")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 #: Segments of one size that are merged, and the rows of the smallest size.
 FAN_OUT, LEAST_ROWS = 4, 1 << 12
-SEQ, DOC = "seq", "doc"
+SEQ, NUMBER = "seq", "number"
 
 
 @dataclass
@@ -67,7 +67,7 @@ class Log:
     """Tables that share segments and tombstones, below one folder: {table: its order}.
 
     Every table has the column ``key``, but for those that are derived: {table: (the table it is made of, how)}.  A table that
-    others are made of numbers its rows in ``doc``, within the segment, and they speak of its rows by that number, so that
+    others are made of numbers its rows in ``number``, within the segment, and they speak of its rows by that number, so that
     they are hidden with them.  ``whole`` names the tables whose rows go with any tombstone; those of the others go only with
     one that says so, so that a file can be noted anew while what was made of it stays.
     """
@@ -92,7 +92,7 @@ class Log:
         return found.groupBy(F.col(self.key).alias("_key")).agg(F.max(SEQ).alias("_gone"))
 
     def read(self, table: str, segments: list[int] | None = None, numbers: bool = False) -> DataFrame:
-        """The rows of a table that nothing hides, of all segments or of some.  With numbers, ``seq`` and ``doc`` come too; those
+        """The rows of a table that nothing hides, of all segments or of some.  With numbers, ``seq`` and ``number`` come too; those
         of a derived table speak of rows that may be hidden."""
         schema = T.StructType.fromJson(self.state.schemas[table])
         names = [s for s in (self.state.segments if segments is None else segments) if self.state.segments[s][table]]
@@ -104,13 +104,13 @@ class Log:
         gone = None if table in self.derived else self._gone(table)
         if gone is not None:
             rows = rows.join(gone, (F.col(self.key) == F.col("_key")) & (F.col(SEQ) < F.col("_gone")), "left_anti")
-        return rows if numbers else rows.drop(SEQ, *([DOC] if table in self.numbered else []))
+        return rows if numbers else rows.drop(SEQ, *([NUMBER] if table in self.numbered else []))
 
     def _write(self, table: str, rows: DataFrame, seq: int) -> DataFrame:
         """Write a table of a segment in its order: a sorted file's row groups tell by their smallest and largest values
         whether they can hold a value."""
         rows = self.tables[table].ordered(rows)
-        rows = rows.withColumn(DOC, F.monotonically_increasing_id()) if table in self.numbered else rows
+        rows = rows.withColumn(NUMBER, F.monotonically_increasing_id()) if table in self.numbered else rows
         rows.write.mode("overwrite").parquet(self._path(table, seq))
         return self.spark.read.schema(rows.schema).parquet(self._path(table, seq))
 

@@ -679,7 +679,8 @@ IGNORE = [("", "*.md\n!keep.md\n/src1/\n"), ("src2", "de/\n!/de/\n"), ("src3", "
 
 @query(f"WITH {FILES} SELECT path FROM files WHERE NOT (path LIKE '%.md' OR path LIKE 'src1/%' OR regexp_full_match(path, 'src3/en/1[^/]*\\.txt'))")
 def ignore_rules(spark, sf):
-    return documents(spark, sf).where(~S.ignored(F.col("path"), S.ignore_rules(IGNORE))).select("path")
+    docs = documents(spark, sf).select("path")
+    return docs.join(S.ignored(docs, S.rule_table(spark.createDataFrame(IGNORE, "folder string, content string"))), "path", "left_anti")
 
 
 def _tree(spark, sf) -> DataFrame:
@@ -715,7 +716,10 @@ def default_ignores(spark, sf):
 @query(f"WITH {_TREE} SELECT doc_id, path FROM tree WHERE path NOT LIKE '%.txt' OR path LIKE 'src/%'")
 def include_override(spark, sf):
     """What an include pattern names is kept although an ignore rule leaves it out."""
-    return _tree(spark, sf).where(~S.ignored(F.col("path"), S.ignore_rules([("", "*.txt\n")]), include=["src"])).select("doc_id", "path")
+    tree = _tree(spark, sf)
+    rules = S.rule_table(spark.createDataFrame([("", "*.txt\n")], "folder string, content string"))
+    gone = S.ignored(tree.where(~X.matches_path(F.col("path"), "src")), rules)
+    return tree.join(gone, "path", "left_anti").select("doc_id", "path")
 
 
 @query("SELECT page_id, page_id % 9 = 0 OR page_id % 10 = 0 AS looks_binary FROM pages")

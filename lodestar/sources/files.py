@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_regex, hash_id, matches_ordered, matches_path, normal_path
+from ..functions.text import glob_regex, hash_id, matches_ordered, matches_path, normal_path, valid_utf8
+from .scratch import written
 
 # Formats by extension or file name, and the kinds they belong to.
 NAMED = {"Dockerfile": "dockerfile", "Makefile": "makefile"}
@@ -103,42 +104,74 @@ def default_ignored(relative: Column) -> Column:
     return folders | names
 
 
-def ignore_rules(files: Sequence[tuple[str, str]]) -> list[tuple[str, bool, bool]]:
-    """(regular expression, negated, folders only) of the lines of ignore files, given as (folder, content), in path order."""
-    rules: list[tuple[str, bool, bool]] = []
-    for folder, content in sorted(files):
-        base = re.escape(folder.strip("/") + "/") if folder.strip("/") else ""
-        for line in content.splitlines()[:10_000]:
-            line = line.rstrip() if not line.endswith("\\ ") else line
-            if not line or line.startswith("#"):
-                continue
-            negated = line.startswith("!")
-            line = line[1:] if negated or line[:2] in ("\\#", "\\!") else line
-            only_folders, line = line.endswith("/"), line.rstrip("/")
-            anchored = "/" in line
-            # A slash in front keeps a pattern from being taken for a name at any depth.
-            body = glob_regex("/" + line.lstrip("/"))[1:-1].replace("/", "", 1)
-            rules.append((f"^{base}{'' if anchored else '(?:.*/)?'}{body}$", negated, only_folders))
-    return rules
-
-
-def ignored(relative: Column, rules: Sequence[tuple[str, bool, bool]], include: Sequence[str] = ()) -> Column:
-    """Whether a path or a folder above it is ignored; of the rules that match either, the last decides.  A path that an
-    include pattern names is never ignored."""
-
-    def verdict(path: Column, folder: bool) -> Column:
-        out = F.lit(False)
-        for regex, negated, only_folders in rules:
-            if folder or not only_folders:
-                out = F.when(path.rlike(regex), F.lit(not negated)).otherwise(out)
-        return out
+def ignore_rules(folder: str, content: str) -> Iterator[tuple[str, bool, bool, str | None]]:
+    """(regular expression, negated, folders only, name) of the lines of a folder's ignore file, in order.  A pattern whose
+    last part is a plain name, or a star and one ending, has that as its name, by which paths can be looked up."""
+    base = re.escape(folder.strip("/") + "/") if folder.strip("/") else ""
+    for line in content.splitlines():
+        line = line.rstrip() if not line.endswith("\\ ") else line
+        if not line or line.startswith("#"):
+            continue
+        negated = line.startswith("!")
+        line = line[1:] if negated or line[:2] in ("\\#", "\\!") else line
+        only_folders, line = line.endswith("/"), line.rstrip("/")
+        if not line:
+            continue
+        anchored = "/" in line
+        # A slash in front keeps a pattern from being taken for a name at any depth.
+        body = glob_regex("/" + line.lstrip("/"))[1:-1].replace("/", "", 1)
+        name = line.rpartition("/")[2]
+        plain = re.fullmatch(r"(?:\*\.)?[^*?\[\]{}\\.][^*?\[\]{}\\]*|\.[^*?\[\]{}\\]*", name) and not (name.startswith("*") and name.count(".") > 1)
+        yield f"^{base}{'' if anchored else '(?:.*/)?'}{body}$", negated, only_folders, name if plain else None
 
-    parts = F.split(relative, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    out = verdict(relative, False) | F.coalesce(F.exists(F.when(F.size(parts) > 1, above), lambda p: verdict(p, True)), F.lit(False))
-    for pattern in include:
-        out = out & ~matches_path(relative, pattern)
-    return out
+
+RULES = "folder string, place long, regex string, negated boolean, only_folders boolean, name string"
+
+
+def rule_table(ignore_files_: DataFrame) -> DataFrame:
+    """RULES: the rules of all ignore files (folder, content), parsed where they are read."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
+        for batch in batches:
+            for folder, content in zip(*[c.to_pylist() for c in batch.columns]):
+                found = [(folder.strip("/"), i, *rule) for i, rule in enumerate(ignore_rules(folder, content))]
+                for at in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[at : at + 10_000]), kinds)], [c.split()[0] for c in RULES.split(", ")])
+
+    return ignore_files_.select("folder", "content").mapInArrow(parsed, RULES)
+
+
+def _above(parts: Column, count: Column) -> Column:
+    """The first 0, 1 .. count parts of a path, each as a path."""
+    return F.transform(F.sequence(F.lit(0), count), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def ignored(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
+    """The paths, each once, that the rules ignore: themselves or a folder above them.
+
+    Rules are rows.  A folder is judged once however many files are below it.  Files and folders meet the rules of the
+    folders above them by equality, on that folder and on the name where a rule has one, so that only patterns with signs in
+    their last part are tried on all that is below; of the rules that match the deepest folder's last one decides.
+    """
+    each, parts = paths.select(F.col(path_col).alias("path")).distinct(), F.split("path", "/")
+    below = each.select("path", F.explode(F.filter(_above(parts, F.size(parts) - 1), lambda a: a != "")).alias("entry"))
+    entries = each.select(F.col("path").alias("entry"), F.lit(False).alias("is_folder")).unionByName(below.select("entry", F.lit(True).alias("is_folder")).distinct())
+    steps = F.split("entry", "/")
+    base = F.element_at(steps, -1)
+    homes = entries.select("entry", "is_folder", base.alias("base"), F.explode(_above(steps, F.size(steps) - 1)).alias("home"))
+    ending = F.concat(F.lit("*."), F.element_at(F.split("base", r"\."), -1))
+    keyed = homes.withColumn("key", F.explode(F.array_distinct(F.array("base", ending))))
+    fits = (F.col("is_folder") | ~F.col("only_folders")) & F.expr("entry RLIKE regex")
+    named = keyed.join(rules.where("name IS NOT NULL"), (F.col("home") == F.col("folder")) & (F.col("key") == F.col("name")))
+    other = homes.join(rules.where("name IS NULL"), F.col("home") == F.col("folder"))
+    columns = ["entry", "is_folder", "home", "place", "negated"]
+    met = named.where(fits).select(*columns).unionByName(other.where(fits).select(*columns))
+    last = F.max_by("negated", F.struct(F.char_length("home"), "place"))  # of folders above a path the longer is the deeper
+    left_out = met.groupBy("entry", "is_folder").agg(last.alias("negated")).where("not negated")
+    own = left_out.where("not is_folder").select(F.col("entry").alias("path"))
+    inside = below.join(left_out.where("is_folder").select("entry"), "entry", "left_semi").select("path")
+    return own.unionByName(inside).distinct().withColumnRenamed("path", path_col)
 
 
 def skip_reason(kind: Column, size: Column, binary: Column, override: int | None = None) -> Column:
@@ -252,11 +285,11 @@ def listing(spark: SparkSession, root: str, paths: Sequence[str] | None = None)
     return shallow.unionByName(deep) if shallow is not None and deep is not None else shallow if deep is None else deep
 
 
-def ignore_files(listed: DataFrame, root: str) -> list[tuple[str, str]]:
-    """(folder, content) of the ignore files among listed ones."""
+def ignore_files(listed: DataFrame, root: str) -> DataFrame:
+    """(folder, content) of the ignore files among listed ones, read on the executors."""
     found = contents(listed.where(F.col("relative_path").rlike(r"(^|/)\.gitignore$") & ~F.col("unreadable")), root)
-    base = _system(root)[1]
-    return [(r["path"][len(base) + 1 :].rpartition("/")[0], bytes(r["content"]).decode("utf-8", "replace")) for r in found.collect()]
+    relative = F.substring("path", len(_system(root)[1]) + 2, 1 << 30)
+    return found.select(F.regexp_replace(relative, r"/?[^/]*$", "").alias("folder"), valid_utf8(F.col("content")).alias("content"))
 
 
 def listed_files(
@@ -267,12 +300,11 @@ def listed_files(
     """The files below root with identity, type, time and size, by their metadata alone; what rules leave out is no row,
     and folders that can't be read are rows of their own.  hard names further folders, relative to root, that are never
     looked at, as that of an index within the tree."""
-    whole = listing(spark, root, paths)
+    whole = written(listing(spark, root, paths), "listing")  # which several steps read
     rows, unreadable = whole.where("not unreadable"), whole.where("unreadable")
     relative = F.col("relative_path")
     parts = F.split(relative, "/")
     git = rows.where(relative.rlike(r"/\.git/")).select(F.regexp_extract(relative, r"^(.*?)/\.git/", 1).alias("nested")).distinct()
-    rules = [] if no_ignore else ignore_rules(ignore_files(whole, root))
     rows = rows.where(~F.exists(parts, lambda p: p.isin(HARD)) & ~relative.rlike(r"(^|/)\.gitignore$") & ~_any(relative, hard))
     if not nested_git:  # folders above a file meet the nested roots by equality
         above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
@@ -282,7 +314,9 @@ def listed_files(
     if not show_hidden:
         rows = rows.where(~hidden(relative) | named)
     if not no_ignore:
-        rows = rows.where(~ignored(relative, rules, include) & (~default_ignored(relative) | _any(relative, include)))
+        spared = _any(relative, include)
+        gone = ignored(rows.where(~spared), rule_table(ignore_files(whole, root)), "relative_path")
+        rows = rows.where(~default_ignored(relative) | spared).join(gone, "relative_path", "left_anti").select(*rows.columns)
     rows = rows.where(depth_allowed(relative, max_depth) & ~_any(relative, exclude))
     if include:
         rows = rows.where(_any(relative, include))

@@ -21,7 +21,7 @@ def test_log(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "LEAST_ROWS", 8)
     monkeypatch.setattr(segments, "FAN_OUT", 3)
     random.seed(2)
-    words = lambda rows: rows.select("doc", F.upper("word").alias("word"))
+    words = lambda rows: rows.select("number", F.upper("word").alias("word"))
     tables = {"files": segments.Order(("path",)), "rows": segments.Order(), "upper": segments.Order(("word",), ("word",))}
     log, want, kept = segments.Log(spark, str(tmp_path / "log"), tables, whole=("files",), derived={"upper": ("rows", words)}), {}, {}
     for step in range(8):
@@ -42,7 +42,7 @@ def test_log(spark, tmp_path, monkeypatch):
         assert log.state.segments[own] == {"files": len(new) + len(noted), "rows": sum(map(len, new.values())), "upper": sum(map(len, new.values()))}
         log = log.merged()
         assert sorted((r.file_id, r.word) for r in log.read("rows").collect()) == sorted((f, w) for f, ws in want.items() for w in ws)
-        both = log.read("upper", numbers=True).join(log.read("rows", numbers=True).withColumnRenamed("word", "w"), ["seq", "doc"])
+        both = log.read("upper", numbers=True).join(log.read("rows", numbers=True).withColumnRenamed("word", "w"), ["seq", "number"])
         assert sorted((r.file_id, r.word) for r in both.collect()) == sorted((f, w.upper()) for f, ws in want.items() for w in ws)
         assert {r.file_id: r.step for r in log.read("files").collect()} == kept and log.read("files").count() == len(kept)
         assert log.state.sums == {"rows": sum(map(len, want.values()))}
@@ -82,6 +82,7 @@ def test_update_writes_its_rows_alone(spark, tmp_path):
     assert len(find("common")) == 28 and space.files().count() == 29
     entities = space.snapshots.read("entities")
     assert state.sums == {"texts": 29, "terms": sum(len(r.text.split()) for r in entities.collect())}
+    assert {r.doc for r in entities.collect()} == {None} and "number" not in entities.columns
     # Nothing has changed, nothing is written; and a build from scratch gives the same.
     assert space.index()["unchanged"] == 29 and space.snapshots.log(space.snapshots.manifest).state == state
     scores = lambda: [(r.path, r.score) for r in space.search(SearchPlan(routes=[Route("fts", "common number7")], limit=5)).collect()]

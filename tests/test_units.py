@@ -67,9 +67,16 @@ def test_embeddings(spark):
     assert [r["v"] is None for r in embed.embed(df, "t", embed.stub_vector, 64, "v").collect()] == [False, True]
 
 
-def test_group_limit():
-    table = [((50, 4), 50), ((None, 1), 10), ((None, 3), 10), ((None, 4), 8), ((None, 10), 3), ((None, 0), 10), ((None, 100), 1)]
-    assert all(fusion.group_limit(*args) == want for args, want in table)
+@given(st.integers(0, 500), st.none() | st.integers(1, 200))
+def test_group_limit(groups, asked):
+    """What is asked for holds; few groups have the same limit, many share what all of them may have, rounded up."""
+    got = fusion.group_limit(asked, groups)
+    if asked is not None:
+        assert got == asked
+    elif groups <= 3:
+        assert got == fusion.PER_GROUP
+    else:
+        assert got >= 1 and got * groups >= fusion.ALL_GROUPS and (got - 1) * groups < fusion.ALL_GROUPS
 
 
 def test_scan(spark, tmp_path):
