@@ -10,7 +10,8 @@ small state that a manifest names; what a state doesn't name is no part of it.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 #: Segments of one size that are merged, and the rows of the smallest size.
 FAN_OUT, LEAST_ROWS = 4, 1 << 12
 SEQ, NUMBER = "seq", "number"
+#: Rows that go to Python together when a segment is written.
+BATCH_ROWS = 512
 
 
 @dataclass
@@ -63,6 +66,19 @@ class Order:
 POSTED = Order(("term", "docs"), ("term", "shiftright(docs[0], 33 + 6)"))
 
 
+@contextmanager
+def few_at_a_time(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows at most for what runs within, so that batches of long texts stay small; the session's
+    own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Log:
     """Tables that share segments and tombstones, below one folder: {table: its order}.
 
@@ -111,7 +127,8 @@ class Log:
         whether they can hold a value."""
         rows = self.tables[table].ordered(rows)
         rows = rows.withColumn(NUMBER, F.monotonically_increasing_id()) if table in self.numbered else rows
-        rows.write.mode("overwrite").parquet(self._path(table, seq))
+        with few_at_a_time(self.spark):
+            rows.write.mode("overwrite").parquet(self._path(table, seq))
         return self.spark.read.schema(rows.schema).parquet(self._path(table, seq))
 
     def _segment(self, seq: int, rows: dict[str, DataFrame], state: State) -> None:
