@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Segments of one size that are merged, and the rows of the smallest size.
-FAN_OUT, LEAST_ROWS = 4, 1 << 12
+FAN_OUT, LEAST_ROWS = 8, 1 << 12
 SEQ, NUMBER = "seq", "number"
 #: Rows that go to Python together when a segment is written.
 BATCH_ROWS = 512
