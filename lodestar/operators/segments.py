@@ -128,7 +128,7 @@ class Log:
         rows = self.tables[table].ordered(rows)
         rows = rows.withColumn(NUMBER, F.monotonically_increasing_id()) if table in self.numbered else rows
         with few_at_a_time(self.spark):
-            rows.write.mode("overwrite").parquet(self._path(table, seq))
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(self._path(table, seq))
         return self.spark.read.schema(rows.schema).parquet(self._path(table, seq))
 
     def _segment(self, seq: int, rows: dict[str, DataFrame], state: State) -> None:

@@ -95,7 +95,7 @@ def test_pattern_files_and_types(spark, tree, tmp_path):
     space = Workspace(spark, str(tree), str(tmp_path / "index"))
     assert sorted(r["path"] for r in space.lines("rg -F -f patterns.cfg src a.txt").collect()) == ["a.txt", "src/b.py"]
     (tree / "patterns.cfg").write_text("\r\nspill\r\n\n")  # neither line ends nor empty lines are patterns
-    assert [r["path"] for r in space.lines("rg -f patterns.cfg").collect()] == ["src/b.py"]
+    assert [r["path"] for r in space.lines("rg -f patterns.cfg src").collect()] == ["src/b.py"]
     with pytest.raises(PlanError):
         space.lines("rg -f nowhere.cfg")
     with pytest.raises(PlanError) as error:
