@@ -128,3 +128,28 @@ def test_templates_of_every_share(shared, own):
     streams = [menu + a + (notice if i < 8 else []) for i, a in enumerate(articles)]
     counts, _ = html_text.shared_by([[known.setdefault(w, len(known) + 1) for w in s] for s in streams], 7)
     assert all(set(c[-11:]) == {8} for c in counts[:8])
+
+
+def test_runs_are_counted_over_the_whole_host(spark):
+    """On a host of 200 unmarked pages ten with a run are enough and nine aren't, wherever these pages are; near copies
+    are one page; the pages may be dealt to tasks in any way."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    often, seldom = [words(10) for _ in range(12)], [words(10) for _ in range(12)]
+    said = [[words(60)] for _ in range(190)]
+    for notices, k in ((often, 10), (seldom, 9)):
+        for notice in notices:
+            for i in rng.sample(range(190), k):
+                said[i].append(notice)
+    copied = words(300)
+    copies = [[copied.replace(copied.split(" ")[i * 20], f"x{i}")] for i in range(1, 12)]
+    pages = ["".join(f"<div>{t}</div>" for t in [*blocks]) for blocks in [*said, *copies]]
+    want = ["\n".join(t for t in blocks if t not in often) for blocks in [*said, *copies]]
+    rows = [(i, f"http://{h}/{i}", p) for h in ("a", "b") for i, p in enumerate(pages)] + [(i, "http://small/", pages[0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts, chars in ((1, 1 << 22), (7, 10_000)):
+        got = html_text.extract(df.repartition(parts), rules=html_text.Rules(chars=chars)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["text"] == ("\n".join(said[0]) if r["url"] == "http://small/" else want[r["page_id"]])
+    assert [t for t, _, _ in html_text.main_texts(pages)] == want
