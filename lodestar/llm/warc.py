@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, named, small_batches
+from ._shared import cut, fresh_path, named, small_batches
 
 #: Bytes of a record's block beyond which it is cut into segments, and of a payload from which it is sent in chunks.
 SEGMENT = 4 * 1024
@@ -180,8 +180,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, digest))
     first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first")
     first = rows.where("digest is not null").groupBy(F.col("digest").alias("d")).agg(first, F.count("*").alias("n"))
-    # Only payloads that several rows have need the join; one that stands alone is a response.
-    repeated = first.where("n > 1").select("d", "first")
+    # Only payloads that several rows have need the join; one that stands alone is a response.  Written, they have a known
+    # size: Spark broadcasts them if they are small, and no page is dealt by its digest then.
+    repeated = cut(first.where("n > 1").select("d", "first"), "repeated")
     joined = rows.join(repeated, F.col("digest") == F.col("d"), "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
     kind = F.when(again, "revisit").otherwise("response")
@@ -251,7 +252,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                         origin = headers.get("warc-segment-origin-id", headers["warc-record-id"])
                         total = headers.get("warc-segment-total-length")
                         head = json.dumps(headers) if number == "1" else None
-                        rows.append([None] * len(kept) + [origin, int(number), int(total) if total else None, block, head])
+                        # Dealt deflated, as segments hold most of the bytes that are shuffled.
+                        rows.append([None] * len(kept) + [origin, int(number), int(total) if total else None, zlib.compress(block, 1), head])
                 for a in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 256]), [*kinds, *segment_kinds])], names)
 
@@ -277,7 +279,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if o != origin:
                     rows += done(head, parts)
                     origin, head, parts = o, None, []
-                parts.append((number, total, data))
+                parts.append((number, total, zlib.decompress(data)))
                 head = json.loads(said) if said else head
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], kept)

@@ -199,6 +199,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_pages_are_not_dealt_by_digest(spark):
+    """Where few payloads repeat, these are broadcast, by a size that is known before, and the pages stay where they are."""
+    rows = [(i, f"http://h/{i}", f"page {i // 2 if i < 20 else i}") for i in range(2000)]
+    planned = warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    plan = planned._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert Counter(r["kind"] for r in planned.collect()) == {"response": 1990, "revisit": 10}
+
+
 def test_warc_parts():
     body = bytes(range(256)) * 40
     assert warc.from_chunks(warc.to_chunks(body)) == body and warc.from_chunks(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc"
