@@ -30,6 +30,7 @@ result; extra columns of the input are not read, and columns may have any names.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -396,15 +397,18 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
 KEPT = 1 << 21
 
 
-def frequent(pages: DataFrame, share: float, rules: Rules) -> DataFrame:
+def frequent(pages: DataFrame, rules: Rules) -> DataFrame:
     """(host, runs): of every host at least the runs that bar distinct pages hold, and that is no less than this share of
-    its n distinct pages.  Pages are (host, blocks, class, weight, n, bar), weights of a class adding up to 1.
+    its n distinct pages.  Pages are (host, blocks, class, weight, n, bar, share), weights of a class adding up to 1.
 
     What has a share of a host's pages has it in one of their parts, so each part names the runs that have it there.  A
     part is what a task reads, in pieces of about ``Rules.chars`` signs; a run that has fallen below the share is
-    forgotten, and if it comes again it is taken to have had the share before.
+    forgotten, and if it comes again it is taken to have had the share before.  A part also says how often a run that it
+    doesn't name may be there at most; a run stays if that, over the other parts, and what is known of it reach the bar.
     """
 
+    names = ["host", "run", "most"]
+
     def named_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}  # by host: runs, owners counted, owners that may have been forgotten, weight of the pages
         piece: list[tuple] = []
@@ -415,7 +419,8 @@ def frequent(pages: DataFrame, share: float, rules: Rules) -> DataFrame:
                 by_host.setdefault(host, []).append(row)
             piece.clear()
             for host, rows in by_host.items():
-                tokens, classes, weights, ns, bars = zip(*rows)
+                tokens, classes, weights, _, _, shares = zip(*rows)
+                share = shares[0]
                 shown: dict[int, int] = {}
                 owner = np.array([i if c is None else shown.setdefault(c, i) for i, c in enumerate(classes)])
                 new, count = repeated(list(tokens), owner, rules.run)
@@ -426,15 +431,16 @@ def frequent(pages: DataFrame, share: float, rules: Rules) -> DataFrame:
                 counts = np.bincount(place, np.concatenate([counts, count]), len(every))
                 weight += sum(weights)
                 stay = counts + before >= share * weight - 1e-6
-                kept[host] = [every[stay], counts[stay], before[stay], weight, ns[0], bars[0]]
+                kept[host] = [every[stay], counts[stay], before[stay], weight, share]
 
         def candidates() -> Iterator[pa.RecordBatch]:
-            for host, (runs, counts, missed, weight, n, bar) in kept.items():
-                if weight > n - 1e-6:  # all the host's pages are here
-                    runs = runs[counts + missed >= bar]
+            for host, (runs, counts, missed, weight, share) in kept.items():
+                unnamed = max(0, math.ceil(share * weight - 1e-6) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([None], pa.int64()), pa.array([float(unnamed)])], names)
                 for a in range(0, len(runs), 1 << 16):
-                    some = runs[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), host)), pa.array(some)], ["host", "run"])
+                    at = slice(a, a + (1 << 16))
+                    more = counts[at] + missed[at] - unnamed
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(more), host)), pa.array(runs[at]), pa.array(more)], names)
             kept.clear()
 
         size = 0
@@ -450,8 +456,11 @@ def frequent(pages: DataFrame, share: float, rules: Rules) -> DataFrame:
         counted()
         yield from candidates()
 
-    rows = pages.where("bar <= n").select("host", "blocks", "class", "weight", F.col("n").cast("double").alias("n"), "bar")
-    found = rows.mapInArrow(named_runs, "host long, run long").groupBy("host").agg(F.sort_array(F.collect_set("run")).alias("runs"))
+    rows = pages.where("bar <= n").select("host", "blocks", "class", "weight", F.col("n").cast("double").alias("n"), "bar", "share")
+    most = cut(rows.mapInArrow(named_runs, "host long, run long, most double").groupBy("host", "run").agg(F.sum("most").alias("most")), "most")
+    bars = most.where("run is null").select("host", F.col("most").alias("unnamed")).join(pages.groupBy("host").agg(F.first("bar").alias("bar")), "host")
+    found = most.where("run is not null").join(cut(bars, "bars"), "host").where("most + unnamed >= bar - 1e-6")
+    found = found.groupBy("host").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     return cut(found, "candidates")
 
 
@@ -476,8 +485,8 @@ def held_by(pages: DataFrame, candidates: DataFrame, rules: Rules) -> DataFrame:
             hosts = batch.column(0).to_numpy()
             known = lists_of(batch.column(3), hosts)
             for host, tokens, one in zip(hosts.tolist(), tokens_of(batch.column(1)), batch.column(2).to_pylist()):
-                runs = np.unique(run_hashes(tokens, rules.run))
-                runs = runs[looked_up(runs, known[host], np.ones(len(known[host]), np.int64)) > 0]
+                runs = run_hashes(tokens, rules.run)
+                runs = np.unique(runs[looked_up(runs, known[host], np.ones(len(known[host]), np.int64)) > 0])
                 if len(runs):
                     size += len(runs)
                     single.setdefault(host, []).append(runs) if one is None else several.setdefault((host, one), []).append(runs)
@@ -515,6 +524,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = parsed_pages(pages, id_col, url_col, html_col)
     nodes = cut(rows.groupBy("host", "node").agg(F.count("*").alias("rows")), "nodes")
 
+    def searched(marked: DataFrame, share: float) -> DataFrame:
+        """The pages in which runs are named.  All but 1 - share of a host's pages hold a run of its template, so all but as
+        many of any of them do: a fifth of the pages by hash, where these are enough, name all of these runs."""
+        if share < TEMPLATE:
+            return marked.withColumn("share", F.lit(share))
+        few = F.pmod("class", F.lit(5)) == 0
+        marked = marked.withColumn("class", F.coalesce("class", "node"))
+        sizes = cut(marked.groupBy("host").agg(F.countDistinct(F.when(few, F.col("class"))).alias("some"), F.first("n").alias("all")), "sizes")
+        enough = F.col("some") >= 1.6 * (1 - share) * F.col("all")
+        sizes = sizes.where(enough).select("host", "some")
+        marked = marked.join(sizes, "host", "left").where(F.col("some").isNull() | few)
+        lacking = F.col("n") - F.col("bar")
+        share_of = F.when(F.col("some").isNull(), F.lit(share)).otherwise(1 - lacking / F.col("some"))
+        bar = F.when(F.col("some").isNull(), F.col("bar")).otherwise(F.col("some") - lacking)
+        return marked.select("host", "blocks", "class", "weight", F.coalesce("some", "n").alias("n"), bar.alias("bar"), share_of.alias("share"))
+
     def counts(classes: DataFrame, bar: Callable[[Column], Column], share: float) -> DataFrame:
         """(host, n, run, held) of the runs that bar(n) of a host's n distinct pages hold, pages of a class being one;
         classes are (host, node, class, rows)."""
@@ -523,7 +548,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         several = cut(classes.join(size, "class").select("node", "class", (1 / F.col("size")).alias("weight")), "several")
         marked = rows.select("host", "node", "blocks").join(several, "node", "left").join(hosts.withColumn("bar", bar(F.col("n"))), "host")
         marked = marked.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-        found = held_by(marked, frequent(marked, share, rules), rules).join(hosts, "host").where(F.col("held") >= bar(F.col("n")))
+        found = held_by(marked, frequent(searched(marked, share), rules), rules).join(hosts, "host").where(F.col("held") >= bar(F.col("n")))
         told = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("run", "held"))).alias("found"))
         return cut(hosts.join(told, "host", "left").select("host", "n", F.col("found.run").alias("runs"), F.col("found.held").alias("held")), "counts")
 
