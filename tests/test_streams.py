@@ -4,7 +4,9 @@ import datetime
 import os
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,93 @@ def test_bursts(spark, tmp_path, seed):
     assert any(w[4] == B.RECONCILE for w in want) and any(w[2] - w[1] == 5_000_000 for w in want)
 
 
+class Held:
+    """The state of a key in memory, which counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.states = 0, set(), {}
+
+    def _state(self, name, *_):
+        return State(self, self.states.setdefault(name, {}))
+
+    getValueState = getListState = getMapState = _state  # noqa: N815
+
+    def registerTimer(self, t):  # noqa: N802
+        self.calls += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(t)
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return sorted(self.timers)
+
+    def run(self, key, processor, rows, now):
+        """A micro-batch: the rows, then the timers up to now."""
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+        out = list(processor.handleInputRows(key, iter([pd.DataFrame(r, columns=["root", "micros", "event_id", "path", "kind"]) for r in rows]), times)) if rows else []
+        for t in sorted(t for t in self.timers if t <= now):
+            out += processor.handleExpiredTimer(key, times, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t))
+            self.timers.discard(t)
+        return [row for frame in out for row in frame.itertuples(index=False)]
+
+
+class State:
+    """A value, a list or a map of a key."""
+
+    def __init__(self, held, has):
+        self.held, self.has = held, has
+
+    def __getattr__(self, name):
+        has = self.has
+        calls = {
+            "exists": lambda: bool(has), "get": lambda: has.get(0), "update": lambda v: has.update({0: v}), "put": lambda v: has.update({0: v}), "clear": has.clear,
+            "appendList": lambda v: has.update({0: has.get(0, []) + v}), "getValue": has.__getitem__, "updateValue": has.__setitem__, "removeKey": has.__delitem__,
+            "containsKey": has.__contains__, "keys": lambda: list(has), "iterator": lambda: list(has.items()),
+        }
+        self.held.calls += 1
+        return calls[name]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_roots_that_share_a_key(monkeypatch, seed):
+    """Whatever pieces the changes of a key are held in, its roots' bursts are those of brute force, and nothing stays."""
+    monkeypatch.setattr(B, "PIECE", 7)
+    monkeypatch.setattr(B, "SMALL", 3)
+    rng = random.Random(seed)
+    us = lambda t: (t - T0) // datetime.timedelta(microseconds=1)
+    events = [(f"r{rng.randrange(9)}", T0 + datetime.timedelta(microseconds=rng.randrange(90_000_000)), i, rng.choice(["a", "a/b", "c", "c/d", "e"]), rng.choice(["created", "changed", "deleted"])) for i in range(900)]
+    waits, late = B.Waits(budget=3), rng.choice([0, 2_000, 30_000])
+    events.sort(key=lambda e: us(e[1]) + rng.randrange(late * 1000 + 1))
+    held, got, now, at = Held(), [], 0, 0
+    processor = B.Bursts(waits)
+    processor.init(held)
+    while at < len(events) or held.timers:
+        batch = events[at : (at := at + rng.choice([1, 4, 40]))]
+        rows = [[(r, us(t), i, p, k) for r, t, i, p, k in batch[n : n + 10]] for n in range(0, len(batch), 10)]
+        got += held.run((1,), processor, rows, now)
+        now = max([now, *(us(e[1]) // 1000 - late for e in batch)]) if batch else now + 10_000
+        assert len(held.timers) <= 1
+    zero = pd.Timestamp(0, tz="UTC")
+    found = sorted((r.root, (r.start - zero) // pd.Timedelta(1, "us"), (r.end - zero) // pd.Timedelta(1, "us"), r.path, r.kind, r.events) for r in got)
+    assert found == brute(events, waits, T0 + datetime.timedelta(hours=1)) and any(r[4] == B.RECONCILE for r in found)
+    assert not any(held.states.values())
+
+
+def test_calls_to_the_state():
+    """They don't grow with the changes of a key: a call costs far more than a change does."""
+    held = Held()
+    processor = B.Bursts(B.Waits(budget=10))
+    processor.init(held)
+    rows = [(f"r{i % 20}", i * 1000, i, f"d{i % 7}/f{i % 29}", "changed") for i in range(5_000)]
+    got = held.run((1,), processor, [rows], 4_000)
+    got += held.run((1,), processor, [], 10_000)
+    assert held.calls < 150
+    assert sum(r.events for r in got) == 5_000 and len(got) == 20
+
+
 def test_scopes():
     kinds = {"a/b/c": ("changed", 2), "a/b": ("deleted", 1), "a/bc": ("created", 1), "d/.gitignore": ("changed", 3), "d/e/f": ("deleted", 1), "d": ("changed", 1), ".x": ("changed", 1)}
     assert B.scopes(kinds) == [(".x", "changed", 1), ("a/b", "deleted", 1), ("a/bc", "created", 1), ("d", "rescan", 3)]
